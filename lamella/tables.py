@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,3 +28,23 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """The size of a table's files, as Spark's file system counts them."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for name in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
+#: A side of a join is broadcast up to this size of its files; beyond it, both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table, marked for broadcast if its files are small."""
+    return F.broadcast(df) if stored_bytes(df) <= most else df
