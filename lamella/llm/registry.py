@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lamella.llm import mixing, quality_rules, sharding
+from lamella.llm import mixing, quality_rules, sharding, simhash, topk
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op3_simhash": simhash.query,
     "op4_mixing": mixing.query,
+    "op7_topk": topk.query,
     "op9_quality_rules": quality_rules.query,
 }
 
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
+    "op7_topk": topk.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
