@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamella.llm import mixing, quality_rules, sharding, simhash, topk
+from lamella.llm import mixing, quality_rules, sharding, simhash, suffix_array, topk
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing": mixing.query,
     "op7_topk": topk.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_suffix_array": suffix_array.query,
 }
 
 ORACLES = {
