@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lamella.llm import mixing, quality_rules, sharding, simhash, suffix_array, topk
+from lamella.llm import importance, mixing, quality_rules, sentencepiece_codec, sharding, simhash, suffix_array, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op2_toxicity": toxicity.query,
     "op3_simhash": simhash.query,
     "op4_mixing": mixing.query,
+    "op5_sentencepiece": sentencepiece_codec.query,
     "op7_topk": topk.query,
+    "op8_importance": importance.query,
     "op9_quality_rules": quality_rules.query,
     "op10_suffix_array": suffix_array.query,
 }
