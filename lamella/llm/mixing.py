@@ -50,8 +50,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """The rows of docs with size, source_size, target, and sent: what their source has sent at their place."""
-    rows = docs.withColumn("size", n_words(F.col("text"))).withColumn("shuffled", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    """doc_id, source, size, shuffled, source_size, target, and sent: what their source has sent at their place."""
+    shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffled.alias("shuffled")))  # texts are read once
     rows = rows.withColumn("cell", F.substring("shuffled", 1, 3))
     cells = stored(rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")))
     sizes = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, cap)
@@ -85,7 +86,7 @@ def times_taken(line: DataFrame, share: float = SHARE, epochs: int = CAP) -> Dat
         inside = bin_of(at) < cut.bin
         if last is not None:
             key = F.struct(at, F.col("shuffled"), F.col("size"), F.lit(epoch))
-            inside = inside | ((bin_of(at) == cut.bin) & (key <= F.struct(F.lit(last.finish), F.lit(last.shuffled), F.lit(last["size"]), F.lit(last.epoch))))
+            inside = inside | ((bin_of(at) == cut.bin) & (key <= F.struct(F.lit(last.finish), F.lit(last.shuffled), F.lit(last["size"]).cast("long"), F.lit(last.epoch))))
         return F.when(inside & (F.col("size") > 0), 1).otherwise(0)
 
     return line.withColumn("times", sum((taken(at, e) for e, at in enumerate(finish)), F.lit(0)))
