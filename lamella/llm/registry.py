@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lamella.llm import importance, mixing, quality_rules, sentencepiece_codec, sharding, simhash, suffix_array, topk, toxicity
+import corpus_pipeline
+from lamella.llm import class_lm, importance, mixing, quality_rules, sentencepiece_codec, sharding, simhash, suffix_array, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -10,10 +11,12 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op4_mixing": mixing.query,
     "op5_sentencepiece": sentencepiece_codec.query,
+    "op6_class_lm": class_lm.query,
     "op7_topk": topk.query,
     "op8_importance": importance.query,
     "op9_quality_rules": quality_rules.query,
     "op10_suffix_array": suffix_array.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
@@ -21,3 +24,6 @@ ORACLES = {
     "op7_topk": topk.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
