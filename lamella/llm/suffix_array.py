@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamella.tables import if_small, read, stored
+from lamella.tables import read, stored
 
 SPAN = 200
 GRAM = 64
@@ -290,13 +290,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """did, th, spans: for each text (of doc_id did, null as the least long, and hash th) with repeated bytes, ranges [s, e) that cover them."""
     texts = _keyed(docs)
     places = texts.mapInArrow(_places, "akey long, chash long, did long, th long, lo long, nw int")
-    again = places.groupBy("akey").agg(F.count("*").alias("c")).filter("c > 1").select("akey")
+    again = stored(places.groupBy("akey").agg(F.count("*").alias("c")).filter("c > 1").select("akey"))  # kept, so that a join with it can split a frequent anchor
     places = stored(places.join(again, "akey", "left_semi"))
     contexts = stored(places.groupBy("akey", "chash").agg(F.count("*").alias("n"), F.min("did").alias("did"), F.min_by(F.struct("th", "lo", "nw"), F.struct("did", "th", "lo")).alias("at")))
     groups = contexts.groupBy("akey").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1 AND least = 1").select("akey", "d")
     wanted = contexts.join(groups, "akey").select("did", "at.*", F.struct("akey", "chash", "n", (F.col("d") > GROUP).alias("hot"), "at.lo", "at.nw").alias("x"))
     wanted = stored(wanted.groupBy("did", "th").agg(F.collect_list("x").alias("wanted")))  # as many as the text has contexts
-    cut = stored(texts.join(if_small(wanted), ["did", "th"]).select("text", "wanted").mapInArrow(_cut_out, "akey long, chash long, n long, hot boolean, bytes binary"))
+    cut = stored(texts.join(wanted, ["did", "th"]).select("text", "wanted").mapInArrow(_cut_out, "akey long, chash long, n long, hot boolean, bytes binary"))
     ranges = cut.filter("NOT hot").repartition("akey").sortWithinPartitions("akey", "chash").mapInArrow(_sorted, "akey long, chash long, s int, e int")
     whole = contexts.filter("n > 1").select("akey", "chash", F.lit(0).alias("s"), F.col("at.nw").alias("e"))
     ranges = ranges.unionByName(whole)
@@ -345,7 +345,7 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     found = stored(repeated_ranges(docs)).select(F.col("did").alias("_did"), F.col("th").alias("_th"), "spans")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
     rows = rows.withColumn("did", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("th", F.xxhash64("text"))
-    return rows.join(if_small(found), (F.col("did") == F.col("_did")) & (F.col("th") == F.col("_th")), "left")
+    return rows.join(found, (F.col("did") == F.col("_did")) & (F.col("th") == F.col("_th")), "left")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
