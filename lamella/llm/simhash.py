@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.operators.graph import components
-from lamella.tables import if_small, read, stored
+from lamella.tables import read, stored
 
 SEED = 42
 SHINGLE = 3
@@ -237,7 +237,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     again = not found.filter("stays").groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
     names = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rows = rows.join(if_small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_anti")
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_anti")
     if again:  # rows alike in doc_id and text: one of them
         alike = Window.partitionBy("doc_id", "text_hash").orderBy("doc_id")
         rows = rows.withColumn("_n", F.row_number().over(alike)).filter("_n = 1")
