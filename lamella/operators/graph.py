@@ -34,3 +34,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def labelled(pixels: DataFrame, x: str, y: str, width: int) -> DataFrame:
+    """Pixels (distinct) with the region they belong to: node and component are x * width + y, neighbours touch by side or corner."""
+    node = F.col(x) * width + F.col(y)
+    steps = F.array(*[F.struct((F.col(x) + i).alias("nx"), (F.col(y) + j).alias("ny")) for i in (0, 1) for j in (-1, 0, 1) if (i, j) > (0, 0)])
+    near = pixels.select(node.alias("a"), F.explode(steps).alias("s")).select("a", "s.nx", "s.ny")
+    there = pixels.select(F.col(x).alias("nx"), F.col(y).alias("ny"), node.alias("b"))
+    joined = components(near.join(there, ["nx", "ny"]).select("a", "b"))
+    return pixels.select(node.alias("node")).join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def reachable(edges: DataFrame, roots: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """All nodes that can be reached from the roots (node), themselves included: a semi-naive round for each step."""
+    links = stored(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct())
+    seen = front = stored(roots.select("node").distinct())
+    while not front.isEmpty():
+        found = links.join(front, F.col("_a") == F.col("node"), "left_semi").select(F.col("_b").alias("node")).distinct()
+        front = stored(found.join(seen, "node", "left_anti"))
+        seen = seen.unionByName(front)
+    return seen
+
+
+def nested(rows: DataFrame, key: str, lo: str, hi: str, cell: float) -> DataFrame:
+    """For each interval how many strictly enclose it, and the shortest of those (ties to the smaller key).
+
+    What encloses an interval also holds its middle, so intervals are dealt to cells they cover, and each asks the cell of its middle.
+    """
+    cells = F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+    outer = rows.select(F.col(key).alias("_k"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.explode(cells).alias("_c"))
+    asked = rows.withColumn("_c", F.floor((F.col(lo) + F.col(hi)) / 2 / cell))
+    inside = (F.col("_k") != F.col(key)) & (F.col("_lo") < F.col(lo)) & (F.col("_hi") > F.col(hi))
+    found = asked.join(outer, "_c").filter(inside).groupBy(key).agg(F.count("*").alias("depth"), F.min(F.struct((F.col("_hi") - F.col("_lo")).alias("n"), "_k"))["_k"].alias("parent"))
+    return rows.select(key).join(found, key, "left").select(key, F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "parent")

@@ -1,6 +1,11 @@
-"""Queries of the engine's own operators over the shared tables, and SQL that gives the same rows."""
+"""The engine's queries over the shared tables, by name, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from lamella.plans import aggregates, joining, windows
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (windows, aggregates, joining):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
