@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lamella.plans import aggregates, joining, windows
+from lamella.plans import aggregates, joining, scalars, windows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (windows, aggregates, joining):
+for _module in (windows, aggregates, joining, scalars):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
