@@ -41,9 +41,9 @@ def ring_arcs(spark: SparkSession, shards: int, vnodes: int) -> DataFrame:
         (F.coalesce(F.lag("at").over(clockwise), F.lit(-1)) + 1).alias("lo"),
         (F.col("at") + 1).alias("hi"),
     )
-    last = arcs.agg(F.max("hi").alias("lo"))
-    first = arcs.filter("arc = 0").select("arc", "shard")
-    return arcs.unionByName(first.join(last, F.lit(True)).select("arc", "shard", "lo", F.lit(1 << POSITIONS).alias("hi")))
+    end = F.max("hi").over(Window.orderBy("hi").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    wrapped = arcs.withColumn("lo", end).filter("arc = 0").withColumn("hi", F.lit(1 << POSITIONS))
+    return arcs.unionByName(wrapped)
 
 
 def walk(totals: list[int], owners: list[int], room: list[int]) -> list[tuple[int, int, int, int, int]]:
