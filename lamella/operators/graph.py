@@ -68,3 +68,24 @@ def nested(rows: DataFrame, key: str, lo: str, hi: str, cell: float) -> DataFram
     inside = (F.col("_k") != F.col(key)) & (F.col("_lo") < F.col(lo)) & (F.col("_hi") > F.col(hi))
     found = asked.join(outer, "_c").filter(inside).groupBy(key).agg(F.count("*").alias("depth"), F.min(F.struct((F.col("_hi") - F.col("_lo")).alias("n"), "_k"))["_k"].alias("parent"))
     return rows.select(key).join(found, key, "left").select(key, F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "parent")
+
+
+def assembly(links: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+    """Occurrences of an assembly: node, path and matrix (16 numbers, by rows) of each, from links (parent, child, seq, matrix) and roots (node).
+
+    One join a level; a level with nothing ends it. More than `most` levels are an error, as a node then holds itself.
+    """
+    unit = F.array(*[F.lit(float(i % 5 == 0)) for i in range(16)])
+    level = stored(roots.select("node", F.col("node").cast("string").alias("path"), unit.alias("matrix")))
+    out = level
+    edges = stored(links.select(F.col("parent").alias("_p"), F.col("child").alias("_c"), F.col("seq").alias("_s"), F.col("matrix").alias("_m")))
+    product = F.transform(
+        F.sequence(F.lit(0), F.lit(15)),
+        lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0.0), lambda s, k: s + F.get(F.col("matrix"), (F.floor(i / 4) * 4).cast("int") + k) * F.get(F.col("_m"), k * 4 + i % 4)),
+    )
+    for _ in range(most):
+        level = stored(level.join(edges, F.col("node") == F.col("_p")).select(F.col("_c").alias("node"), F.concat_ws("/", "path", F.concat_ws(":", "_c", "_s")).alias("path"), product.alias("matrix")))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+    raise ValueError(f"more than {most} levels")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lamella.plans import aggregates, joining, scalars, windows
+from lamella.plans import aggregates, boards, joining, scalars, windows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (windows, aggregates, joining, scalars):
+for _module in (windows, aggregates, joining, scalars, boards):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
