@@ -134,3 +134,19 @@ def series_permittivity(layers: Column) -> Column:
     """struct<h, er> of stacked dielectrics (array<struct<t, er>>): h = sum t, er = h / sum(t / er)."""
     h = F.aggregate(layers, F.lit(0.0), lambda s, x: s + x["t"])
     return F.struct(h.alias("h"), (h / F.aggregate(layers, F.lit(0.0), lambda s, x: s + x["t"] / x["er"])).alias("er"))
+
+
+def coupled_stripline(w: Column, b: Column, er: Column, s: Column) -> Column:
+    """struct<odd, even, differential> of thin edge-coupled strips between planes b apart (Cohn 1955)."""
+    tanh = lambda x: (F.exp(2 * x) - 1) / (F.exp(2 * x) + 1)
+    one, both = tanh(math.pi * w / (2 * b)), tanh(math.pi * (w + s) / (2 * b))
+    other = lambda k: F.sqrt(F.lit(1.0) - k * k)
+    line = lambda k: F.lit(ETA0 / 4) / F.sqrt(er) * _k_ratio(other(k), k)
+    odd, even = line(one / both), line(one * both)
+    return F.struct(odd.alias("odd"), even.alias("even"), (2 * odd).alias("differential"))
+
+
+def structure(above: Column, below: Column, beside: Column, pair: Column) -> Column:
+    """What a section is by its surroundings: planes above and below, copper beside it, and whether it is a pair."""
+    single = F.when(above & below, "stripline").when((above | below) & beside, "grounded_cpw").when(above | below, "microstrip").when(beside, "cpw").otherwise("none")
+    return F.when(pair & (single != "none"), F.concat(F.lit("coupled_"), single)).otherwise(single)

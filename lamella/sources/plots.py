@@ -199,3 +199,17 @@ def extents(plots: DataFrame) -> DataFrame:
 
     p = plots.select("path", F.explode("points").alias("p"))
     return p.groupBy("path").agg(F.min("p.x").alias("min_x"), F.min("p.y").alias("min_y"), F.max("p.x").alias("max_x"), F.max("p.y").alias("max_y"))
+
+
+def without_profile(plots: DataFrame, profile: DataFrame) -> DataFrame:
+    """plots (path, seq, kind, points...) less the strokes that the profile (the outline's plot) draws as well, in either direction, to a thousandth."""
+    from pyspark.sql import functions as F
+
+    from lamella.functions.text import key_um
+
+    def ends(rows: DataFrame) -> DataFrame:
+        at = lambda i: F.struct(key_um(F.element_at("points", i)["x"]), key_um(F.element_at("points", i)["y"]))
+        return rows.withColumn("_ends", F.array_sort(F.array(at(1), at(-1))).cast("string"))
+
+    drawn = ends(profile.filter("kind = 'stroke'")).select(F.col("_ends").alias("_e")).distinct()
+    return ends(plots).join(drawn, (F.col("kind") == "stroke") & (F.col("_ends") == F.col("_e")), "left_anti").drop("_ends")

@@ -131,3 +131,19 @@ def eagle_wires(text: str) -> list[tuple]:
 
 def read_eagle(files: DataFrame) -> DataFrame:
     return parsed(files, eagle_wires, table("net: string", "class: string", "layer: string", "width: double", "x1: double", "y1: double", "x2: double", "y2: double"))
+
+
+def slimmed(steps: DataFrame, dressing: list[str]) -> DataFrame:
+    """Entities without those of the dressing types, and without what only they needed.
+
+    Kept is what can be reached from the entities that nothing referred to in the whole file, dressing aside.
+    """
+    from lamella.operators.graph import reachable
+
+    key = lambda c: F.concat_ws("#", "path", F.col(c).cast("string"))
+    stay = steps.filter(~F.col("type").isin(dressing))
+    roots = unreferenced(steps).filter(~F.col("type").isin(dressing)).select(key("id").alias("node"))
+    links = stay.select("path", "id", F.explode("refs").alias("to"))
+    links = links.join(stay.select("path", F.col("id").alias("to")), ["path", "to"], "left_semi")
+    seen = reachable(links.select(key("id").alias("a"), key("to").alias("b")), roots)
+    return stay.withColumn("_k", key("id")).join(seen.withColumnRenamed("node", "_k"), "_k", "left_semi").drop("_k")
