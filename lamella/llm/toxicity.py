@@ -94,11 +94,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(float(self.weights[found].sum()) - self.thresholds, -500, 500)))
 
 
-def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, penalty: float = 1.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by gradient descent (Adam) on the penalised likelihood."""
-    levels = int(grades.max())
-    flat = np.concatenate([np.array(x, np.int64) for x in rows]) if rows else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+def fit_ordinal(row: np.ndarray, flat: np.ndarray, grades: np.ndarray, n_features: int, penalty: float = 1.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by gradient descent (Adam) on the penalised likelihood. Row row[i] has feature flat[i]."""
+    levels, rows = int(grades.max()), len(grades)
     share = np.array([np.clip((grades >= k).mean(), 1e-6, 1 - 1e-6) for k in range(1, levels + 1)])
     w, first = np.zeros(n_features), np.log((1 - share[0]) / share[0])
     steps_up = np.log(np.maximum(np.diff(np.log((1 - share) / share)), 1e-2))  # thresholds as a first one and logs of the gaps
@@ -108,17 +106,17 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, pena
     for step in range(1, steps + 1):
         w, first, gaps = theta[:n_features], theta[n_features], np.exp(theta[n_features + 1 :])
         t = first + np.concatenate([[0], np.cumsum(gaps)])
-        z = np.bincount(row, w[flat], len(rows))
-        above = np.hstack([np.ones((len(rows), 1)), sigmoid(z[:, None] - t), np.zeros((len(rows), 1))])  # P(grade >= k), k = 0 and up
+        z = np.bincount(row, w[flat], rows)
+        above = np.hstack([np.ones((rows, 1)), sigmoid(z[:, None] - t), np.zeros((rows, 1))])  # P(grade >= k), k = 0 and up
         slope = above * (1 - above)
-        at = np.arange(len(rows))
+        at = np.arange(rows)
         p = np.maximum(above[at, grades] - above[at, grades + 1], 1e-12)
         dz = -(slope[at, grades] - slope[at, grades + 1]) / p
         dt = np.zeros(levels)
         for k in range(1, levels + 1):
             dt[k - 1] = (slope[:, k] * ((grades == k) * 1.0 - (grades == k - 1)) / p).sum()
         g = np.concatenate([np.bincount(flat, dz[row], n_features) + penalty * w, [dt.sum()], np.cumsum(dt[::-1])[::-1][1:] * gaps])
-        g /= len(rows)
+        g /= rows
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     gaps = np.exp(theta[n_features + 1 :])
@@ -132,16 +130,34 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _found(rows: DataFrame, known: dict[str, int]) -> DataFrame:
-    """doc_id, grade, and the places `at` of the known marks of each row's text."""
+    """row (a number of it), grade, and the places `at` of the known marks of each row's text."""
     held = rows.sparkSession.sparkContext.broadcast(known)  # MOST_CANDIDATES marks at most
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(held.value)
         for batch in batches:
             found = [look(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "grade", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("grade"), pa.array(found, pa.list_(pa.int32()))], names=["row", "grade", "at"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "grade", "text").mapInArrow(places, "doc_id long, grade int, at array<int>")
+    return rows.select(F.monotonically_increasing_id().alias("row"), "grade", "text").mapInArrow(places, "row long, grade int, at array<int>")
+
+
+def _counts(rows: DataFrame, marks_: list[str]) -> DataFrame:
+    """at, a, n: how many rows graded above 0, and how many in all, have each of the marks; summed in each task first."""
+    held = rows.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(marks_)})  # MOST_CANDIDATES marks at most
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Lookup(held.value)
+        a, n = np.zeros(len(held.value), np.int64), np.zeros(len(held.value), np.int64)
+        for batch in batches:
+            for grade, text in zip(batch.column("grade").to_pylist(), batch.column("text"), strict=True):
+                at = look(text.as_py())
+                n[at] += 1
+                a[at] += grade > 0
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(a[at]), pa.array(n[at])], names=["at", "a", "n"])
+
+    return rows.select("grade", "text").mapInArrow(count, "at long, a long, n long").groupBy("at").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
@@ -156,9 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
         return Model({}, np.zeros(0), np.zeros(0))
     seen = sample.filter("grade > 0").select("text").mapInArrow(_marked, "mark string").groupBy("mark").agg(F.count("*").alias("a"))
     seen = seen.filter(F.col("a") >= LEAST_BAD).orderBy(F.col("a").desc(), "mark").limit(MOST_CANDIDATES)
-    candidates = [r.mark for r in seen.select("mark").collect()]
-    rows = stored(_found(sample, {x: i for i, x in enumerate(candidates)}))
-    counted = rows.select("grade", F.explode("at").alias("at")).groupBy("at").agg(F.sum(F.when(F.col("grade") > 0, 1).otherwise(0)).alias("a"), F.count("*").alias("n"))
+    candidates = seen.select("mark").toArrow().column("mark").to_pylist()
+    counted = _counts(sample, candidates)
     a, n, every = F.col("a").cast("double"), F.col("n").cast("double"), float(bad + good)
     term = lambda seen, expected: F.when((seen > 0) & (expected > 0), seen * F.log(seen / expected)).otherwise(0.0)
     ratio = 2 * (
@@ -166,10 +181,15 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     )
     best = counted.withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.col("ratio").desc(), "at").limit(MOST_FEATURES)
     chosen = [r["at"] for r in best.select("at").collect()]
-    place = {old: new for new, old in enumerate(chosen)}
-    data = sorted((r.doc_id is None, r.doc_id or 0, r.grade, sorted(place[x] for x in r["at"] if x in place)) for r in rows.collect())  # MOST_ROWS at most
-    weights, thresholds = fit_ordinal([r[3] for r in data], np.array([r[2] for r in data]), len(chosen))
-    return Model({candidates[old]: new for new, old in enumerate(chosen)}, weights, thresholds)
+    known = [candidates[i] for i in chosen]
+    rows = _found(sample, {x: i for i, x in enumerate(known)}).toArrow()  # MOST_FEATURES of MOST_ROWS at most
+    order = np.argsort(rows.column("row").to_numpy())
+    found = rows.column("at").to_pylist()
+    grades = rows.column("grade").to_numpy().astype(np.int64)[order]
+    row = np.repeat(np.arange(len(order)), [len(found[i]) for i in order])
+    flat = np.fromiter((x for i in order for x in found[i]), np.int64)
+    weights, thresholds = fit_ordinal(row, flat, grades, len(chosen))
+    return Model({x: i for i, x in enumerate(known)}, weights, thresholds)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
