@@ -17,10 +17,10 @@ BIG = "/root/testdata/sf0.1"
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
     model = toxicity.train(docs, labels.filter("doc_id % 2 = 0"))
-    rest = toxicity.scored(docs.filter("doc_id % 2 = 1").join(labels, "doc_id"), model).select("toxic", F.col("tox.p_toxic").alias("p"), F.col("tox.severity").alias("s")).toPandas()
-    called = rest.p >= 0.5
-    assert (rest.toxic[called] == 1).mean() > 0.95  # precision
-    assert called[rest.toxic == 1].mean() > 0.75  # recall; a part of the labels has no mark in the text
+    rest = toxicity.scored(docs.filter("doc_id % 2 = 1").join(labels, "doc_id"), model).select("toxic", F.col("tox.p_toxic").alias("p"), F.col("tox.severity").alias("s"), F.col("tox.toxic").alias("called")).toPandas()
+    called = rest.called
+    assert (rest.toxic[called] == 1).mean() > 0.94  # precision
+    assert called[rest.toxic == 1].mean() > 0.88  # recall; a part of the labels has no mark in the text
     assert (rest.s >= rest.p - 1e-12).all() and (rest.s <= 2).all()
     assert model.thresholds[0] <= model.thresholds[1]
 
