@@ -69,7 +69,7 @@ def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
 def times_taken(line: DataFrame, share: float = SHARE, epochs: int = CAP) -> DataFrame:
     """line with `times`: how often the mix takes each row."""
     spark = line.sparkSession
-    finish = [(F.col("source_size") * e + F.col("sent")) / F.col("target") for e in range(epochs)]
+    finish = [F.try_divide(F.col("source_size") * e + F.col("sent"), F.col("target")) for e in range(epochs)]  # no target: never
     bin_of = lambda at: F.least(F.floor(at * BINS), F.lit(MOST_BIN))
     entries = line.filter("size > 0").select("size", "shuffled", F.posexplode(F.array(*finish)).alias("epoch", "finish")).withColumn("bin", bin_of(F.col("finish")))
     budget = (line.agg(F.sum("size").alias("n")).first().n or 0) * share
