@@ -341,3 +341,93 @@ def overrides(spark: SparkSession, d: str) -> DataFrame:
     for net, structure in given.items():
         chosen = F.when(F.col("l_suppkey") == net, structure).otherwise(chosen)
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", chosen.alias("structure"))
+
+
+@query(
+    "j15_parallel_partner",
+    """WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), t AS (SELECT l_suppkey, count(*) AS total FROM p GROUP BY 1),
+c AS (SELECT a.l_suppkey, b.l_suppkey AS other, count(*) AS n FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY ALL)
+SELECT l_suppkey, arg_max(other, struct_pack(a := n, b := -other)) AS partner, max(n) AS shared FROM c JOIN t USING (l_suppkey) WHERE n >= 0.02 * total GROUP BY 1""",
+)
+def parallel_partner(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    total = p.groupBy("l_suppkey").agg(F.count("*").alias("total"))
+    both = p.join(p.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey").filter("l_suppkey <> other")
+    shared = both.groupBy("l_suppkey", "other").agg(F.count("*").alias("n")).join(total, "l_suppkey").filter(F.col("n") >= 0.02 * F.col("total"))
+    best = F.max(F.struct(F.col("n"), (-F.col("other")).alias("o")))
+    return shared.groupBy("l_suppkey").agg((-best["o"]).alias("partner"), best["n"].alias("shared"))
+
+
+@query(
+    "j19_vote",
+    """WITH p AS (SELECT s_nationkey, CAST(floor((s_acctbal - c_acctbal) / 250) AS BIGINT) AS bin FROM supplier JOIN customer ON s_nationkey = c_nationkey),
+v AS (SELECT s_nationkey, bin, count(*) AS n FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY n DESC, bin) AS k FROM v)
+SELECT s_nationkey, max(CASE WHEN k = 1 THEN bin END) AS bin, max(CASE WHEN k = 1 THEN n END) AS votes, coalesce(max(CASE WHEN k = 2 THEN n END), 0) <= 0.6 * max(CASE WHEN k = 1 THEN n END) AS clear FROM r WHERE k <= 2 GROUP BY 1""",
+)
+def vote(spark: SparkSession, d: str) -> DataFrame:
+    s, c = read(spark, d, "supplier"), read(spark, d, "customer")
+    bins = s.join(c, s.s_nationkey == c.c_nationkey).groupBy("s_nationkey", F.floor((F.col("s_acctbal") - F.col("c_acctbal")) / 250).alias("bin")).agg(F.count("*").alias("n"))
+    top = bins.withColumn("k", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.col("n").desc(), "bin"))).filter("k <= 2")
+    first, second = F.max(F.when(F.col("k") == 1, F.col("n"))), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("n"))), F.lit(0))
+    return top.groupBy("s_nationkey").agg(F.max(F.when(F.col("k") == 1, F.col("bin"))).alias("bin"), first.alias("votes"), (second <= first * 0.6).alias("clear"))
+
+
+@query(
+    "j27_slot_pad",
+    """WITH m AS (SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND CAST(floor(s_acctbal / 100) AS BIGINT) = CAST(floor(c_acctbal / 100) AS BIGINT) AND abs(s_acctbal - c_acctbal) < 50)
+SELECT s_suppkey, min(c_custkey) AS slot FROM m GROUP BY 1""",
+)
+def slot_pad(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", F.floor(F.col("s_acctbal") / 100).alias("sk"))
+    c = read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", F.floor(F.col("c_acctbal") / 100).alias("ck"))
+    near = s.join(c, (s.s_nationkey == c.c_nationkey) & (s.sk == c.ck)).filter(F.abs(F.col("s_acctbal") - F.col("c_acctbal")) < 50)
+    return near.groupBy("s_suppkey").agg(F.min("c_custkey").alias("slot"))
+
+
+@query(
+    "j30_near_slice",
+    """SELECT s_suppkey, count(*) AS n, min(c_acctbal - s_acctbal) AS lo, max(c_acctbal - s_acctbal) AS hi FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE abs(c_acctbal - s_acctbal) <= 800 GROUP BY 1""",
+)
+def near_slice(spark: SparkSession, d: str) -> DataFrame:
+    s, c = read(spark, d, "supplier"), read(spark, d, "customer")
+    off = F.col("c_acctbal") - F.col("s_acctbal")
+    rows = s.join(c, s.s_nationkey == c.c_nationkey).filter(F.abs(off) <= 800)
+    return rows.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.min(off).alias("lo"), F.max(off).alias("hi"))
+
+
+@query(
+    "v03_span_rules",
+    """SELECT 'span' AS rule, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber > l_quantity UNION ALL SELECT 'layer', l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')""",
+)
+def span_rules(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    broken = F.array_compact(F.array(F.when(F.col("l_linenumber") > F.col("l_quantity"), F.lit("span")), F.when(~F.col("l_returnflag").isin("A", "N"), F.lit("layer"))))
+    return rows.select(F.explode(broken).alias("rule"), "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("s33_json_sink", """SELECT to_json({'p_partkey': p_partkey, 'p_brand': p_brand, 'p_size': CASE WHEN p_size > 25 THEN p_size END}) AS value FROM part""")
+def json_sink(spark: SparkSession, d: str) -> DataFrame:
+    from lamella.sources.sinks import documents
+
+    return documents(read(spark, d, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") > 25, F.col("p_size")).alias("p_size")))
+
+
+@query(
+    "s34_placement_sink",
+    """SELECT p_brand, 'Ref,Val,Package,PosX,PosY,Rot,Side' || chr(10) || string_agg('"' || p_partkey || '","' || p_type || '","",' || printf('%.6f', p_retailprice) || ',' || printf('%.6f', p_size / 2.0::DOUBLE) || ',0.000000,top', chr(10) ORDER BY CAST(p_partkey AS VARCHAR)) || chr(10) AS value FROM part GROUP BY 1""",
+)
+def placement_sink(spark: SparkSession, d: str) -> DataFrame:
+    from lamella.sources.sinks import placement_csv
+
+    part = read(spark, d, "part")
+    rows = part.select(
+        "p_brand", F.col("p_partkey").cast("string").alias("ref"), F.col("p_type").alias("value"), F.lit("").alias("footprint"), F.col("p_retailprice").alias("x"),
+        (F.col("p_size") / 2.0).alias("y"), F.lit(0.0).alias("rotation"), F.lit("top").alias("side"),
+    )
+    return placement_csv(rows, ["p_brand"])
+
+
+@query("s38_store_misses", "SELECT DISTINCT sha256(p_brand || p_type) AS key FROM part WHERE p_size > 25 AND sha256(p_brand || p_type) NOT IN (SELECT sha256(p_brand || p_type) FROM part WHERE p_size <= 25)")
+def store_misses(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part").select(F.sha2(F.concat("p_brand", "p_type"), 256).alias("key"), "p_size")
+    return part.filter("p_size > 25").select("key").distinct().join(part.filter("p_size <= 25").select("key"), "key", "left_anti")

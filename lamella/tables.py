@@ -48,3 +48,10 @@ BROADCAST_BYTES = 16 << 20
 def if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """A stored table, marked for broadcast if its files are small."""
     return F.broadcast(df) if stored_bytes(df) <= most else df
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that `stored` has written; for when nothing that reads them is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    path.getFileSystem(conf).delete(path, True)
