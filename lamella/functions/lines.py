@@ -150,3 +150,14 @@ def structure(above: Column, below: Column, beside: Column, pair: Column) -> Col
     """What a section is by its surroundings: planes above and below, copper beside it, and whether it is a pair."""
     single = F.when(above & below, "stripline").when((above | below) & beside, "grounded_cpw").when(above | below, "microstrip").when(beside, "cpw").otherwise("none")
     return F.when(pair & (single != "none"), F.concat(F.lit("coupled_"), single)).otherwise(single)
+
+
+def dispersed(e_eff: Column, er: Column, u: Column, ghz_mm: Column) -> Column:
+    """The effective permittivity of a microstrip (u = w / h) at a frequency times height in GHz mm (Kirschning and Jansen 1982)."""
+    n = lambda v: F.lit(float(v))
+    p1 = n(0.27488) + u * (n(0.6315) + n(0.525) / F.pow(n(1) + n(0.0157) * ghz_mm, n(20))) - n(0.065683) * F.exp(n(-8.7513) * u)
+    p2 = n(0.33622) * (n(1) - F.exp(n(-0.03442) * er))
+    p3 = n(0.0363) * F.exp(n(-4.6) * u) * (n(1) - F.exp(-F.pow(ghz_mm / n(38.7), n(4.97))))
+    p4 = n(1) + n(2.751) * (n(1) - F.exp(-F.pow(er / n(15.916), n(8))))
+    p = p1 * p2 * F.pow((n(0.1844) + p3 * p4) * ghz_mm, n(1.5763))
+    return er - (er - e_eff) / (n(1) + p)

@@ -398,3 +398,15 @@ SELECT p_partkey, floor(d * 1e9 + 0.5) / 1e9 AS depth, floor((1 + 2 / pi() * ata
 def skin(spark: SparkSession, d: str) -> DataFrame:
     depth = L.skin_depth(F.col("p_size") * 1e9, F.lit(5.8e7))
     return read(spark, d, "part").select("p_partkey", (F.floor(depth * 1e9 + 0.5) / 1e9).alias("depth"), _three(L.hammerstad_roughness(F.lit(5e-7), depth)).alias("rough"))
+
+
+@query(
+    "z19_dispersed",
+    """WITH s AS (SELECT DISTINCT p_size, 1.7::DOUBLE AS u, p_size * 0.2::DOUBLE AS f FROM part),
+p AS (SELECT *, (0.27488::DOUBLE + u * (0.6315::DOUBLE + 0.525::DOUBLE / pow(1 + 0.0157::DOUBLE * f, 20)) - 0.065683::DOUBLE * exp(-8.7513::DOUBLE * u)) * (0.33622::DOUBLE * (1 - exp(-0.03442::DOUBLE * 4.4)))
+  * pow((0.1844::DOUBLE + 0.0363::DOUBLE * exp(-4.6::DOUBLE * u) * (1 - exp(-pow(f / 38.7::DOUBLE, 4.97::DOUBLE))) * (1 + 2.751::DOUBLE * (1 - exp(-pow(4.4::DOUBLE / 15.916, 8))))) * f, 1.5763::DOUBLE) AS p FROM s)
+SELECT p_size, floor((4.4 - (4.4 - 3.176) / (1 + p)) * 1000000 + 0.5) / 1000000 AS e_eff FROM p""",
+)
+def dispersed(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "part").select("p_size").distinct()
+    return rows.select("p_size", _six(L.dispersed(F.lit(3.176), F.lit(4.4), F.lit(1.7), F.col("p_size") * 0.2)).alias("e_eff"))

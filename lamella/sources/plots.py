@@ -58,6 +58,7 @@ def plot(text: str) -> list[tuple]:
     """
     scale, digits = 1.0, (4, 6)
     apertures: dict[str, tuple[str, float, float, str]] = {}
+    macros: dict[str, str] = {}
     function = ""
     net = ref = pin = None
     code, x, y, mode, multi, dark, region = "", 0.0, 0.0, "01", True, True, False
@@ -91,9 +92,16 @@ def plot(text: str) -> list[tuple]:
                 function = "" if what in ("", ".AperFunction") else function
                 net = None if what in ("", ".N") else net
                 ref, pin = (None, None) if what in ("", ".P", ".C") else (ref, pin)
+            elif word.startswith("AM"):
+                macros[word[2:].split("*", 1)[0]] = word[2:]
             elif word.startswith("ADD"):
                 found = re.match(r"ADD(\d+)([^,]+),?(.*)", word)
                 sizes = [float(v) * scale for v in found[3].split("X") if re.fullmatch(r"[+-]?[\d.]+", v)]
+                if found[2] in macros:
+                    rings = macro(macros[found[2]], [float(v) for v in found[3].split("X") if v])
+                    spread = [(max(c) - min(c)) * scale for c in zip(*[p for r in rings for p in r], strict=True)] or [0.0, 0.0]
+                    apertures[found[1]] = (found[2], spread[0], spread[1], function)
+                    continue
                 apertures[found[1]] = (found[2], sizes[0] if sizes else 0.0, sizes[1] if len(sizes) > 1 and found[2] in "RO" else sizes[0] if sizes else 0.0, function)
             continue
         if word.startswith("G04"):
@@ -213,3 +221,79 @@ def without_profile(plots: DataFrame, profile: DataFrame) -> DataFrame:
 
     drawn = ends(profile.filter("kind = 'stroke'")).select(F.col("_ends").alias("_e")).distinct()
     return ends(plots).join(drawn, (F.col("kind") == "stroke") & (F.col("_ends") == F.col("_e")), "left_anti").drop("_ends")
+
+
+def macro(body: str, given: list[float]) -> list[list[tuple[float, float]]]:
+    """The exposed shapes of an aperture macro (name*primitive*...) with these parameters, as rings; variables and arithmetic (+ - x /) are worked out."""
+    values = {k + 1: v for k, v in enumerate(given)}
+
+    def number(text: str) -> float:
+        tokens = re.findall(r"\$\d+|\d*\.\d+|\d+\.?|[-+xX/()]", text)
+        at = 0
+
+        def factor() -> float:
+            nonlocal at
+            t = tokens[at]
+            at += 1
+            if t == "(":
+                v = total()
+                at += 1
+                return v
+            if t in "+-":
+                return factor() * (-1 if t == "-" else 1)
+            return values.get(int(t[1:]), 0.0) if t[0] == "$" else float(t)
+
+        def product() -> float:
+            nonlocal at
+            v = factor()
+            while at < len(tokens) and tokens[at] in "xX/":
+                divide = tokens[at] == "/"
+                at += 1
+                w = factor()
+                v = v / w if divide else v * w
+            return v
+
+        def total() -> float:
+            nonlocal at
+            v = product()
+            while at < len(tokens) and tokens[at] in "+-":
+                sign = 1 if tokens[at] == "+" else -1
+                at += 1
+                v += sign * product()
+            return v
+
+        return total() if tokens else 0.0
+
+    def turned(ring: list[tuple[float, float]], degrees: float) -> list[tuple[float, float]]:
+        c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+        return [(x * c - y * s, x * s + y * c) for x, y in ring]
+
+    circle = lambda x, y, r, n=32, start=0.0: [(x + r * math.cos(start + 2 * math.pi * k / n), y + r * math.sin(start + 2 * math.pi * k / n)) for k in range(n)]
+    out = []
+    for part in (p.strip() for p in body.split("*")[1:]):
+        if not part or part.startswith("0"):
+            continue
+        if part.startswith("$"):
+            name, expression = part.split("=", 1)
+            values[int(name[1:])] = number(expression)
+            continue
+        code, *rest = part.split(",")
+        v = [number(x) for x in rest]
+        if not v or not v[0]:
+            continue  # not exposed
+        if code == "1":
+            out.append(turned(circle(v[2], v[3], v[1] / 2), v[4] if len(v) > 4 else 0.0))
+        elif code == "4":
+            n = int(v[1])
+            out.append(turned([(v[2 + 2 * k], v[3 + 2 * k]) for k in range(n)], v[4 + 2 * n] if len(v) > 4 + 2 * n else 0.0))
+        elif code == "5":
+            out.append(turned(circle(v[2], v[3], v[4] / 2, int(v[1])), v[5] if len(v) > 5 else 0.0))
+        elif code in ("2", "20"):
+            width, x1, y1, x2, y2 = v[1:6]
+            length = math.hypot(x2 - x1, y2 - y1) or 1.0
+            px, py = -(y2 - y1) / length * width / 2, (x2 - x1) / length * width / 2
+            out.append(turned([(x1 + px, y1 + py), (x2 + px, y2 + py), (x2 - px, y2 - py), (x1 - px, y1 - py)], v[6] if len(v) > 6 else 0.0))
+        elif code == "21":
+            w, h, x, y = v[1] / 2, v[2] / 2, v[3], v[4]
+            out.append(turned([(x - w, y - h), (x + w, y - h), (x + w, y + h), (x - w, y + h)], v[5] if len(v) > 5 else 0.0))
+    return out

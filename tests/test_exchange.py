@@ -80,3 +80,28 @@ def test_cuts_and_pairs(spark):
     assert abs(row.slant.lo - 2.5 / s) < 1e-9 and abs(row.slant.hi - 3.5 / s) < 1e-9
     assert abs(row.far.odd - row.single) < 0.01 and abs(row.far.even - row.single) < 0.01 and row.near.odd < row.single < row.near.even
     assert row.kind == "coupled_microstrip"
+
+
+def test_macros():
+    rings = plots.macro("BOX*0 a note*$3=$1x2+1*21,1,$1,$2,0,0,90*1,1,$3,5,0*20,0,1,0,0,1,1,0", [2.0, 4.0])
+    assert [len(r) for r in rings] == [4, 32]
+    assert max(x for x, _ in rings[0]) == 2.0 and abs(max(y for _, y in rings[0]) - 1.0) < 1e-12 and max(x for x, _ in rings[1]) == 7.5
+    text = "%FSLAX46Y46*%%MOMM*%%AMBOX*21,1,$1,$1/2-(0.5),0,0,0*%%ADD12BOX,4*%D12*X0Y0D03*M02*"
+    assert plots.plot(text)[0][7:9] == (4.0, 1.5)
+
+
+def test_spreadsheet(spark):
+    import io
+    import zipfile
+
+    from lamella.sources import sheets
+
+    cell = lambda r, v: f'<c r="{r}" t="s"><v>{v}</v></c>'
+    head = "".join(f"<si><t>{x}</t></si>" for x in ("Reference", "Value", "C1,C2", "10n", "other"))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst>{head}</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<w><row>{cell('A1', 4)}</row></w>")
+        z.writestr("xl/worksheets/sheet2.xml", f'<w><row>{cell("A1", 0)}{cell("C1", 1)}</row><row>{cell("A2", 2)}{cell("C2", 3)}</row></w>')
+    rows = sheets.read_bill(sheets.as_text(content(spark, b__xlsx=buffer.getvalue(), bad__xlsx=b"no"))).collect()
+    assert [(r.designators, r.value) for r in rows] == [(["C1", "C2"], "10n")]
