@@ -33,7 +33,7 @@ SHIFT = 10.0
 FALLBACK = 10.0
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
 #: Chunks a task keeps, and bytes of new chunks encoded together.
-CACHE, TOGETHER = 1 << 19, 1 << 18
+CACHE, TOGETHER = 1 << 18, 1 << 18
 
 
 @dataclass

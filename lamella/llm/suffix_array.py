@@ -40,10 +40,10 @@ from lamella.tables import read, stored
 SPAN = 200
 GRAM = 64
 #: Bytes hashed at once, and bytes of contexts sorted at once (positions and names share 21 bits).
-PIECE = 1 << 20
-BATCH = 1 << 20
+PIECE = 1 << 18
+BATCH = 1 << 19
 #: Different contexts of an anchor that are sorted in one batch.
-GROUP = 5000
+GROUP = 2000
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
