@@ -168,7 +168,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             grid[own, own] += s
             r[own] -= s
             l[own] -= s
-            rows, columns = grid.sum(axis=1), grid.sum(axis=0)
+            rows, columns = grid.sum(axis=1) + l, grid.sum(axis=0) + r  # what leads to u, and from it, counts wherever u is
             n_row, n_column = r.sum() + s, l.sum() + s
             gain = (f(grid + r) - f(grid)).sum(axis=1) + (f(grid + l[:, None]) - f(grid)).sum(axis=0)
             d = grid[diagonal, diagonal]
