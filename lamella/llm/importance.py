@@ -1,8 +1,9 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 A text's features are its tokens (runs of word characters, runs of other marks) and pairs of neighbours, each
-hashed into BUCKETS; pairs of a token with itself share one bucket. Counts of all labelled documents of good
-quality make the target model, counts of all documents the raw one (add-one smoothing). A document's log weight
+hashed into BUCKETS; pairs of a token with itself share one bucket. Counts of labelled documents of good quality
+(MOST_LABELS of them at most, those with the smallest hash of doc_id) make the target model, counts of all documents
+the raw one (add-one smoothing). A document's log weight
 is the sum over its features of log p_target - log p_raw. Adding a Gumbel variate (from a hash of doc_id, so
 reruns agree) and keeping the k largest keys samples k documents without replacement in proportion to weight.
 k is the share of good ones among labelled documents, of all documents, unless given.
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 from lamella.tables import read, stored
 
 BUCKETS = 1 << 14
+MOST_LABELS = 20_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CACHE = 1 << 18
 BINS = 4096
@@ -72,8 +74,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p_target - log p_raw of each bucket. A document counts for the target once for each label of good quality."""
-    good = labels.filter("quality = 1").groupBy("doc_id").agg(F.count("*").alias("good")).withColumnRenamed("doc_id", "_id")
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_id"), "left").select(F.coalesce("good", F.lit(0)).alias("good"), "text")
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("good")).withColumnRenamed("doc_id", "_id")
+    good = good.orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELS)  # the bound: a top-k by hash
+    marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("_id"), "left").select(F.coalesce("good", F.lit(0)).alias("good"), "text")
     counts = marked.mapInArrow(_counted, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.collect():  # BUCKETS rows at most
