@@ -1,32 +1,30 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-The documents of a source queue in a shuffled order (by the md5 of doc_id), `epochs`
-times over. A document's virtual finish time is what its source has sent up to and with
-it, divided by the source's target: all sources reach their target at time 1. The mix is
-the queue of all sources in order of finish time, cut where the budget is spent.
-
-Nothing is gathered per source: running sums come from sums per (source, cell of the
-shuffle), and the cut from a histogram of finish times with a fixed number of bins, of
-which only the one that holds the cut is put in order.
-
-Edge cases: a null text has size 0, and documents of size 0 are never taken; a null source
-is a source and comes last; rows alike in doc_id and size share a place in the queue, so
-either all or none are taken; an empty table gives no rows; other columns are kept by `mix`.
+The documents of a source queue in a shuffled order (by the md5 of doc_id), `epochs` times over. A document's virtual
+finish time is what its source has sent up to and with it, divided by the source's target; served fairly, all
+sources reach their targets at time 1, when the words sent are the budget, the sum of the targets. The mix is the queue of all
+sources range-sorted by finish time and cut there: what has finished is taken whole, and of the document that a source
+is sending at the cut, the words sent so far.
+
+Nothing is gathered per source: running sums come from sums per (source, cell of the shuffle). What a source has sent is
+a prefix of its queue, so `mix` decides with no more than each source's last places; only the sort shuffles texts.
+
+Edge cases: a null text has size 0, and documents of size 0 are never taken; a null source is a source and comes
+last; rows alike in doc_id queue by size, then by a hash of the text, and rows alike in that too take places in any order (in `mix`, they
+are cut together); an empty table gives no rows; `mix` keeps the columns of the documents, whatever their names (n_chars follows a cut).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import n_words
+from lamella.llm.common import BLANKS, n_words
 from lamella.tables import read, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-BINS = 4096
-MOST_BIN = 1 << 16
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -49,10 +47,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def _shuffled() -> Column:
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+
+
 def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """doc_id, source, size, shuffled, source_size, target, and sent: what their source has sent at their place."""
-    shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffled.alias("shuffled")))  # texts are read once
+    """doc_id, source, size, shuffled, text_hash, source_size, target, and sent: what their source has sent when they finish."""
+    rows = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _shuffled().alias("shuffled"), F.xxhash64("text").alias("text_hash")))  # texts are read once
     rows = rows.withColumn("cell", F.substring("shuffled", 1, 3))
     cells = stored(rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")))
     sizes = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, cap)
@@ -60,64 +61,58 @@ def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     starts = cells.select(F.col("source").alias("_source"), F.col("cell").alias("_cell"), F.coalesce(F.sum("cell_size").over(earlier), F.lit(0)).alias("offset"))
     sizes = sizes.select(F.col("source").alias("_of"), "source_size", "target")
     starts = stored(starts.join(sizes, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of"))
-    within = Window.partitionBy("source", "cell").orderBy("shuffled", "size")
-    rows = rows.withColumn("in_cell", F.sum("size").over(within))  # equal rows share the sum
+    within = Window.partitionBy("source", "cell").orderBy("shuffled", "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("in_cell", F.sum("size").over(within))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("cell") == F.col("_cell")))
     return rows.withColumn("sent", F.col("offset") + F.col("in_cell")).drop("_source", "_cell", "offset", "in_cell", "cell")
 
 
-def times_taken(line: DataFrame, share: float = SHARE, epochs: int = CAP) -> DataFrame:
-    """line with `times`: how often the mix takes each row."""
-    spark = line.sparkSession
-    finish = [F.try_divide(F.col("source_size") * e + F.col("sent"), F.col("target")) for e in range(epochs)]  # no target: never
-    bin_of = lambda at: F.least(F.floor(at * BINS), F.lit(MOST_BIN))
-    entries = line.filter("size > 0").select("size", "shuffled", F.posexplode(F.array(*finish)).alias("epoch", "finish")).withColumn("bin", bin_of(F.col("finish")))
-    budget = (line.agg(F.sum("size").alias("n")).first().n or 0) * share
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # MOST_BIN + 1 rows at most
-    hist = entries.groupBy("bin").agg(F.sum("size").alias("n")).select("bin", "n", F.sum("n").over(upto).alias("upto"))
-    cut = hist.filter(F.col("upto") > F.lit(budget)).orderBy("bin").first()
-    if cut is None:
-        return line.withColumn("times", F.when(F.col("size") > 0, F.lit(epochs)).otherwise(F.lit(0)))
-    order = Window.partitionBy("bin").orderBy("finish", "shuffled", "size", "epoch")
-    edge = entries.filter(F.col("bin") == cut.bin).withColumn("upto", F.sum("size").over(order) + F.lit(cut.upto - cut.n))
-    last = edge.filter(F.col("upto") <= F.lit(budget)).agg(F.max(F.struct("finish", "shuffled", "size", "epoch")).alias("at")).first()["at"]
-
-    def taken(at, epoch: int):
-        inside = bin_of(at) < cut.bin
-        if last is not None:
-            key = F.struct(at, F.col("shuffled"), F.col("size"), F.lit(epoch))
-            inside = inside | ((bin_of(at) == cut.bin) & (key <= F.struct(F.lit(last.finish), F.lit(last.shuffled), F.lit(last["size"]).cast("long"), F.lit(last.epoch))))
-        return F.when(inside & (F.col("size") > 0), 1).otherwise(0)
-
-    return line.withColumn("times", sum((taken(at, e) for e, at in enumerate(finish)), F.lit(0)))
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it takes it.
-
-    What a source sends is a prefix of its queue, so a row needs no more than the last place its
-    source has sent from in each epoch: texts aren't shuffled.
-    """
-    line = stored(queued(docs.select("doc_id", "source", "text"), weights, share, cap).select("source", "size", "shuffled", "source_size", "target", "sent"))
-    place = F.struct("shuffled", "size")
-    cuts = times_taken(line, share, cap).groupBy("source").agg(*[F.max(F.when(F.col("times") > e, place)).alias(f"_cut{e}") for e in range(cap)])
-    cuts = stored(cuts.withColumnRenamed("source", "_source"))
+def finish_time(epoch: int) -> Column:
+    """When a row's copy in this epoch (from 0) finishes; null without a target."""
+    return F.try_divide(F.col("source_size") * epoch + F.col("sent"), F.col("target"))
+
+
+def taken_words(epoch: int) -> Column:
+    """The words of a row's copy in this epoch that are sent by time 1: all if it has finished, else what its source's target leaves for it."""
+    left = F.floor("target") - (F.col("source_size") * epoch + F.col("sent") - F.col("size"))
+    return F.when(F.col("size") == 0, 0).when(finish_time(epoch) <= 1, F.col("size")).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), left))).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, ordered: bool = True) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it takes it, the last of a source cut to its first words; range-sorted by finish time unless not asked for."""
+    line = queued(docs.select("doc_id", "source", "text"), weights, share, cap)
+    place = F.struct("shuffled", "size", "text_hash")
+    got = [taken_words(e) for e in range(cap)]
+    whole = [F.max(F.when((g > 0) & (g == F.col("size")), place)).alias(f"_whole{e}") for e, g in enumerate(got)]
+    part = [F.max(F.when((g > 0) & (g < F.col("size")), F.struct(place.alias("place"), g.alias("words")))).alias(f"_part{e}") for e, g in enumerate(got)]
+    cuts = stored(line.groupBy("source").agg(*whole, *part, F.max("target").alias("_target")).withColumnRenamed("source", "_source"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.col("source").alias("_from"),
-        F.struct(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("shuffled"), n_words(F.col("text")).alias("size")).alias("_place"),
-    ).join(cuts, F.col("_from").eqNullSafe(F.col("_source")))
-    times = sum((F.when(F.col("_place") <= F.col(f"_cut{e}"), 1).otherwise(0) for e in range(cap)), F.lit(0))
-    rows = rows.filter(F.col("_place.size") > 0).withColumn("_times", times).filter("_times > 0")
-    names = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+        F.struct(*columns).alias("_row"), F.col("source").alias("_from"), F.col("text").alias("_text"),
+        F.struct(_shuffled().alias("shuffled"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")).alias("_place"),
+    ).join(cuts, F.col("_from").eqNullSafe(F.col("_source")))
+    size = F.col("_place.size")
+    words = [F.when(F.col("_place") <= F.col(f"_whole{e}"), size).when(F.col("_place") == F.col(f"_part{e}.place"), F.col(f"_part{e}.words")) for e in range(cap)]
+    rows = rows.filter(size > 0).select("_row", "_text", "_place", F.posexplode(F.array(*words)).alias("_epoch", "_words")).filter("_words > 0")
+    pieces = F.split("_text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)  # a word and the blanks behind it
+    start = F.when(F.trim(F.get(pieces, F.lit(0)), F.lit(BLANKS)) == "", 1).otherwise(0)  # blanks before the first word are a piece of their own
+    cut = F.when(F.col("_words") < size, F.array_join(F.slice(pieces, F.lit(1), (F.col("_words") + start).cast("int")), "")).otherwise(F.col("_text"))
+    rows = rows.withColumn("_cut", cut)
+    if ordered:
+        sent = line.groupBy("shuffled", "size", "text_hash").agg(F.min(F.struct("sent", "source_size", "target")).alias("_at"))
+        rows = rows.select("*", "_place.*").join(sent, ["shuffled", "size", "text_hash"])
+        finish = F.try_divide(F.col("_at.source_size") * F.col("_epoch") + F.col("_at.sent"), F.col("_at.target"))
+        rows = rows.orderBy(finish, "_place", "_epoch")
+    fields = {c: F.col(f"_row.`{c}`").alias(c) for c in docs.columns}
+    fields["text"] = F.col("_cut").alias("text")
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(F.col("_words") < size, F.length("_cut")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return rows.select(*fields.values())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    narrow = docs.select("doc_id", "source", "text")
-    line = queued(narrow).select("doc_id", "size", "shuffled", "source_size", "target", "sent")
-    return times_taken(stored(line)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+    taken = sum((taken_words(e) for e in range(1, CAP)), taken_words(0))
+    return queued(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.alias("taken"), finish_time(0).alias("finish"))
 
 
 ORACLE = r"""
@@ -131,14 +126,10 @@ s3 AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE
         / CAST(sum(weight) OVER (ORDER BY "full", turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM s2),
 s4 AS (SELECT *, arg_min(level, struct_pack(a := "full", b := turn)) FILTER ("full" > level) OVER () AS lam FROM s3),
 s AS (SELECT source, source_size, CASE WHEN "full" <= level THEN source_size * 2.0::DOUBLE ELSE weight * lam END AS target FROM s4),
-q AS (SELECT d.doc_id, d.size, d.h, s.source_size, s.target,
-             CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size) AS BIGINT) AS sent
-      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
-e AS (SELECT size, h, epoch, CAST(source_size * epoch + sent AS DOUBLE) / target AS finish
-      FROM q, (VALUES (0), (1)) AS x(epoch) WHERE size > 0),
-c AS (SELECT *, sum(size) OVER (ORDER BY finish, h, size, epoch) AS upto FROM e),
-t AS (SELECT DISTINCT h, size, epoch FROM c WHERE upto <= (SELECT 1.5::DOUBLE * sum(size) FROM d)),
-n AS (SELECT h, size, count(*) AS times FROM t GROUP BY h, size)
-SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(n.times, 0) AS BIGINT) AS taken
-FROM q LEFT JOIN n ON q.h = n.h AND q.size = n.size
+q AS (SELECT d.doc_id, d.size, s.source_size, s.target,
+             CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sent
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size, source_size, target,
+       CAST(greatest(0, least(size, floor(target) - (sent - size))) + greatest(0, least(size, floor(target) - (source_size + sent - size))) AS BIGINT) AS taken, CAST(sent AS DOUBLE) / nullif(target, 0) AS finish
+FROM q
 """

@@ -88,10 +88,17 @@ def test_mix(spark, odd, none, sf):
     taken = mixing.query(spark, sf).toPandas()
     mixed = mixing.mix(docs).toPandas()
     assert mixed.columns.tolist() == docs.columns
-    per = mixed.groupby("doc_id").size()
-    wanted = taken[taken.taken > 0].set_index("doc_id")
-    assert per.sort_index().tolist() == (wanted.taken // wanted["size"]).sort_index().tolist()
-    assert 0.97 * 1.5 * taken["size"].sum() < taken.taken.sum() <= 1.5 * taken["size"].sum()
+    words = mixed.assign(n=[len((t or "").encode().split()) for t in mixed.text]).groupby("doc_id").n.sum()
+    wanted = taken[taken.taken > 0].set_index("doc_id").taken
+    assert words.sort_index().to_dict() == wanted.sort_index().to_dict()
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    assert all(whole[i].startswith(t) for i, t in zip(mixed.doc_id, mixed.text))
+    per = taken.merge(docs.select("doc_id", "source").toPandas()).groupby("source").agg({"taken": "sum", "target": "first"})
+    assert ((per.target - per.taken).between(0, 1)).all()
+    first = taken.set_index("doc_id").finish
+    seen = mixed.drop_duplicates("doc_id").doc_id
+    assert first[seen].is_monotonic_increasing
+    assert mixing.mix(docs, ordered=False).count() == len(mixed)
     assert mixing.mix(odd).columns == odd.columns
     assert set(mixing.mix(odd).toPandas().doc_id.dropna()) <= {1, 4, 5, 6, 7, 9}
     assert mixing.mix(none).count() == 0 and mixing.mix(none).columns == none.columns
