@@ -38,7 +38,7 @@ MOST = 2
 FANOUT = 16
 GROUP = 16384
 #: Codes that are indexed and searched together; queries of one step of the search.
-BATCH, STEP = 1 << 16, 1 << 13
+BATCH, STEP = 1 << 16, 1 << 10
 
 
 def fingerprint(text: str | None) -> int:
@@ -127,8 +127,8 @@ def search(levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, mos
     found = []
     for at in range(0, len(queries), STEP):
         part = queries[at : at + STEP]
-        q = np.repeat(np.arange(len(part)), len(levels[-1][0]))
-        node = np.tile(np.arange(len(levels[-1][0])), len(part))
+        q = np.repeat(np.arange(len(part), dtype=np.int32), len(levels[-1][0]))
+        node = np.tile(np.arange(len(levels[-1][0]), dtype=np.int32), len(part))
         seen = np.zeros(len(q), np.uint8)
         for depth in range(len(levels) - 1, -1, -1):
             values, masks = levels[depth]
@@ -138,7 +138,7 @@ def search(levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, mos
             if depth:
                 below = len(levels[depth - 1][0])
                 q, seen = np.repeat(q, FANOUT), np.repeat(seen, FANOUT)
-                node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                node = (node[:, None] * np.int32(FANOUT) + np.arange(FANOUT, dtype=np.int32)).ravel()
                 real = node < below
                 q, node, seen = q[real], node[real], seen[real]
         found.append((q + at, node))
