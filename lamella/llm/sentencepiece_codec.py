@@ -33,7 +33,7 @@ SHIFT = 10.0
 FALLBACK = 10.0
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
 #: Chunks a task keeps, and bytes of new chunks encoded together.
-CACHE, TOGETHER = 1 << 18, 1 << 18
+CACHE, TOGETHER = 1 << 17, 1 << 18
 
 
 @dataclass
@@ -59,9 +59,9 @@ def build_trie(pieces: dict[bytes, int]) -> Trie:
         ends[node] = i
     size = 2 * len(children) + 2048
     base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-    open_ = np.ones(size, bool)
-    open_[0] = False
-    free = 1  # no open place lies before it
+    taken = bytearray(size)
+    held = np.frombuffer(taken, np.uint8)  # the same bytes
+    held[0] = 1
     queue = [(0, 0)]  # node, state
     while queue:
         node, state = queue.pop()
@@ -69,19 +69,18 @@ def build_trie(pieces: dict[bytes, int]) -> Trie:
         codes = np.array(sorted(children[node]), np.int64) + 1
         if not len(codes):
             continue
-        while not open_[free]:
-            free += 1
-        at = max(free - int(codes[0]), 0)
-        while True:  # the first place where all children fit, looked for in stretches
-            fits = open_[at + codes[0] : at + codes[0] + 512].copy()
+        first = int(codes[0])
+        at = taken.find(0, first) - first
+        while len(codes) > 1:  # the first place where all children fit, looked for in stretches
+            fits = held[at + first : at + first + 512] == 0
             for c in codes[1:]:
-                fits &= open_[at + c : at + c + 512]
+                fits &= held[at + c : at + c + 512] == 0
             if fits.any():
                 at += int(fits.argmax())
                 break
             at += 512
         base[state] = at
-        open_[at + codes] = False
+        held[at + codes] = 1
         check[at + codes] = state
         queue.extend((children[node][int(c) - 1], at + int(c)) for c in codes)
     return Trie(base, check, value)
