@@ -15,6 +15,15 @@ Edge cases: texts without a word, and null ones, have fingerprint zero and are l
 others; a null doc_id is ignored by the smallest (null if the component has no other); repeated
 rows come back as often as they came; an empty table gives no rows. `dedup` keeps the rows'
 columns, whatever their names, and one row for each component.
+
+`dedup` doesn't use the settings of the query. Its documents are alike from a Jaccard similarity of
+WORDS-word shingles of 0.8 (ALIKE), where some 10 of 64 bits differ, too many for blocks that must
+agree. Fingerprints are dealt by ROUNDS random divisions of the bits into groups, by the bits of
+each group; what shares one is searched by the same index up to WIDE bits. Pairs whose sketches
+(a byte each of SKETCH minima of the shingles' hashes) agree in fewer than LEAST places are left
+out; the others are candidates, and each is linked only if its texts' shingles reach the similarity.
+The recall of the search is given in the README. Where a group has many candidates, those of a
+spanning forest of the best sketches are taken, so that n copies of a text don't give n^2 rows.
 """
 
 from __future__ import annotations
@@ -30,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.operators.graph import components
-from lamella.tables import read, stored
+from lamella.tables import if_small, read, stored
 
 SEED = 42
 SHINGLE = 3
@@ -39,6 +48,10 @@ FANOUT = 16
 GROUP = 16384
 #: Codes that are indexed and searched together; queries of one step of the search.
 BATCH, STEP = 1 << 16, 1 << 10
+#: Of dedup: words of a shingle, least similarity (a fraction), bits that may differ, sketch, divisions of the bits, and bits of a group at least.
+WORDS, ALIKE, WIDE = 5, (4, 5), 18
+SKETCH, LEAST = 16, 7
+ROUNDS, BITS = 8, 10
 
 
 def fingerprint(text: str | None) -> int:
@@ -230,9 +243,189 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "text_hash", "fp", F.col("least.doc_id").alias("component_id"), stays.alias("stays"))
 
 
+def shingles(text: str | None, n: int = WORDS) -> list[bytes]:
+    """The runs of n words, or all words if there are fewer; none without a word."""
+    words = (text or "").encode().lower().split()
+    if len(words) <= n:
+        return [b" ".join(words)] if words else []
+    return [b" ".join(x) for x in zip(*(words[i:] for i in range(n)))]
+
+
+def alike(a: set[bytes], b: set[bytes]) -> bool:
+    """Whether the Jaccard similarity is at least ALIKE; two empty sets are alike."""
+    both = len(a & b)
+    return both * ALIKE[1] >= (len(a) + len(b) - both) * ALIKE[0]
+
+
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(text: str | None) -> tuple[int, int, int]:
+    """Fingerprint and the two halves of the sketch, over shingles of WORDS words."""
+    hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text)], dtype="<u8")
+    if not len(hashes):
+        return 0, 0, 0
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    code = int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little", signed=True)
+    least = np.array([(hashes * x).min() for x in FACTORS])
+    sketch = ((least ^ (least >> np.uint64(32))) & np.uint64(255)).astype(np.uint8).view("<i8")
+    return code, int(sketch[0]), int(sketch[1])
+
+
+def _signed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [signature(x.as_py()) for x in batch.column("text")]
+        columns = [pa.array([x[i] for x in found], pa.int64()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], names=["doc_id", "text_hash", "fp", "s0", "s1"])
+
+
+def wide_masks(n: int) -> list[int]:
+    """Masks of the groups of bits that n texts are dealt by: longer where there are more, and more of them then."""
+    bits = max(BITS, n.bit_length() - 11)
+    rng = np.random.default_rng(SEED)
+    # a pair of 10 different bits shares a group of `bits` with (54/64)^bits: as many as it takes to share as often as with BITS
+    rounds = int(np.ceil(ROUNDS * (64 / 54) ** (bits - BITS) * (64 // BITS) / (64 // bits)))
+    return [sum(1 << int(x) for x in order[at : at + bits]) for order in (rng.permutation(64) for _ in range(rounds)) for at in range(0, 64 - bits + 1, bits)]
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the pairs (by place) form a forest that joins what all join, heavy pairs first."""
+    root, picked = np.arange(n), []
+    for level in np.unique(weight)[::-1]:
+        at = np.nonzero(weight == level)[0]
+        while True:
+            x, y = root[a[at]], root[b[at]]
+            apart = x != y
+            at, low, high = at[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+            if not len(at):
+                break
+            order = np.lexsort((low, high))
+            first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+            picked.append(at[first])
+            up = np.arange(n)
+            up[high[first]] = low[first]
+            while (up[up] != up).any():
+                up = up[up]
+            root = up[root]
+    return np.concatenate(picked) if picked else np.zeros(0, np.int64)
+
+
+def _near(node: np.ndarray, codes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (a, b, places in which sketches agree) of a group: all if they are few, a forest of them otherwise."""
+    order = np.lexsort((node, gray_rank(codes)))
+    node, codes, sketch = node[order], codes[order], sketch[order]
+    levels = build(codes)
+    a = b = same = np.zeros(0, np.int64)
+    for at in range(0, len(codes), STEP):
+        x, y = search(levels, codes[at : at + STEP], WIDE)
+        x = x + at
+        x, y = x[x < y], y[x < y]
+        equal = sum((sketch[x, i] == sketch[y, i]).astype(np.int64) for i in range(SKETCH))
+        near = equal >= LEAST
+        a, b, same = np.concatenate([a, x[near]]), np.concatenate([b, y[near]]), np.concatenate([same, equal[near]])
+        if len(a) > 2 * len(codes):
+            keep = spanning(len(codes), a, b, same)
+            a, b, same = a[keep], b[keep], same[keep]
+    a, b = node[a], node[b]
+    return np.minimum(a, b), np.maximum(a, b), same
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, part, node, fp, s0, s1), sorted by k and part."""
+    kept: list[np.ndarray] = []
+    last, out = None, []
+
+    def group() -> None:
+        rows = kept[0] if len(kept) == 1 else np.concatenate(kept, axis=1)
+        if rows.shape[1] > 1:
+            sketch = np.ascontiguousarray(rows[2:].T).view(np.uint8)
+            found = _near(rows[0], rows[1].view(np.uint64), sketch)
+            if len(found[0]):
+                out.append(found)
+        kept.clear()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "same"])
+        out.clear()
+
+    for batch in batches:
+        k, part = batch.column("k").to_numpy(), batch.column("part").to_numpy()
+        values = np.stack([batch.column(c).to_numpy() for c in ("node", "fp", "s0", "s1")])
+        cuts = np.concatenate([[0], np.nonzero((k[1:] != k[:-1]) | (part[1:] != part[:-1]))[0] + 1, [len(k)]])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            key = (int(k[lo]), int(part[lo]))
+            if kept and key != last:
+                group()
+            last = key
+            kept.append(values[:, lo:hi])
+        yield from flush()
+    if kept:
+        group()
+    yield from flush()
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, text_a, text_b), those whose texts are alike."""
+    for batch in batches:
+        at, last, one = [], None, set()
+        for i, node in enumerate(batch.column("a").to_pylist()):
+            if node != last:
+                last, one = node, set(shingles(batch.column("text_a")[i].as_py()))
+            if alike(one, set(shingles(batch.column("text_b")[i].as_py()))):
+                at.append(i)
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at, pa.int64())) for c in ("a", "b")], schema=EDGES)
+
+
+def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of text hashes, those whose texts are alike."""
+    pairs = stored(pairs.select("a", "b"))
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = docs.select(F.xxhash64("text").alias("hash"), "text").join(if_small(nodes), F.col("hash") == F.col("node"), "left_semi")
+    texts = stored(texts.groupBy("hash").agg(F.first("text").alias("text")))
+    both = pairs.join(texts.select(F.col("hash").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("hash").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    return stored(both.mapInArrow(_checked, "a long, b long"))
+
+
+def alike_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges (a, b) between the text hashes of nodes (node, fp, s0, s1) whose texts in docs are alike: enough to join what the search finds."""
+    keyed = nodes.select("node", "fp", "s0", "s1", _keys(wide_masks(nodes.count()), 0).alias("key")).select("node", "fp", "s0", "s1", "key.*")
+    dealt = keyed.repartition("k", "part").sortWithinPartitions("k", "part")
+    pairs = stored(dealt.mapInArrow(_candidates, "a long, b long, same long").distinct())
+    # first the best pair of each text with a lower one, then whatever those haven't joined
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", F.negative("a"))).alias("a"))
+    links = checked(best, docs)
+    comp = stored(components(links))
+    side = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    rest = pairs.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    return links.unionByName(checked(rest, docs))
+
+
+def alike_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and stays (one document of each component of texts that are alike) of every row."""
+    rows = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_signed_texts, _signed_schema(docs)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    nodes = stored(rows.groupBy(F.col("text_hash").alias("node"), "fp", "s0", "s1").agg(first.alias("first")))
+    comp = components(alike_links(nodes.drop("first"), docs))
+    nodes = stored(nodes.join(comp, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")))
+    least = nodes.groupBy("component").agg(F.min("first").alias("least"))
+    found = rows.join(stored(nodes.join(least, "component").select(F.col("node").alias("text_hash"), "least")), "text_hash")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return found.select("doc_id", "text_hash", stays.alias("stays"))
+
+
+def _signed_schema(docs: DataFrame) -> T.StructType:
+    return T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("text_hash", "fp", "s0", "s1")]])
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one for each component: that of the smallest doc_id, and of the first text hash if it repeats."""
-    found = stored(near_duplicates(docs))
+    """The rows of docs, one for each component of texts that are alike: that of the smallest doc_id, and of the first text hash if it repeats."""
+    found = stored(alike_documents(docs))
     gone = stored(found.filter(~F.col("stays")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     again = not found.filter("stays").groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
     names = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]

@@ -69,6 +69,32 @@ def test_simhash_odd(odd, none, spark, folder):
     assert simhash.dedup(none).count() == 0 and simhash.near_duplicates(none).count() == 0
 
 
+def test_dedup_links_from_a_jaccard_of_0_8(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    docs, pairs = [], []
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        near = list(words)
+        for at in range(20, 400, 50 if i % 2 else 24):  # a change takes five shingles
+            near[at] = "other"
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+        a, b = ({" ".join(x[k : k + 5]) for k in range(len(x) - 4)} for x in (words, near))
+        pairs.append(len(a & b) / len(a | b))
+    assert min(pairs[1::2]) >= 0.8 and max(pairs[1::2]) < 0.9 and max(pairs[::2]) < 0.8
+    kept = {r.doc_id for r in simhash.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(2 * i in kept for i in range(60))
+    assert all(2 * i + 1 in kept for i in range(0, 60, 2))  # below 0.8 both stay
+    assert sum(2 * i + 1 in kept for i in range(1, 60, 2)) <= 2  # the recall of the search
+
+
+def test_spanning_joins_what_all_pairs_join():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 300, 900), rng.integers(0, 300, 900)
+    keep = simhash.spanning(300, a, b, rng.integers(7, 17, 900))
+    assert (simhash.forest(300, a[keep], b[keep]) == simhash.forest(300, a, b)).all()
+    assert len(keep) == 300 - len(np.unique(simhash.forest(300, a, b)))
+
+
 def brute_cut(docs, span=200):
     counts = Counter()
     for _, t in docs:
