@@ -123,3 +123,11 @@ def test_set_laws(spark):
     assert all(r.added == r.removed == 0 for r in same) and sum(r.unchanged for r in same) == 6
     once = ordered.first_wins(rows, ["k", "v"], ["v"])
     assert ordered.first_wins(once, ["k", "v"], ["v"]).count() == once.count() == 4
+
+
+def test_coupled_solves_every_size(spark, sf):
+    from lamella.plans.boards import QUERIES
+
+    sizes = {r.p_size for r in spark.read.parquet(f"{sf}/part.parquet").select("p_size").distinct().collect()}
+    assert any(x % 5 for x in sizes)
+    assert sorted(r.p_size for r in QUERIES["z06_coupled"](spark, sf).collect()) == sorted(sizes)
