@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir); a local one only where none is set and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lamella-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,8 +53,16 @@ def if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= most else df
 
 
-def forget(spark: SparkSession) -> None:
-    """Deletes the tables that `stored` has written; for when nothing that reads them is needed any more."""
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
-    path.getFileSystem(conf).delete(path, True)
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps: Spark drops them once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
