@@ -1,22 +1,28 @@
-"""Removal of long repeated strings by a distributed difference-cover suffix array.
+"""Removal of long repeated strings by a distributed difference-cover suffix sort.
 
 The bytes of all texts are the string; every byte covered by a SPAN-byte string that starts
 anywhere else goes. Sorting all suffixes would shuffle many times the input, so the sort gets what
-can matter, divided by content, and loses nothing:
+can matter, and loses nothing:
 
 1. Anchors. Every window of SPAN bytes has a least hashed GRAM-byte string (the first, if several
    tie); consecutive windows with the same one form a context. Equal windows have equal anchors, so a context
-   whose anchor occurs once in the corpus holds no repeated window, and suffixes need only be
-   sorted among contexts of one anchor: the sort is distributed by anchor.
-2. Equal contexts (their hash, besides the anchor's, makes 128 bits) repeat as wholes, and one of
-   them stands for all: copies of a text cost no sorting, however many there are.
-3. Contexts left with an anchor in common are concatenated in batches, and the batch's suffix array is built by the
-   difference cover modulo 3: triples at positions not divisible by three are sorted and named,
-   the names are sorted by recursion, the remaining suffixes are merged in, and neighbours in the
-   array are compared over SPAN bytes. Recursion ends early once names span more than SPAN bytes,
-   as deeper order decides nothing.
-   An anchor with more than GROUP different contexts would not fit a task: its windows become rows,
-   counted by a 128-bit hash of their bytes (combined before the shuffle).
+   whose anchor occurs once in the corpus holds no repeated window.
+2. Equal contexts (equal in a BLAKE2b digest of 128 bits) repeat as wholes, and one of them stands for all: copies of a
+   text cost no sorting, however many there are. Contexts that share their anchor with others only of their kind are settled.
+3. What is left is cut out as runs of bytes, packed into blocks of about BLOCK bytes, one row each, and sorted by the
+   difference cover modulo 3, as relations between blocks and ranges of keys (`named`): each block sorts its keys and
+   deals them by sampled splitters, each range of keys names what it gets in order, prefix sums of the ranges' sizes make
+   the names global, and the names go back to the blocks.
+   - Triples of 8-byte symbols at the positions not divisible by three (the sample) are sorted and named: 24 bytes.
+   - The sort recurses on the names: triples of names 24 apart are sorted and named (72 bytes), and triples of those 63 apart
+     (198 bytes). All steps are divisible by three, so that a name's neighbours are sampled too.
+   - The remaining suffixes are merged with the sampled ones: two suffixes have sampled positions at one same distance
+     of 0, 1 or 2, so suffixes are sorted by the name there, the bytes before it and those behind it up to SPAN, once for
+     each distance; each is in the two orders that its own position allows.
+   - Adjacent suffixes with equal prefixes of SPAN bytes are repeats.
+   Names keep the order of the bytes. All sizes go this one way; a key that is very common is one row a block.
+
+The sort isn't done on all bytes because its keys alone would take some 40 times the input on disk.
 
 Edge cases: a null text is empty; texts under SPAN bytes lose nothing; very long texts are read in
 overlapping pieces; repeated rows cover each other; an empty table gives no rows; other columns are
@@ -35,100 +41,259 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamella.tables import read, stored
+from lamella.tables import drop, read, settle, stored
 
 SPAN = 200
 GRAM = 64
-#: Bytes hashed at once, and bytes of contexts sorted at once (positions and names share 21 bits).
-PIECE = 1 << 18
-BATCH = 1 << 19
-#: Different contexts of an anchor that are sorted in one batch.
-GROUP = 2000
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Bytes hashed at once, bytes of a block, and keys of a range.
+PIECE, BLOCK, RANGE = 1 << 18, 1 << 19, 1 << 18
+#: Keys that splitters are chosen from: of each block, and of all. They decide about balance only.
+SAMPLE, SAMPLES = 256, 1 << 14
+BASE = 0x9E3779B97F4A7C15
 
 
 # -- the sort ---------------------------------------------------------------------------------------------------------
 
+#: What the names of each round are of: bytes that the three symbols of a key start behind each other.
+STEPS = (8, 24, 63)
+
+
+def wanted_at(window: np.ndarray) -> list[np.ndarray]:
+    """For each round the sampled positions that it names, from which positions start a window of SPAN bytes."""
+    n = len(window)
+    need = window.copy()
+    for back in (1, 2):
+        need[back:] |= window[: n - back]
+    need[::3] = False
+    out = [np.nonzero(need)[0]]
+    for step in STEPS[:0:-1]:
+        more = need.copy()
+        for k in (1, 2):
+            more[k * step :] |= need[: n - k * step]
+        need = more
+        out.append(np.nonzero(need)[0])
+    return out[::-1]
+
+
+def keys_of(text: np.ndarray, window: np.ndarray, names: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The keys (columns, most significant first) that a block sorts in this round, and the positions they are of.
+    names: those of the round before, in order of its positions. In the last round each window has two keys."""
+    at = wanted_at(window)
+    if level == 0:
+        symbols = np.ndarray((len(text),), ">u8", np.concatenate([text, np.zeros(7, np.uint8)]).tobytes(), strides=(1,))
+        return [symbols[at[0] + k * STEPS[0]].astype(np.uint64) for k in range(3)], at[0]
+    named = np.zeros(len(text), np.uint64)
+    named[at[level - 1]] = names
+    if level < len(STEPS):
+        a, b, c = (named[at[level] + k * STEPS[level]] for k in range(3))
+        return ([a << np.uint64(32) | b, c] if names.dtype.itemsize == 4 else [a, b, c]), at[level]
+    x, u = np.nonzero(window)[0], np.uint64
+    byte = text.astype(np.uint64)
+    rest = x % 3
+    zero, one, two = x[rest != 0], x[rest != 2], x[rest != 1]
+    columns = [
+        named[zero] << u(16) | byte[zero + SPAN - 2] << u(8) | byte[zero + SPAN - 1],
+        u(1) << u(62) | byte[one] << u(54) | named[one + 1] << u(8) | byte[one + SPAN - 1],
+        u(2) << u(62) | byte[two] << u(54) | byte[two + 1] << u(46) | named[two + 2],
+    ]
+    return [np.concatenate(columns)], np.concatenate([zero, one, two])
+
+
+def in_order(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The different keys in order, the place among them of each key, and how many have it."""
+    order = np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])  # adjacent keys
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    first = np.nonzero(new)[0]
+    return [c[first] for c in columns], place, np.diff(np.append(first, len(order)))
+
+
+def cuts_at(columns: list[np.ndarray], splitters: list[tuple[int, ...]]) -> np.ndarray:
+    """Where in keys in order each splitter's range begins."""
+    out = []
+    for splitter in splitters:
+        lo, hi = 0, len(columns[0])
+        for column, value in zip(columns, splitter, strict=True):
+            part = column[lo:hi]
+            lo, hi = lo + int(np.searchsorted(part, np.uint64(value), "left")), lo + int(np.searchsorted(part, np.uint64(value), "right"))
+        out.append(lo)
+    return np.array(out, np.int64)
+
+
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Keys in order as bytes: differences of the first column, the bytes of equal weight together, compressed."""
+    first = columns[0].copy()
+    first[1:] -= columns[0][:-1]
+    return pa.compress(b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in (first, *columns[1:])), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, width: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, n * width * 8, "zstd", asbytes=True), np.uint8).reshape(width, 8, n)
+    columns = [np.ascontiguousarray(c.T).view(np.uint64).ravel() for c in raw]
+    columns[0] = np.cumsum(columns[0], dtype=np.uint64)
+    return columns
+
+
+#: A block: its bytes, contexts (where in the block, how many windows), and the names of the last round.
+STATE = "block long, text binary, at binary, nw binary, names binary, width int"
+
+
+def _windows(at: np.ndarray, nw: np.ndarray, n: int) -> np.ndarray:
+    edges = np.zeros(n + 1, np.int32)
+    np.add.at(edges, at, 1)
+    np.add.at(edges, at + nw, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def _block(row: dict, level: int) -> tuple[list[np.ndarray], np.ndarray]:
+    text = np.frombuffer(row["text"], np.uint8)
+    window = _windows(np.frombuffer(row["at"], np.int32), np.frombuffer(row["nw"], np.int32), len(text))
+    return keys_of(text, window, np.frombuffer(row["names"], f"u{row['width']}"), level)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _splitters(state: DataFrame, level: int, ranges: int) -> list[tuple[int, ...]]:
+    """Keys that cut all into ranges of about one size."""
+    schema = pa.schema([("key", pa.list_(pa.int64()))])
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            columns, _ = _block(row, level)
+            at = np.random.default_rng(row["block"] & 0xFFFFFFFF).integers(0, len(columns[0]), SAMPLE)
+            keys = np.stack([c[at] for c in columns], axis=1).view(np.int64)
+            yield _batch([(x,) for x in keys.tolist()], schema)
+
+    if ranges < 2:
+        return []
+    keys = state.mapInArrow(some, "key array<long>").orderBy(F.xxhash64("key")).limit(SAMPLES).toArrow().column("key").to_pylist()
+    keys = sorted(tuple(x & 0xFFFFFFFFFFFFFFFF for x in k) for k in keys)
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
+
 
-def suffix_order(symbols: np.ndarray, depth: int, span: int = 1) -> np.ndarray:
-    """Positions of `symbols` (1 and up, fewer than 2^21 of them) in order of their suffixes, to `depth` symbols of the
-    first string at least; span is how many of those each symbol stands for."""
-    n = len(symbols)
-    if n < 3:
-        return np.array(sorted(range(n), key=lambda i: tuple(symbols[i:])), dtype=np.int64)
-    s = np.concatenate([symbols, np.zeros(3, np.int64)])
-    # sort sampled triples: positions 1 and 2 modulo 3, with one past the end where the first kind must end in blanks
-    first, second = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.concatenate([first, second])
-    base = int(symbols.max()) + 1
-    triples = (s[sample] * base + s[sample + 1]) * base + s[sample + 2]
-    names, distinct = _named(triples)
-    rank = np.zeros(n + 3, np.int64)
-    if distinct == len(sample) or span * 3 >= depth:
-        sampled = sample[np.argsort(names, kind="stable")]
-        rank[sample] = names
-    else:  # recurse on the names
-        sampled = sample[suffix_order(names, depth, span * 3)]
-        rank[sampled] = np.arange(1, len(sampled) + 1)
-    rank[n] = 0
-    sampled = sampled[sampled < n]
-    # merge the remaining suffixes: their first symbol, then the rank of the sampled suffix behind it
-    rest = np.arange(0, n, 3)
-    width = len(sample) + 2
-    keys = s[rest] * width + rank[rest + 1]
-    order = np.argsort(keys, kind="stable")
-    rest, keys = rest[order], keys[order]
-    before = np.empty(len(sampled), np.int64)
-    one = sampled % 3 == 1
-    at = sampled[one]
-    before[one] = np.searchsorted(keys, s[at] * width + rank[at + 1])
-    at = sampled[~one]
-    deep = (s[rest] * base + s[rest + 1]) * width + rank[rest + 2]
-    before[~one] = np.searchsorted(np.maximum.accumulate(deep), (s[at] * base + s[at + 1]) * width + rank[at + 2])
-    places = np.arange(len(sampled)) + np.maximum.accumulate(before)
-    out = np.empty(n, np.int64)
-    free = np.ones(n, bool)
-    free[places] = False
-    out[places] = sampled
-    out[free] = rest
+def _dealt(level: int, splitters: list[tuple[int, ...]]):
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("width", pa.int32()), ("keys", pa.binary()), ("more", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            columns, _, counts = in_order(_block(row, level)[0])
+            edges = [0, *cuts_at(columns, splitters).tolist(), len(counts)]
+            out = [
+                (part, row["block"], hi - lo, len(columns), packed([c[lo:hi] for c in columns]), np.packbits(counts[lo:hi] > 1).tobytes())
+                for part, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
+                if hi > lo
+            ]
+            yield _batch(out, schema)
+
+    return run
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of keys sorted by part to, for each, the names of its keys within the part (1 and up in their order), and whether
+    another position has them."""
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("names", pa.binary()), ("again", pa.binary()), ("most", pa.int64())])
+    held: list[dict] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        each = [unpacked(x["keys"], x["n"], x["width"]) for x in held]
+        _, place, counts = in_order([np.concatenate(c) for c in zip(*each, strict=True)])
+        more = np.concatenate([np.unpackbits(np.frombuffer(x["more"], np.uint8), count=x["n"]) for x in held]).astype(bool)
+        again = counts > 1
+        again[place[more]] = True
+        ends = np.cumsum([x["n"] for x in held])
+        for x, end in zip(held, ends.tolist(), strict=True):
+            own = place[end - x["n"] : end]
+            yield _batch([(x["block"], x["part"], x["n"], pa.compress((own + 1).astype(np.uint32), "zstd", asbytes=True), np.packbits(again[own]).tobytes(), len(counts))], schema)
+        held.clear()
+
+    for row in _rows(batches):
+        if held and row["part"] != held[0]["part"]:
+            yield from flush()
+        held.append(row)
+    yield from flush()
+
+
+def _returned(level: int, before: dict[int, int], width: int):
+    """Rows of a block (first) and of its keys' names, in order of parts, to the block with the names of this round; in
+    the last round, to the ranges of windows that repeat."""
+    last = level == len(STEPS)
+    schema = pa.schema([("block", pa.int64()), ("s", pa.int32()), ("e", pa.int32())] if last else [("block", pa.int64()), ("text", pa.binary()), ("at", pa.binary()), ("nw", pa.binary()), ("names", pa.binary()), ("width", pa.int32())])
+
+    def done(row: dict, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        columns, at = _block(row, level)
+        _, place, _ = in_order(columns)
+        values = np.concatenate(found)[place]
+        if not last:
+            yield _batch([(row["block"], row["text"], row["at"], row["nw"], values.astype(f"u{width}").tobytes(), width)], schema)
+            return
+        flags = np.zeros(len(row["text"]) + 2, np.int8)
+        flags[at[values.astype(bool)] + 1] = 1
+        edges = np.nonzero(np.diff(flags))[0]
+        if len(edges):
+            yield _batch([(row["block"], int(s), int(e)) for s, e in zip(edges[::2], edges[1::2], strict=True)], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, found = None, []
+        for x in _rows(batches):
+            if x["part"] < 0:
+                if row is not None:
+                    yield from done(row, found)
+                row, found = x, []
+            elif last:
+                found.append(np.unpackbits(np.frombuffer(x["again"], np.uint8), count=x["n"]))
+            else:
+                found.append(np.frombuffer(pa.decompress(x["own"], x["n"] * 4, "zstd", asbytes=True), np.uint32).astype(np.uint64) + np.uint64(before[x["part"]]))
+        if row is not None:
+            yield from done(row, found)
+
+    return run
+
+
+def sort_round(state: DataFrame, level: int, ranges: int) -> DataFrame:
+    """A round of the sort over all blocks: what _returned gives for each."""
+    keys = state.mapInArrow(_dealt(level, _splitters(state, level, ranges)), "part int, block long, n int, width int, keys binary, more binary")
+    named = stored(keys.repartition(ranges, "part").sortWithinPartitions("part", "block").mapInArrow(_numbered, "block long, part int, n int, names binary, again binary, most long"))
+    sizes = named.groupBy("part").agg(F.first("most").alias("most")).orderBy("part").collect()  # a row for each range
+    before, total = {}, 0
+    for x in sizes:
+        before[x.part], total = total, total + x.most
+    if total >= 1 << 46:
+        raise ValueError("too many names for the keys of the last round")
+    none = F.lit(None)
+    blocks = state.select("block", F.lit(-1).alias("part"), none.cast("int").alias("n"), none.cast("binary").alias("own"), none.cast("binary").alias("again"), "text", "at", "nw", "names", "width")
+    answers = named.select("block", "part", "n", F.col("names").alias("own"), "again", *[none.cast(t).alias(c) for c, t in (("text", "binary"), ("at", "binary"), ("nw", "binary"), ("names", "binary"), ("width", "int"))])
+    both = blocks.unionByName(answers).repartition("block").sortWithinPartitions("block", "part")
+    out = stored(both.mapInArrow(_returned(level, before, 4 if total < 1 << 32 else 8), "block long, s int, e int" if level == len(STEPS) else STATE))
+    drop(named)
+    settle(out.sparkSession)
     return out
 
 
-def _named(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """Names 1 and up in order of the keys, and how many there are."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    steps = np.concatenate([[1], ordered[1:] != ordered[:-1]]).astype(np.int64)
-    np.cumsum(steps, out=steps)
-    names = np.empty(len(keys), np.int64)
-    names[order] = steps
-    return names, int(steps[-1]) if len(steps) else 0
-
-
-def repeated_windows(contexts: list[bytes], span: int = SPAN) -> list[np.ndarray]:
-    """For each context, for each of its windows of `span` bytes, whether another place of any context has it."""
-    joined = b"\0".join(contexts) + b"\0" * 8
-    text = np.frombuffer(joined, np.uint8)
-    lens = np.array([len(x) for x in contexts])
-    starts = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
-    n = len(joined) - 8
-    symbols = text[:n].astype(np.int64) + 2
-    symbols[starts[1:] - 1] = 1  # between contexts
-    window = np.zeros(n, bool)
-    for at, length in zip(starts, lens, strict=True):
-        window[at : at + max(0, length - span + 1)] = True
-    order = suffix_order(symbols, span)
-    order = order[window[order]]
-    words = np.ndarray((n,), dtype="<u8", buffer=joined, strides=(1,))  # eight bytes from each place
-    left, right = order[:-1], order[1:]
-    same = np.arange(len(left))
-    for k in [*range(span // 8 - 1, -1, -1), *([-1] if span % 8 else [])]:  # adjacent prefixes
-        at = k * 8 if k >= 0 else span - 8
-        same = same[words[left[same] + at] == words[right[same] + at]]
-    found = np.zeros(n, bool)
-    found[left[same]] = True
-    found[right[same]] = True
-    return [found[at : at + max(0, length - span + 1)] for at, length in zip(starts, lens, strict=True)]
+def repeated_windows(blocks: DataFrame) -> DataFrame:
+    """block, s, e: ranges of positions of windows that start elsewhere too, for blocks (block, text, at, nw: see STATE)."""
+    state = blocks.select("block", "text", "at", "nw", F.lit(b"").alias("names"), F.lit(8).alias("width"))
+    size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, -(-size // RANGE))
+    for level in range(len(STEPS) + 1):
+        found = sort_round(state, level, ranges)
+        if level:
+            drop(state)
+        state = found
+    return state
 
 
 # -- anchors ----------------------------------------------------------------------------------------------------------
@@ -139,19 +304,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _rolled(text: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the GRAM-byte and of the SPAN-byte strings at each place."""
-    power = lambda n: np.uint64(pow(base, n, 1 << 64))
-    h, size, of = text.astype(np.uint64), 1, {}
-    while size < 128:
-        of[size] = h
-        h = h[: len(h) - size] * power(size) + h[size:]
+def _rolled(text: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM-byte string (a power of two) at each place."""
+    h, size = text.astype(np.uint64), 1
+    while size < GRAM:
+        h = h[: len(h) - size] * np.uint64(pow(BASE, size, 1 << 64)) + h[size:]
         size *= 2
-    whole, done = h, 128
-    for part in (64, 8):  # 200 = 128 + 64 + 8
-        more = of[part][done : done + len(whole) - part]
-        whole, done = whole[: len(whole) - part] * power(part) + more, done + part
-    return _mixed(of[GRAM]), _mixed(whole)
+    return _mixed(h)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -165,11 +324,11 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(piece, anchor, context, first window, windows) of each context of these texts of SPAN bytes and more."""
+    """(piece, anchor, first window, windows) of each context of these texts of SPAN bytes and more."""
     text = np.frombuffer(b"".join(pieces), np.uint8)
     lens = np.array([len(x) for x in pieces])
     starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    grams, spans = _rolled(text, BASES[0])
+    grams = _rolled(text)
     places = np.uint64((1 << 22) - 1)
     least = _least((grams & ~places) | np.arange(len(grams), dtype=np.uint64), SPAN - GRAM + 1) & places
     counts = lens - SPAN + 1
@@ -179,38 +338,22 @@ def anchored(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     anchor = least[at].astype(np.int64)
     first = np.nonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])]))[0]
     size = np.diff(np.append(first, len(at)))
-    context = _mixed(spans[at[first]] * np.uint64(BASES[1]) + spans[at[first] + size - 1] + size.astype(np.uint64))
-    return piece[first], grams[anchor[first]].view(np.int64), context.view(np.int64), window[first], size
+    return piece[first], grams[anchor[first]].view(np.int64), window[first], size
 
 
-PLACES = pa.schema([("akey", pa.int64()), ("chash", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("nw", pa.int32())])
+PLACES = pa.schema([("akey", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("nw", pa.int32())])
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (did, th, text) to a row for each context."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (did, th, text) in pieces of some PIECE bytes, and of each its row's did and th and where it begins."""
     for batch in batches:
         ids, hashes, texts = batch.column("did").to_numpy(), batch.column("th").to_numpy(), batch.column("text")
         pieces: list[bytes] = []
         rows: list[int] = []
         offsets: list[int] = []
         held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if pieces:
-                piece, akey, chash, lo, nw = anchored(pieces)
-                row = np.array(rows)[piece]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(akey), pa.array(chash), pa.array(ids[row]), pa.array(hashes[row]), pa.array(lo + np.array(offsets)[piece]), pa.array(nw.astype(np.int32))], schema=PLACES
-                )
-                pieces.clear()
-                rows.clear()
-                offsets.clear()
-
         for i in range(len(texts)):
-            text = texts[i].as_py()
-            if text is None:
-                continue
-            data = text.encode()
+            data = (texts[i].as_py() or "").encode()
             for at in range(0, max(0, len(data) - SPAN + 1), PIECE):
                 piece = data[at : at + PIECE + SPAN - 1]
                 pieces.append(piece)
@@ -218,65 +361,59 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 offsets.append(at)
                 held += len(piece)
                 if held >= PIECE:
-                    yield from flush()
-                    held = 0
-        yield from flush()
+                    yield pieces, ids[rows], hashes[rows], np.array(offsets)
+                    pieces, rows, offsets, held = [], [], [], 0
+        if pieces:
+            yield pieces, ids[rows], hashes[rows], np.array(offsets)
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, wanted: contexts of the text) to rows (akey, chash, n, hot, bytes)."""
-    schema = pa.schema([("akey", pa.int64()), ("chash", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_()), ("bytes", pa.binary())])
-    for batch in batches:
-        out = []
-        for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
-            data = text.as_py().encode()
-            out += [(x["akey"], x["chash"], x["n"], x["hot"], data[x["lo"] : x["lo"] + x["nw"] + SPAN - 1]) for x in wanted.as_py()]
-            if len(out) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchor of each context."""
+    for pieces, *_ in _pieces(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(anchored(pieces)[1])], names=["akey"])
 
 
-RANGES = pa.schema([("akey", pa.int64()), ("chash", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each context: its anchor, a digest of its bytes in two halves, and where it is."""
+    for pieces, ids, hashes, offsets in _pieces(batches):
+        piece, akey, lo, nw = anchored(pieces)
+        ends = (lo + nw + SPAN - 1).tolist()
+        digests = b"".join([hashlib.blake2b(pieces[p][s:e], digest_size=16).digest() for p, s, e in zip(piece.tolist(), lo.tolist(), ends, strict=True)])
+        halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
+        columns = (akey, halves[:, 0].copy(), halves[:, 1].copy(), ids[piece], hashes[piece], lo + offsets[piece], nw.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=PLACES)
+
+
+BLOCKS = pa.schema([("text", pa.binary()), ("at", pa.binary()), ("nw", pa.binary()), ("did", pa.binary()), ("th", pa.binary()), ("lo", pa.binary()), ("once", pa.binary())])
 
 
-def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by (akey, chash) to the ranges of their windows that repeat, for those that occur once."""
-    kept: list[tuple[int, int, int, bytes]] = []
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (did, th, text, wanted: contexts of the text) to blocks of the bytes of these contexts, neighbours as one run."""
+    parts: list[bytes] = []
+    meta: list[tuple] = []
     size = 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        out = []
-        for (akey, chash, n, _), found in zip(kept, repeated_windows([x[3] for x in kept]), strict=True):
-            if n == 1 and found.any():
-                edges = np.nonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])))[0]
-                out += [(akey, chash, int(s), int(e)) for s, e in zip(edges[::2], edges[1::2], strict=True)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), RANGES.types, strict=True)], schema=RANGES)
+    def flush() -> pa.RecordBatch:
+        at, nw, did, th, lo, once = (np.array(x) for x in zip(*meta, strict=True))
+        data = [b"".join(parts), at.astype(np.int32).tobytes(), nw.astype(np.int32).tobytes(), did.tobytes(), th.tobytes(), lo.tobytes(), once.astype(np.uint8).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in data], schema=BLOCKS)
 
     for batch in batches:
-        for akey, chash, n, data in zip(batch.column("akey").to_pylist(), batch.column("chash").to_pylist(), batch.column("n").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-            if kept and (akey, chash) == kept[-1][:2]:
-                continue  # the same context from rows alike in doc_id and text
-            if kept and size >= BATCH and akey != kept[-1][0]:
-                yield from flush()
-                kept, size = [], 0
-            kept.append((akey, chash, n, data))
-            size += len(data) + 1
-    if kept:
-        yield from flush()
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts to a row for each window: a hash of its bytes in two halves, and where it is."""
-    names = ["w1", "w2", "akey", "chash", "n", "s"]
-    for batch in batches:
-        for akey, chash, n, data in zip(batch.column("akey").to_pylist(), batch.column("chash").to_pylist(), batch.column("n").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-            count = len(data) - SPAN + 1
-            halves = np.frombuffer(b"".join(hashlib.blake2b(data[i : i + SPAN], digest_size=16).digest() for i in range(count)), "<i8").reshape(-1, 2)
-            full = lambda x, count=count: np.full(count, x, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (halves[:, 0].copy(), halves[:, 1].copy(), full(akey), full(chash), full(n), np.arange(count))], names=names)
+        for did, th, text, wanted in zip(batch.column("did").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
+            data = text.as_py().encode()
+            done = 0  # up to where the block has this text
+            for lo, nw, once in sorted((x["lo"], x["nw"], x["once"]) for x in wanted.as_py()):
+                end = lo + nw + SPAN - 1
+                if size >= BLOCK:
+                    yield flush()
+                    parts, meta, size, done = [], [], 0, 0
+                start = max(lo, done) if done >= lo else lo
+                parts.append(data[start:end])
+                size += end - start
+                done = end
+                meta.append((size - (end - lo), nw, did, th, lo, once))
+    if meta:
+        yield flush()
 
 
 # -- the operator -----------------------------------------------------------------------------------------------------
@@ -286,27 +423,48 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("th"), "text")
 
 
+def _sorted_spans(blocks: DataFrame) -> DataFrame:
+    """did, th, s, e: ranges of bytes covered by repeated windows of the contexts that occur once."""
+    found = repeated_windows(blocks).groupBy("block").agg(F.collect_list(F.struct("s", "e")).alias("found"))  # as many as a block has at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
+        for row in _rows(batches):
+            at, nw = (np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("at", "nw"))
+            did, th, lo = (np.frombuffer(row[c], np.int64) for c in ("did", "th", "lo"))
+            flags = np.zeros(len(row["text"]), bool)
+            for x in row["found"]:
+                flags[x["s"] : x["e"]] = True
+            out = []
+            for i in np.nonzero(np.frombuffer(row["once"], np.uint8))[0]:
+                own = np.concatenate([[0], flags[at[i] : at[i] + nw[i]].astype(np.int8), [0]])
+                edges = (np.nonzero(np.diff(own))[0] + lo[i]).tolist()
+                out += [(int(did[i]), int(th[i]), s, e + SPAN - 1) for s, e in zip(edges[::2], edges[1::2], strict=True)]
+            if out:
+                yield _batch(out, schema)
+
+    return blocks.join(found, "block").mapInArrow(run, "did long, th long, s long, e long")
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """did, th, spans: for each text (of doc_id did, null as the least long, and hash th) with repeated bytes, ranges [s, e) that cover them."""
-    texts = _keyed(docs)
-    places = texts.mapInArrow(_places, "akey long, chash long, did long, th long, lo long, nw int")
-    again = stored(places.groupBy("akey").agg(F.count("*").alias("c")).filter("c > 1").select("akey"))  # kept, so that a join with it can split a frequent anchor
-    places = stored(places.join(again, "akey", "left_semi"))
-    contexts = stored(places.groupBy("akey", "chash").agg(F.count("*").alias("n"), F.min("did").alias("did"), F.min_by(F.struct("th", "lo", "nw"), F.struct("did", "th", "lo")).alias("at")))
-    groups = contexts.groupBy("akey").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1 AND least = 1").select("akey", "d")
-    wanted = contexts.join(groups, "akey").select("did", "at.*", F.struct("akey", "chash", "n", (F.col("d") > GROUP).alias("hot"), "at.lo", "at.nw").alias("x"))
+    spark, texts = docs.sparkSession, _keyed(docs)
+    again = stored(texts.mapInArrow(_anchors, "akey long").groupBy("akey").agg(F.count("*").alias("c")).filter("c > 1").select("akey"))  # kept, so that a join with it can split a frequent anchor
+    places = stored(texts.mapInArrow(_places, "akey long, c0 long, c1 long, did long, th long, lo long, nw int").join(again, "akey", "left_semi"))
+    settle(spark)
+    contexts = stored(places.groupBy("akey", "c0", "c1").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "lo", "nw")).alias("at")))
+    groups = contexts.groupBy("akey").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1 AND least = 1").select("akey")
+    wanted = contexts.join(groups, "akey", "left_semi").select("at.did", "at.th", F.struct("at.lo", "at.nw", (F.col("n") == 1).alias("once")).alias("x"))
     wanted = stored(wanted.groupBy("did", "th").agg(F.collect_list("x").alias("wanted")))  # as many as the text has contexts
-    cut = stored(texts.join(wanted, ["did", "th"]).select("text", "wanted").mapInArrow(_cut_out, "akey long, chash long, n long, hot boolean, bytes binary"))
-    ranges = cut.filter("NOT hot").repartition("akey").sortWithinPartitions("akey", "chash").mapInArrow(_sorted, "akey long, chash long, s int, e int")
-    whole = contexts.filter("n > 1").select("akey", "chash", F.lit(0).alias("s"), F.col("at.nw").alias("e"))
-    ranges = ranges.unionByName(whole)
-    if not cut.filter("hot").isEmpty():
-        hot = stored(cut.filter("hot").dropDuplicates(["akey", "chash"]).mapInArrow(_windows, "w1 long, w2 long, akey long, chash long, n long, s long"))
-        twice = hot.groupBy("w1", "w2").agg(F.sum("n").alias("c")).filter("c > 1").select("w1", "w2")
-        found = hot.filter("n = 1").join(twice, ["w1", "w2"], "left_semi")
-        ranges = ranges.unionByName(found.select("akey", "chash", F.col("s").cast("int"), (F.col("s") + 1).cast("int").alias("e")))
-    spans = places.join(ranges, ["akey", "chash"]).select("did", "th", F.struct((F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e") + SPAN - 1).alias("e")).alias("span"))
-    return spans.groupBy("did", "th").agg(F.collect_list("span").alias("spans"))
+    whole = contexts.filter("n > 1").select("akey", "c0", "c1")
+    spans = places.join(whole, ["akey", "c0", "c1"], "left_semi").select("did", "th", F.col("lo").alias("s"), (F.col("lo") + F.col("nw") + SPAN - 1).alias("e"))
+    if not wanted.isEmpty():
+        if not texts.groupBy("did", "th").count().filter("count > 1").isEmpty():
+            texts = texts.dropDuplicates(["did", "th"])  # of equal rows, one is cut out of
+        blocks = stored(texts.join(wanted, ["did", "th"]).mapInArrow(_blocks, "text binary, at binary, nw binary, did binary, th binary, lo binary, once binary").withColumn("block", F.monotonically_increasing_id()))
+        settle(spark)
+        spans = spans.unionByName(_sorted_spans(blocks))
+    return spans.groupBy("did", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # a set: equal rows have equal spans
 
 
 def _kept(text: str | None, spans) -> tuple[bytes, int, list[bytes]]:

@@ -113,21 +113,64 @@ def brute_cut(docs, span=200):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("group,piece,batch", [(suffix_array.GROUP, 1 << 20, 1 << 20), (1, 1 << 20, 1 << 20), (50, 700, 2000)])
-def test_suffix_array_is_brute_force(spark, sf, monkeypatch, group, piece, batch):
-    monkeypatch.setattr(suffix_array, "GROUP", group)
+@pytest.mark.parametrize("piece,block,size", [(suffix_array.PIECE, suffix_array.BLOCK, suffix_array.RANGE), (700, 3000, 5000), (1 << 20, 1 << 20, 1000)])
+def test_suffix_array_is_brute_force(spark, sf, monkeypatch, piece, block, size):
     monkeypatch.setattr(suffix_array, "PIECE", piece)
-    monkeypatch.setattr(suffix_array, "BATCH", batch)
+    monkeypatch.setattr(suffix_array, "BLOCK", block)
+    monkeypatch.setattr(suffix_array, "RANGE", size)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = [tuple(r) for r in suffix_array.query(spark, sf).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     assert sorted(got, key=repr) == brute_cut(docs)
 
 
-def test_order_is_the_suffix_array():
+def test_keys_are_the_windows():
+    """Two windows share a key exactly if their bytes are equal, and keys of the sample are in order of their bytes."""
     rng = np.random.default_rng(5)
-    for _ in range(200):
-        s = rng.integers(1, 4, int(rng.integers(1, 80))).astype(np.int64)
-        assert suffix_array.suffix_order(s, 1 << 30).tolist() == sorted(range(len(s)), key=lambda i: tuple(s[i:]))
+    text = rng.integers(97, 99, 900).astype(np.uint8)
+    text[400:700] = text[50:350]
+    text[700:] = 0
+    window = np.zeros(900, bool)
+    window[: 900 - suffix_array.SPAN + 1] = True
+    names = np.zeros(0, np.uint64)
+    for level in range(len(suffix_array.STEPS)):
+        columns, at = suffix_array.keys_of(text, window, names, level)
+        _, place, _ = suffix_array.in_order(columns)
+        names = (place + 1).astype(np.uint32 if level else np.uint64)
+        depth = (24, 72, 198)[level]
+        strings = [text[i : i + depth].tobytes() for i in at]
+        order = {x: n + 1 for n, x in enumerate(sorted(set(strings)))}
+        assert names.tolist() == [order[x] for x in strings]
+    columns, at = suffix_array.keys_of(text, window, names, len(suffix_array.STEPS))
+    _, place, counts = suffix_array.in_order(columns)
+    got = {int(i) for i, n in zip(at, counts[place]) if n > 1}
+    seen = Counter(text[i : i + 200].tobytes() for i in range(701))
+    assert got == {i for i in range(701) if seen[text[i : i + 200].tobytes()] > 1}
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(5)
+    for width in (1, 2, 3):
+        columns = [rng.integers(0, 1 << 64, 500, dtype=np.uint64) >> np.uint64(60 * (k == 0)) for k in range(width)]
+        ordered, place, counts = suffix_array.in_order(columns)
+        keys = list(zip(*[c.tolist() for c in columns]))
+        assert list(zip(*[c.tolist() for c in ordered])) == sorted(set(keys))
+        assert [keys.count(k) for k in keys] == counts[place].tolist()
+        assert [c.tolist() for c in suffix_array.unpacked(suffix_array.packed(ordered), len(counts), width)] == [c.tolist() for c in ordered]
+        splitters = sorted(rng.choice(len(keys), 7).tolist())
+        splitters = sorted({keys[i] for i in splitters})
+        assert suffix_array.cuts_at(ordered, splitters).tolist() == [sum(k < x for k in set(keys)) for x in splitters]
+
+
+def test_suffix_array_on_large_groups(spark, monkeypatch):
+    """Five thousand near copies of a text and ten thousand equal rows."""
+    monkeypatch.setattr(suffix_array, "BLOCK", 1 << 16)
+    rng = np.random.default_rng(8)
+    base = "".join(chr(97 + x) for x in rng.integers(0, 26, 460))
+    near = [(i, base[:230] + f" {i:05d} " + base[230:]) for i in range(5000)]
+    equal = [(10_000, "equal rows " * 40)] * 10_000
+    docs = near + equal + [(20_000, "".join(chr(97 + x) for x in rng.integers(0, 26, 900)))]
+    got = suffix_array._with_spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).select("_row.doc_id", suffix_array._digest("text", "spans").alias("d")).select("doc_id", "d.*")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_cut(docs)
 
 
 def test_suffix_array_odd(spark, odd, none, folder):
