@@ -26,6 +26,18 @@ def unsigned(value: Column) -> Column:
     return F.pmod(value, F.lit(1 << 32))
 
 
+#: Copies of a row that are made at once; more of them are dealt to several tasks.
+TOGETHER = 4096
+
+
+def copies(rows: DataFrame, n: str, number: str) -> DataFrame:
+    """Each row as often as its column n says, with the copy's number from 0. What has very many copies is made in parts, dealt out."""
+    few = rows.filter(F.col(n) <= TOGETHER).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    parts = rows.filter(F.col(n) > TOGETHER).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(TOGETHER).cast("long"))))
+    last = F.least(F.col(n) - 1, F.col(number) + TOGETHER - 1)
+    return few.unionByName(parts.repartition(F.col(number), *[F.col(c) for c in rows.columns[:2]]).withColumn(number, F.explode(F.sequence(F.col(number), last))))
+
+
 def rows_of(spark, rows: list[tuple], schema: str) -> DataFrame:
     """A small driver-side list as rows, through a JSON literal (no Python workers, no RDD)."""
     import json

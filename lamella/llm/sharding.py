@@ -7,8 +7,8 @@ room of a shard is its exact share of the rows, so counts differ by one at most.
 
 The walk itself needs no rows: it runs over how many keys each arc has (shards x vnodes
 numbers, a fixed bound), and says which ranks of an arc go to which shard.
-Within an arc, keys rank by a hash of the whole row, in `SUBCELLS` parts, so that neither
-a repeated doc_id nor copies of a text meet in one task.
+Rows alike in doc_id and text are counted first, and rank as one with many places. Within an arc, keys rank by a hash of
+the whole row, in `SUBCELLS` parts, so that neither a repeated doc_id nor copies of a text nor equal rows meet in one task.
 
 Edge cases: a null doc_id is a key like any other; a null text has size 1 and the crc32
 of the empty text; equal rows are interchangeable, each takes a place of its own; an
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import rows_of
+from lamella.llm.common import copies, rows_of
 from lamella.tables import read, stored
 
 POSITIONS = 52
@@ -90,10 +90,11 @@ def shard_rows(docs: DataFrame, shards: int = 8, vnodes: int = 128) -> DataFrame
     arcs = stored(ring_arcs(spark, shards, vnodes))
     cells = arcs.withColumn("cell", F.explode(F.sequence(F.shiftright("lo", POSITIONS - CELL_BITS), F.shiftright(F.col("hi") - 1, POSITIONS - CELL_BITS))))
     cells = F.broadcast(cells.drop("shard"))  # 2^CELL_BITS + shards x vnodes + 1 rows at most
+    keyed = keyed.groupBy(*keyed.columns).agg(F.count("*").alias("n"))
     on_arc = keyed.join(cells, (keyed.cell == cells.cell) & (keyed["at"] >= cells.lo) & (keyed["at"] < cells.hi)).select(
-        "doc_id", "size", "text_crc32", "prio", "arc", F.pmod("prio", F.lit(SUBCELLS)).cast("int").alias("sub")
+        "doc_id", "size", "text_crc32", "prio", "n", "arc", F.pmod("prio", F.lit(SUBCELLS)).cast("int").alias("sub")
     )
-    counts = stored(on_arc.groupBy("arc", "sub").agg(F.count("*").alias("n")))
+    counts = stored(on_arc.groupBy("arc", "sub").agg(F.sum("n").alias("n")))
     totals = [0] * (shards * vnodes)
     for row in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect():  # shards x vnodes rows at most
         totals[row.arc] = row.n
@@ -103,9 +104,9 @@ def shard_rows(docs: DataFrame, shards: int = 8, vnodes: int = 128) -> DataFrame
     ranges = F.broadcast(rows_of(spark, plan, "arc int, shard int, lo long, hi long, first long").withColumnRenamed("arc", "of"))
     before = Window.partitionBy("arc").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = F.broadcast(counts.select("arc", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))  # shards x vnodes x SUBCELLS rows at most
-    order = Window.partitionBy("arc", "sub").orderBy("prio", "doc_id", "text_crc32", "size")
-    ranked = on_arc.withColumn("place", F.row_number().over(order) - 1).join(offsets, ["arc", "sub"])
-    ranked = ranked.withColumn("rank", F.col("place") + F.col("offset"))
+    order = Window.partitionBy("arc", "sub").orderBy("prio", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = on_arc.withColumn("place", F.coalesce(F.sum("n").over(order), F.lit(0))).join(offsets, ["arc", "sub"])
+    ranked = copies(ranked, "n", "copy").withColumn("rank", F.col("place") + F.col("offset") + F.col("copy"))
     return ranked.join(ranges, (ranked.arc == ranges["of"]) & (ranked["rank"] >= ranges.lo) & (ranked["rank"] < ranges.hi)).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - F.col("lo")).alias("slot")
     )

@@ -1,7 +1,9 @@
 """SimHash near-duplicates, suffix array, top-k."""
 
 import hashlib
+import math
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -185,12 +187,11 @@ def test_suffix_array_odd(spark, odd, none, folder):
 
 
 def brute_top(vectors, k=5):
-    code = {i: np.floor(256 * np.array(v, dtype=np.float64)).astype(int) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    code = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in code:
-        if q % 50 == 0:
-            best = sorted((-int(code[q] @ c), i) for i, c in code.items() if i != q and len(c) == len(code[q]))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for q, c in sorted({(i, tuple(c)) for i, c in code if i % 50 == 0}):
+        best = sorted((-sum(x * y for x, y in zip(c, d)), i) for i, d in code if i != q and len(c) == len(d))[:k]
+        out += [(q, n + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
 
@@ -202,8 +203,27 @@ def test_topk_is_brute_force(spark, sf, monkeypatch):
 
 def test_topk_odd(spark, folder):
     vectors = [(0, [0.5, -0.25]), (50, [1.0, 1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [0.5, 0.5]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 0.0])]
-    vectors += [(8, []), (9, [1.0]), (100, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (10, [-0.003, 0.0]), (11, [0.0, 0.0])]
+    vectors += [(8, []), (9, [1.0]), (100, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (10, [-0.003, 0.0]), (11, [0.0, 0.0]), (150, []), (12, [])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
-    assert sorted(tuple(r) for r in topk.query(spark, folder(embeddings=df)).collect()) == brute_top(vectors)
+    assert sorted(tuple(r) for r in topk.query(spark, folder(embeddings=df)).collect()) == [x for x in brute_top([(i, v and [None if y is None else float(np.float32(y)) for y in v]) for i, v in vectors])]
     assert topk.query(spark, folder(embeddings=df.limit(0))).count() == 0
     assert rows(topk.query(spark, folder(embeddings=df.filter("vec_id = 0"))).toPandas()) == []
+
+
+def test_topk_of_wide_components(spark, folder):
+    """Scores beyond 2^53, beyond a long, and beyond what a float can hold as a whole."""
+    wide = [(0, [1.0]), (1, [2.0e6]), (2, [3.0e6]), (3, [1.5e6]), (4, [-1e9]), (50, [3.0e6]), (100, [1e30]), (5, [1e30]), (6, [1.0000001e30]), (150, [-3e38]), (7, [3.4e38])]
+    wide = [(i, [float(np.float32(x)) for x in v]) for i, v in wide]
+    df = spark.createDataFrame(wide, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.query(spark, folder(embeddings=df)).collect()) == brute_top(wide)
+
+
+def test_topk_of_repeated_rows(spark, folder):
+    twice = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [2.0, 1.0]), *[(i, [float(i), 1.0]) for i in range(1, 5)], (2, [2.0, 1.0]), *[(9, [9.0, 9.0])] * 40, (50, [0.0, 1.0])]
+    df = spark.createDataFrame(twice, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.query(spark, folder(embeddings=df)).collect()) == brute_top(twice)
+
+
+def test_scores_in_order_of_their_bytes():
+    values = sorted({s * (1 << e) + d for e in (0, 1, 7, 8, 62, 63, 64, 200, 900) for s in (-1, 1) for d in (-1, 0, 1)})
+    assert sorted(values, key=topk.ordered_bytes) == values
