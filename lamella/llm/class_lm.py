@@ -3,16 +3,21 @@
 A word's probability is that of its class after the class before it, times that of the word in its class:
 P(w | v) = P(class(w) | class(v)) * P(w | class(w)); a text starts behind an end.
 
-Classes are learned by exchange clustering: each unit is moved to the class that raises the likelihood of all class bigrams
-most, over all units, until nothing moves (ROUNDS at most). Units are the UNITS most frequent words, the end, and for
-the rest of the vocabulary ENDINGS groups of words by a hash of their last three bytes, so that every word, known or not, has a class.
-The exchange needs the counts of unit pairs (bounded by (UNITS + ENDINGS + 1)^2), which all training texts are summed into.
+Classes are learned by exchange clustering, and every training word gets one by its neighbours. Their number grows with
+the vocabulary (its cube root). Texts are turned into numbers of words once; the rounds read those.
+1. The SEEDS most frequent words are exchanged one by one, each to the class that raises the likelihood of all class bigrams most.
+2. Rounds over the FREQUENT most frequent words: the counts of (word, side, class of the neighbour) of all training texts are
+   summed by words in ranges, and each word moves to the class that raises the likelihood most, given all others' classes; all
+   move at once, and a round that lowers the likelihood is taken back.
+3. The words beyond, a distributed table, are exchanged in the same way against these classes: their counts meet by a join.
+The last three bytes (ENDINGS groups of them) decide only for words that training hasn't seen, or has seen among unknown neighbours
+only: they get the class that most rare words of their group have.
 
 Smoothing: a word c times in training has (c + 1) / Z in its class, Z being the sum of that over the class's words and 1 for
 a word not seen; a class after another has (n + KAPPA * q) / (N + KAPPA), q being the class's share of all Z. Both sum to one.
 
-The counts of words are a distributed table. Those of the FREQUENT most frequent words are sent to the tasks; the words
-beyond are rows that meet their counts by a join, so the vocabulary isn't bounded. As those are rare by choice, none is a hot key.
+The FREQUENT words are sent to the tasks; the words beyond are rows that meet their counts and classes by a join, so the
+vocabulary isn't bounded. As those are rare by choice, none is a hot key.
 
 Edge cases: a null text is empty: one token, the end; a null doc_id counts as the empty text for the split; very long texts
 are one row's work; repeated rows are scored each, and train each; an empty table gives no rows; without training texts all
@@ -31,15 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.tables import read, stored
+from lamella.tables import drop, read, settle, stored
 
 FREQUENT = 200_000
-UNITS = 1000
+SEEDS = 1000
 ENDINGS = 255
-CLASSES = 64
-ROUNDS = 12
+FEWEST, MOST = 16, 1024
+ROUNDS, SEED_ROUNDS = 2, 6
 KAPPA = 10.0
-FLUSH = 1 << 18
+FLUSH, CODES, RANGES = 1 << 18, 1 << 21, 64
 END = b""
 
 
@@ -52,6 +57,14 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
+def ending(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % ENDINGS
+
+
+def n_classes(types: int) -> int:
+    return max(FEWEST, min(MOST, round(types ** (1 / 3))))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(counts: Counter[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
@@ -74,36 +87,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """The frequent words in order, most frequent first: word to place, counts, and units."""
+    """The end, and the words of at least `least` occurrences, most frequent first: word to place, and counts."""
 
     places: dict[bytes, int]
     counts: np.ndarray
-    units: np.ndarray
-
-    @property
-    def size(self) -> int:
-        return UNITS + ENDINGS + 1
-
-    @staticmethod
-    def ending(word: bytes) -> int:
-        return UNITS + zlib.crc32(word[-3:]) % ENDINGS
-
-    @classmethod
-    def of(cls, rows: list[tuple[bytes, int]]) -> Lexicon:
-        rows = sorted(rows, key=lambda x: (-x[1], x[0]))
-        units = [UNITS + ENDINGS if w == END else i if i < UNITS else cls.ending(w) for i, (w, _) in enumerate(rows)]
-        return cls({w: i for i, (w, _) in enumerate(rows)}, np.array([c for _, c in rows], np.int64), np.array(units, np.int64))
-
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Of each token its place (-1: not frequent) and its unit; and the tokens that aren't frequent."""
-        tokens = words(text)
-        get = self.places.get
-        places = np.array([get(w, -1) for w in tokens], np.int64)
-        rare = np.nonzero(places < 0)[0]
-        units = self.units[places] if len(self.units) else np.zeros(len(tokens), np.int64)
-        others = [tokens[i] for i in rare]
-        units[rare] = [UNITS + ENDINGS if w == END else self.ending(w) for w in others]
-        return places, units, others
+    least: int
 
 
 def frequent(counts: DataFrame, most: int = FREQUENT) -> Lexicon:
@@ -111,39 +99,69 @@ def frequent(counts: DataFrame, most: int = FREQUENT) -> Lexicon:
     steps = counts.groupBy("c").agg(F.count("*").alias("n"))  # different counts: few, and read one by one
     upto = Window.orderBy(F.col("c").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     least = steps.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") <= most).agg(F.min("c").alias("c")).first().c
-    if least is None:
-        return Lexicon.of([])
-    table = counts.filter(F.col("c") >= least).toArrow()
-    return Lexicon.of(list(zip(table.column("word").to_pylist(), table.column("c").to_pylist(), strict=True)))
+    least = 1 << 62 if least is None else least
+    table = counts.filter((F.col("c") >= least) | (F.octet_length("word") == 0)).toArrow()
+    found = {w: c for w, c in zip(table.column("word").to_pylist(), table.column("c").to_pylist(), strict=True)}
+    rows = [(END, found.pop(END, 0)), *sorted(found.items(), key=lambda x: (-x[1], x[0]))]
+    return Lexicon({w: i for i, (w, _) in enumerate(rows)}, np.array([c for _, c in rows], np.int64), least)
+
+
+def _lists(flat: np.ndarray, lens: list[int], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat, kind))
 
 
-def unit_pairs(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    """How often each unit follows each, in all texts of docs."""
-    held, size = docs.sparkSession.sparkContext.broadcast(lexicon), lexicon.size
+def tokenised(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """row (a number), doc_id, training, places (of each token its place in the lexicon, or -1) and rare (the words of those)."""
+    held = docs.sparkSession.sparkContext.broadcast(lexicon.places)  # FREQUENT words at most
+    names = ["row", "doc_id", "training", "places", "rare"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = held.value.get
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                flat: list[int] = []
+                lens, rare = [], []
+                for text in batch.column("text"):
+                    tokens = words(text.as_py())
+                    places = [get(w, -1) for w in tokens]
+                    rare.append([w for w, p in zip(tokens, places, strict=True) if p < 0] if -1 in places else [])
+                    flat += places
+                    lens.append(len(places))
+                columns = [*[batch.column(c) for c in names[:3]], _lists(np.array(flat, np.int32), lens, pa.int32()), pa.array(rare, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "training", "text")
+    return stored(rows.mapInArrow(run, "row long, doc_id long, training boolean, places array<int>, rare array<binary>"))
+
+
+def _summed(rows: DataFrame, size: int) -> np.ndarray:
+    """The counts n by cell of rows (cell, n), as a square."""
+    found = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # size^2 rows at most
+    out = np.zeros(size * size, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(size, size)
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def bigrams(tokens: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
+    """How often each class follows each in the tokens' places; of: the class of each place, negative for none. A text begins behind an end."""
+    held = tokens.sparkSession.sparkContext.broadcast(np.append(of, -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        pending: list[np.ndarray] = []
         for batch in batches:
-            for text in batch.column("text"):
-                _, units, _ = held.value.read(text.as_py())
-                pending.append(np.concatenate([[size - 1], units[:-1]]) * size + units)
-                if sum(map(len, pending[-64:])) > 1 << 18 or len(pending) > 1000:
-                    total += np.bincount(np.concatenate(pending), minlength=size * size)
-                    pending = []
-        if pending:
-            total += np.bincount(np.concatenate(pending), minlength=size * size)
+            cls = held.value[batch.column("places").flatten().to_numpy()]
+            before = np.roll(cls, 1)  # ends stand behind each other's texts
+            both = (cls >= 0) & (before >= 0)
+            total += np.bincount(before[both] * size + cls[both], minlength=size * size)
         at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    pairs = docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # size^2 rows at most
-    out = np.zeros(size * size, np.int64)
-    out[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
-    return out.reshape(size, size)
+    return _summed(tokens.select("places").mapInArrow(run, "cell long, n long"), size)
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each unit. Units move in order of frequency; of equally good classes, to the first."""
+def exchange(pairs: np.ndarray, classes: int, rounds: int = SEED_ROUNDS) -> np.ndarray:
+    """The class of each unit. Units move one by one in order of frequency; of equally good classes, to the first."""
     size = len(pairs)
     total = pairs.sum(axis=0) + pairs.sum(axis=1)
     order = np.argsort(-total, kind="stable")
@@ -154,7 +172,6 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     counts = pairs.astype(np.float64)
     right, left = counts @ member, counts.T @ member  # of each unit: followed by, and following, each class
     grid = member.T @ right
-    f = lambda x: x * np.log(np.maximum(x, 1.0))
     diagonal = np.arange(classes)
     for _ in range(rounds):
         moved = 0
@@ -170,10 +187,11 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             l[own] -= s
             rows, columns = grid.sum(axis=1) + l, grid.sum(axis=0) + r  # what leads to u, and from it, counts wherever u is
             n_row, n_column = r.sum() + s, l.sum() + s
-            gain = (f(grid + r) - f(grid)).sum(axis=1) + (f(grid + l[:, None]) - f(grid)).sum(axis=0)
+            at_row, at_column = np.nonzero(r)[0], np.nonzero(l)[0]
+            gain = (xlogx(grid[:, at_row] + r[at_row]) - xlogx(grid[:, at_row])).sum(axis=1) + (xlogx(grid[at_column] + l[at_column, None]) - xlogx(grid[at_column])).sum(axis=0)
             d = grid[diagonal, diagonal]
-            gain += f(d + r + l + s) - f(d) - (f(d + r) - f(d)) - (f(d + l) - f(d))
-            gain -= f(rows + n_row) - f(rows) + f(columns + n_column) - f(columns)
+            gain += xlogx(d + r + l + s) - xlogx(d) - (xlogx(d + r) - xlogx(d)) - (xlogx(d + l) - xlogx(d))
+            gain -= xlogx(rows + n_row) - xlogx(rows) + xlogx(columns + n_column) - xlogx(columns)
             best = int(np.argmax(gain))
             if gain[best] <= gain[own] + 1e-9:
                 best = int(own)
@@ -192,93 +210,291 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return of
 
 
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def likelihood(grid: np.ndarray) -> float:
+    """That of all class bigrams, less what doesn't depend on classes."""
+    g = grid.astype(np.float64)
+    return float(xlogx(g).sum() - xlogx(g.sum(axis=0)).sum() - xlogx(g.sum(axis=1)).sum())
+
+
+def moved(word: np.ndarray, key: np.ndarray, n: np.ndarray, own: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The best class of each word, given all others'. An entry is a word (sorted, from 0, none left out), a key (the class before
+    it, or classes + the class behind it) and how often; own: the words' classes, negative for none."""
+    classes = len(grid)
+    g = grid.astype(np.float64)
+    table = np.vstack([g, g.T])
+    logs = xlogx(table)
+    out = own.copy()
+    starts = np.searchsorted(word, np.arange(len(own)))
+    step = max(1, (1 << 22) // classes)
+    done = 0
+    while done < len(own):  # whole words, about `step` entries
+        end = max(done + 1, int(np.searchsorted(starts, starts[done] + step, "right")) - 1) if starts[done] + step < len(word) else len(own)
+        lo, hi = starts[done], starts[end] if end < len(own) else len(word)
+        w, k, c = word[lo:hi] - done, key[lo:hi], n[lo:hi].astype(np.float64)
+        had = own[done:end]
+        gain = xlogx(table[k] + c[:, None]) - logs[k]
+        at = np.nonzero(had[w] >= 0)[0]
+        mine = had[w[at]]
+        gain[at, mine] = logs[k[at], mine] - xlogx(np.maximum(table[k[at], mine] - c[at], 0))
+        total = np.add.reduceat(gain, starts[done:end] - lo, axis=0)
+        for side, sums in ((0, g.sum(axis=0)), (1, g.sum(axis=1))):  # of what follows, and of what leads
+            times = np.bincount(w, c * (k // classes == side), end - done)
+            cost = xlogx(sums[None, :] + times[:, None]) - xlogx(sums)[None, :]
+            rows = np.nonzero(had >= 0)[0]
+            cost[rows, had[rows]] = xlogx(sums[had[rows]]) - xlogx(np.maximum(sums[had[rows]] - times[rows], 0))
+            total -= cost
+        best = total.argmax(axis=1)
+        held = np.where(had >= 0, total[np.arange(len(had)), np.maximum(had, 0)], -np.inf)
+        out[done:end] = np.where(total[np.arange(len(had)), best] > held + 1e-9, best, had)
+        done = end
+    return out
+
+
+def exchanged(tokens: DataFrame, of: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """A round over all places: the class of each after it."""
+    size, spark = len(grid), tokens.sparkSession
+    held = spark.sparkContext.broadcast((np.append(of, -1), grid))
+    schema = pa.schema([("part", pa.int32()), ("codes", pa.binary()), ("n", pa.binary())])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls_of = held.value[0]
+        pending: list[np.ndarray] = []
+        sums: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def combine() -> None:
+            if pending:
+                sums.append(np.unique(np.concatenate(pending), return_counts=True))
+                pending.clear()
+            if len(sums) > 1:
+                codes, place = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+                sums[:] = [(codes, np.bincount(place, np.concatenate([x[1] for x in sums])).astype(np.int64))]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            combine()
+            if sums:
+                codes, n = sums.pop()
+                part = codes // (2 * size) % RANGES
+                order = np.argsort(part, kind="stable")
+                codes, n, part = codes[order], n[order], part[order]
+                edges = np.searchsorted(part, np.arange(RANGES + 1))
+                out = [(k, pa.compress(np.diff(codes[a:b], prepend=0), "zstd", asbytes=True), n[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            flat = batch.column("places").flatten().to_numpy().astype(np.int64)
+            cls = cls_of[flat]
+            for side, near in ((0, np.roll(cls, 1)), (1, np.roll(cls, -1))):
+                at = (flat >= 0) & (near >= 0)
+                pending.append(flat[at] * (2 * size) + side * size + near[at])
+            if sum(map(len, pending)) >= CODES:
+                combine()
+                if len(sums[0][0]) >= 2 * CODES:
+                    yield from rows()
+        yield from rows()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls_of, g = held.value
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        last = None
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            if kept:
+                codes, place = np.unique(np.concatenate([x[0] for x in kept]), return_inverse=True)
+                n = np.bincount(place, np.concatenate([x[1] for x in kept]))
+                places, word = np.unique(codes // (2 * size), return_inverse=True)
+                best = moved(word, codes % (2 * size), n, cls_of[places], g)
+                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(best)], names=["place", "class"])
+                kept.clear()
+
+        for batch in batches:
+            for part, codes, n in zip(*(batch.column(c).to_pylist() for c in ("part", "codes", "n")), strict=True):
+                if last is not None and part != last:
+                    yield from settled()
+                last = part
+                count = np.frombuffer(n, np.uint32)
+                kept.append((np.cumsum(np.frombuffer(pa.decompress(codes, len(count) * 8, "zstd", asbytes=True), np.int64)), count))
+        yield from settled()
+
+    rows = tokens.select("places").mapInArrow(gather, "part int, codes binary, n binary")
+    found = rows.repartition(RANGES, "part").sortWithinPartitions("part").mapInArrow(decide, "place long, class long").toArrow()  # FREQUENT rows at most
+    out = of.copy()
+    out[found.column("place").to_numpy()] = found.column("class").to_numpy()
+    settle(spark)
+    return out
+
+
+def rare_classes(tokens: DataFrame, counts: DataFrame, lexicon: Lexicon, of: np.ndarray, grid: np.ndarray) -> DataFrame:
+    """word, c, ending and class (negative: no neighbour is known) of the training words beyond the lexicon."""
+    size = len(grid)
+    held = tokens.sparkSession.sparkContext.broadcast((np.append(of, -1), grid))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls_of = held.value[0]
+        found: Counter[tuple[bytes, int]] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([k for _, k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "key", "n"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            flat = batch.column("places").flatten().to_numpy()
+            cls, at = cls_of[flat], np.nonzero(flat < 0)[0]
+            rare = batch.column("rare").flatten().to_pylist()
+            for side, near in ((0, np.roll(cls, 1)[at]), (1, np.roll(cls, -1)[at])):
+                found.update((w, k + side * size) for w, k in zip(rare, near.tolist(), strict=True) if k >= 0)
+            if len(found) >= FLUSH:
+                yield rows()
+        if found:
+            yield rows()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = held.value[1]
+        for batch in batches:
+            entries = batch.column("entries").to_pylist()
+            best = np.full(len(entries), -1, np.int64)
+            known = [i for i, x in enumerate(entries) if x]
+            if known:
+                lens = [len(entries[i]) for i in known]
+                key, n = np.array([(x["key"], x["n"]) for i in known for x in entries[i]], np.int64).T
+                best[known] = moved(np.repeat(np.arange(len(known)), lens), key, n, np.full(len(known), -1, np.int64), g)
+            endings = [ending(w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(endings, pa.int32()), pa.array(best)], names=["word", "c", "ending", "class"])
+
+    rows = tokens.select("places", "rare").mapInArrow(gather, "word binary, key int, n long").repartition("word")
+    entries = rows.groupBy("word", "key").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("entries"))  # two a class at most
+    rare = counts.filter((F.col("c") < lexicon.least) & (F.octet_length("word") > 0))
+    return stored(rare.join(entries, "word", "left").select("word", "c", "entries").mapInArrow(decide, "word binary, c long, ending int, class long"))
+
+
 @dataclass
 class Model:
-    """classes: of each unit; steps: log10 P(class | class before); norms: log10 Z of each class; tokens and types of the training texts."""
+    """of: the class of each place of the lexicon; endings: of each group of words not seen; steps: log10 P(class | class before); norms:
+    log10 Z of each class; tokens and types of the training texts."""
 
     lexicon: Lexicon
-    classes: np.ndarray
+    of: np.ndarray
+    endings: np.ndarray
     steps: np.ndarray
     norms: np.ndarray
     tokens: int
     types: int
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of all texts of docs, and their word counts (a stored table)."""
-    counts = stored(word_counts(docs))
-    lexicon = frequent(counts)
-    pairs = unit_pairs(docs, lexicon)
-    classes = exchange(pairs)
-    held = docs.sparkSession.sparkContext.broadcast((lexicon, classes))
+LINES = "doc_id long, training boolean, n_tokens long, known long, logs double, classes binary"
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, of = held.value
-        z, n, types = np.zeros(CLASSES), 0, 0
+
+def lines_of(tokens: DataFrame, rare: DataFrame, lexicon: Lexicon, of: np.ndarray, endings: np.ndarray) -> DataFrame:
+    """doc_id, training, n_tokens, known, logs (the sum of log10(c + 1)) and classes of the tokens of each row."""
+    asked = tokens.select("row", F.posexplode("rare").alias("at", "word"))
+    found = asked.join(rare.select("word", "c", "class"), "word", "left").groupBy("row").agg(F.collect_list(F.struct("at", "word", "c", "class")).alias("found"))
+    held = tokens.sparkSession.sparkContext.broadcast((lexicon.counts, of, endings))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, of_, ends = held.value
+        logs = np.log10(counts + 1.0)
         for batch in batches:
-            c = batch.column("c").to_numpy()
-            found = batch.column("word").to_pylist()
-            units = [lex.units[lex.places[w]] if w in lex.places else UNITS + ENDINGS if w == END else lex.ending(w) for w in found]
-            z += np.bincount(of[units], c + 1, CLASSES) if len(c) else 0
-            n, types = n + int(c.sum()), types + len(c)
-        yield pa.RecordBatch.from_arrays([pa.array([z.astype(np.int64)], pa.list_(pa.int64())), pa.array([n]), pa.array([types])], names=["z", "n", "types"])
-
-    parts = counts.mapInArrow(weigh, "z array<long>, n long, types long").collect()  # one row a task
-    z = np.sum([r.z for r in parts], axis=0) + 1.0 if parts else np.ones(CLASSES)
-    member = np.zeros((len(classes), CLASSES))
-    member[np.arange(len(classes)), classes] = 1
-    grid = member.T @ pairs @ member
+            out = []
+            for doc_id, training, places, rare_ in zip(*(batch.column(c) for c in ("doc_id", "training", "places", "found")), strict=True):
+                p = np.asarray(places.values.to_numpy(zero_copy_only=False), np.int64)
+                cls, whole = of_[p].astype(np.uint16), p[p >= 0]
+                known, total = int((counts[whole] > 0).sum()), float(logs[whole].sum())
+                if rare_.is_valid:
+                    rows = sorted((x["at"], x["word"], x["c"], x["class"]) for x in rare_.as_py()) if len(rare_) else []
+                    cls[p < 0] = [ends[ending(w)] if c is None else k for _, w, c, k in rows]
+                    seen = np.array([c for _, _, c, _ in rows if c is not None], np.float64)
+                    known, total = known + len(seen), total + float(np.log10(seen + 1.0).sum())
+                out.append((doc_id.as_py(), training.as_py(), len(p), known, total, cls.tobytes()))
+            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "training", "n_tokens", "known", "logs", "classes"])
+
+    return stored(tokens.join(found, "row", "left").select("doc_id", "training", "places", "found").mapInArrow(run, LINES))
+
+
+def _class_pairs(lines: DataFrame, of_end: int, size: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint16).astype(np.int64)
+            total += np.bincount(np.concatenate([[of_end], flat[:-1]]) * size + flat, minlength=size * size)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+
+    return _summed(lines.select("classes").mapInArrow(run, "cell long, n long"), size)
+
+
+def train(docs: DataFrame, training: Column | None = None) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of the texts of docs that training is true of (all, if not given), its rare words (see rare_classes), and the lines of all docs."""
+    docs = docs.select("doc_id", "text", (F.lit(True) if training is None else training).alias("training"))
+    counts = stored(word_counts(docs.filter("training")))
+    total = counts.agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).first()
+    size = n_classes(total.types)
+    lexicon = frequent(counts)
+    tokens = tokenised(docs, lexicon)
+    settle(docs.sparkSession)
+    own = tokens.filter("training")
+    seeds = np.full(len(lexicon.counts), -1, np.int64)
+    n = min(SEEDS, len(seeds))
+    seeds[:n] = np.arange(n)
+    of = np.full(len(seeds), -1, np.int64)
+    of[:n] = exchange(bigrams(own, seeds, n), size)
+    grid, best = bigrams(own, of, size), None
+    for _ in range(ROUNDS):
+        new = exchanged(own, of, grid)
+        new_grid = bigrams(own, new, size)
+        if best is not None and likelihood(new_grid) < best:
+            break
+        of, grid, best = new, new_grid, likelihood(new_grid)
+    alone = of < 0  # only ever beside words that have no class
+    of[alone] = np.arange(alone.sum()) % size
+    rare = rare_classes(own, counts, lexicon, of, grid)
+    settle(docs.sparkSession)
+    votes = rare.filter("class >= 0").groupBy("ending", "class").agg(F.count("*").alias("n")).collect()  # ENDINGS x classes rows at most
+    endings = np.zeros(ENDINGS, np.int64)
+    for x in sorted(votes, key=lambda x: (x.n, -x["class"])):
+        endings[x.ending] = x["class"]
+    group = F.get(F.array(*[F.lit(int(x)) for x in endings]), F.col("ending")).cast("long")
+    rare = rare.withColumn("class", F.when(F.col("class") >= 0, F.col("class")).otherwise(group))
+    z = np.bincount(of, (lexicon.counts + 1) * (lexicon.counts > 0), size) + 1.0
+    for x in rare.groupBy("class").agg(F.sum(F.col("c") + 1).alias("z")).collect():  # a row for each class
+        z[x["class"]] += x.z
+    lines = lines_of(tokens, rare, lexicon, of, endings)
+    grid = _class_pairs(lines.filter("training"), int(of[0]), size)
     steps = (grid + KAPPA * z / z.sum()) / (grid.sum(axis=1, keepdims=True) + KAPPA)
-    return Model(lexicon, classes, np.log10(steps), np.log10(z), sum(r.n for r in parts), sum(r.types for r in parts)), counts
+    drop(tokens)
+    settle(docs.sparkSession)
+    return Model(lexicon, of, endings, np.log10(steps), np.log10(z), total.tokens or 0, total.types), rare, lines
 
 
-def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # FREQUENT words at most
+def scored(lines: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every row of lines."""
+    held = lines.sparkSession.sparkContext.broadcast((model.steps, model.norms, int(model.of[0])))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        logs = np.log10(m.lexicon.counts + 1.0)
-        names = ["row", "doc_id", "n_tokens", "known", "logs", "path", "word", "n"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                out: list[tuple] = []
-                tail: tuple[list, list, list] = ([], [], [])
-                for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    places, units, others = m.lexicon.read(text.as_py())
-                    of = m.classes[units]
-                    path = m.steps[np.concatenate([m.classes[-1:], of[:-1]]), of].sum() - m.norms[of].sum()
-                    known = places[places >= 0]
-                    out.append((row, doc_id, len(places), len(known), float(logs[known].sum()), float(path), None, None))
-                    if others:
-                        rare = Counter(others)
-                        tail[0].extend([row] * len(rare))
-                        tail[1].extend(rare.keys())
-                        tail[2].extend(rare.values())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-                if tail[0]:
-                    none = [pa.nulls(len(tail[0]), t) for t in types]
-                    yield pa.RecordBatch.from_arrays([pa.array(tail[0], pa.int64()), *none[1:6], pa.array(tail[1], pa.binary()), pa.array(tail[2], pa.int64())], names=names)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(rows.mapInArrow(score, "row long, doc_id long, n_tokens long, known long, logs double, path double, word binary, n long"))
-    rare = rows.filter("word IS NOT NULL").select("row", "word", "n").join(counts, "word")
-    rare = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
-    whole = rows.filter("word IS NULL").drop("word", "n").join(rare, "row", "left")
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+        steps, norms, end = held.value
+        for batch in batches:
+            path = []
+            for classes in batch.column("classes").to_pylist():
+                cls = np.frombuffer(classes, np.uint16)
+                path.append(float(steps[np.concatenate([[end], cls[:-1]]), cls].sum() - norms[cls].sum()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "n_tokens", "known", "logs")], pa.array(path, pa.float64())], names=["doc_id", "n_tokens", "known", "logs", "path"])
+
+    rows = lines.mapInArrow(score, "doc_id long, n_tokens long, known long, logs double, path double")
     every = float(np.log10(model.tokens + model.types + 1))
-    return whole.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        (logs - F.col("n_tokens") * every).alias("base_score"),
-        (logs + F.col("path")).alias("score"),
-    )
+    return rows.select("doc_id", "n_tokens", F.col("known").alias("n_known"), (F.col("logs") - F.col("n_tokens") * every).alias("base_score"), (F.col("logs") + F.col("path")).alias("score"))
+
+
+def score_texts(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of texts that needn't be the training's; rare: the words that `train` returns."""
+    tokens = tokenised(docs.select("doc_id", "text", F.lit(False).alias("training")), model.lexicon)
+    return scored(lines_of(tokens, rare, model.lexicon, model.of, model.endings), model)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model, counts = train(docs.filter(~held_out()))
-    return scored(docs, model, counts).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    model, _, lines = train(read(spark, sf_dir, "documents"), ~held_out())
+    return scored(lines, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
