@@ -215,9 +215,11 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = counts > 1
         again[place[more]] = True
         ends = np.cumsum([x["n"] for x in held])
+        out = []
         for x, end in zip(held, ends.tolist(), strict=True):
             own = place[end - x["n"] : end]
-            yield _batch([(x["block"], x["part"], x["n"], pa.compress((own + 1).astype(np.uint32), "zstd", asbytes=True), np.packbits(again[own]).tobytes(), len(counts))], schema)
+            out.append((x["block"], x["part"], x["n"], pa.compress((own + 1).astype(np.uint32), "zstd", asbytes=True), np.packbits(again[own]).tobytes(), len(counts)))
+        yield _batch(out, schema)
         held.clear()
 
     for row in _rows(batches):
