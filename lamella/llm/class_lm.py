@@ -9,7 +9,7 @@ the vocabulary (its cube root). Texts are turned into numbers of words once; the
 2. Rounds over the FREQUENT most frequent words: the counts of (word, side, class of the neighbour) of all training texts are
    summed by words in ranges, and each word moves to the class that raises the likelihood most, given all others' classes; all
    move at once, and a round that lowers the likelihood is taken back.
-3. The words beyond, a distributed table, are exchanged in the same way against these classes: their counts meet by a join.
+3. The words beyond, a distributed table, are exchanged in the same way against these classes.
 The last three bytes (ENDINGS groups of them) decide only for words that training hasn't seen, or has seen among unknown neighbours
 only: they get the class that most rare words of their group have.
 
@@ -26,6 +26,7 @@ words are unknown and the end is the only token the model has; other columns are
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -44,7 +45,10 @@ ENDINGS = 255
 FEWEST, MOST = 16, 1024
 ROUNDS, SEED_ROUNDS = 2, 6
 KAPPA = 10.0
-FLUSH, CODES, RANGES = 1 << 18, 1 << 21, 64
+#: Words counted at once; codes summed at once; ranges of words; numbers in a matrix of gains.
+FLUSH, CODES, RANGES, CELLS = 1 << 18, 1 << 19, 64, 1 << 20
+#: No class.
+NONE = 0xFFFF
 END = b""
 
 
@@ -106,33 +110,31 @@ def frequent(counts: DataFrame, most: int = FREQUENT) -> Lexicon:
     return Lexicon({w: i for i, (w, _) in enumerate(rows)}, np.array([c for _, c in rows], np.int64), least)
 
 
-def _lists(flat: np.ndarray, lens: list[int], kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat, kind))
-
-
 def tokenised(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """row (a number), doc_id, training, places (of each token its place in the lexicon, or -1) and rare (the words of those)."""
+    """row (a number), doc_id, training, places (of each token its place in the lexicon, or -1, as bytes) and rare (the words of those)."""
     held = docs.sparkSession.sparkContext.broadcast(lexicon.places)  # FREQUENT words at most
     names = ["row", "doc_id", "training", "places", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = held.value.get
+        get, none = held.value.get, itertools.repeat(-1)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                flat: list[int] = []
-                lens, rare = [], []
+                data, rare = [], []
                 for text in batch.column("text"):
                     tokens = words(text.as_py())
-                    places = [get(w, -1) for w in tokens]
-                    rare.append([w for w, p in zip(tokens, places, strict=True) if p < 0] if -1 in places else [])
-                    flat += places
-                    lens.append(len(places))
-                columns = [*[batch.column(c) for c in names[:3]], _lists(np.array(flat, np.int32), lens, pa.int32()), pa.array(rare, pa.list_(pa.binary()))]
+                    places = np.fromiter(map(get, tokens, none), np.int32, len(tokens))
+                    data.append(places.tobytes())
+                    rare.append([tokens[i] for i in np.nonzero(places < 0)[0]])
+                columns = [*[batch.column(c) for c in names[:3]], pa.array(data, pa.binary()), pa.array(rare, pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "training", "text")
-    return stored(rows.mapInArrow(run, "row long, doc_id long, training boolean, places array<int>, rare array<binary>"))
+    return stored(rows.mapInArrow(run, "row long, doc_id long, training boolean, places binary, rare array<binary>"))
+
+
+def _flat(batch: pa.RecordBatch, column: str = "places", kind: type = np.int32) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(column).to_pylist()), kind)
 
 
 def _summed(rows: DataFrame, size: int) -> np.ndarray:
@@ -150,7 +152,7 @@ def bigrams(tokens: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
         for batch in batches:
-            cls = held.value[batch.column("places").flatten().to_numpy()]
+            cls = held.value[_flat(batch)]
             before = np.roll(cls, 1)  # ends stand behind each other's texts
             both = (cls >= 0) & (before >= 0)
             total += np.bincount(before[both] * size + cls[both], minlength=size * size)
@@ -229,23 +231,27 @@ def moved(word: np.ndarray, key: np.ndarray, n: np.ndarray, own: np.ndarray, gri
     logs = xlogx(table)
     out = own.copy()
     starts = np.searchsorted(word, np.arange(len(own)))
-    step = max(1, (1 << 22) // classes)
+    step = max(1, CELLS // classes)
     done = 0
     while done < len(own):  # whole words, about `step` entries
         end = max(done + 1, int(np.searchsorted(starts, starts[done] + step, "right")) - 1) if starts[done] + step < len(word) else len(own)
         lo, hi = starts[done], starts[end] if end < len(own) else len(word)
         w, k, c = word[lo:hi] - done, key[lo:hi], n[lo:hi].astype(np.float64)
         had = own[done:end]
-        gain = xlogx(table[k] + c[:, None]) - logs[k]
+        sums = table[k]
+        sums += c[:, None]
+        gain = np.log(sums)
+        gain *= sums
+        gain -= logs[k]
         at = np.nonzero(had[w] >= 0)[0]
         mine = had[w[at]]
         gain[at, mine] = logs[k[at], mine] - xlogx(np.maximum(table[k[at], mine] - c[at], 0))
         total = np.add.reduceat(gain, starts[done:end] - lo, axis=0)
-        for side, sums in ((0, g.sum(axis=0)), (1, g.sum(axis=1))):  # of what follows, and of what leads
+        for side, all_ in ((0, g.sum(axis=0)), (1, g.sum(axis=1))):  # of what follows, and of what leads
             times = np.bincount(w, c * (k // classes == side), end - done)
-            cost = xlogx(sums[None, :] + times[:, None]) - xlogx(sums)[None, :]
+            cost = xlogx(all_[None, :] + times[:, None]) - xlogx(all_)[None, :]
             rows = np.nonzero(had >= 0)[0]
-            cost[rows, had[rows]] = xlogx(sums[had[rows]]) - xlogx(np.maximum(sums[had[rows]] - times[rows], 0))
+            cost[rows, had[rows]] = xlogx(all_[had[rows]]) - xlogx(np.maximum(all_[had[rows]] - times[rows], 0))
             total -= cost
         best = total.argmax(axis=1)
         held = np.where(had >= 0, total[np.arange(len(had)), np.maximum(had, 0)], -np.inf)
@@ -285,7 +291,7 @@ def exchanged(tokens: DataFrame, of: np.ndarray, grid: np.ndarray) -> np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            flat = batch.column("places").flatten().to_numpy().astype(np.int64)
+            flat = _flat(batch).astype(np.int64)
             cls = cls_of[flat]
             for side, near in ((0, np.roll(cls, 1)), (1, np.roll(cls, -1))):
                 at = (flat >= 0) & (near >= 0)
@@ -327,48 +333,38 @@ def exchanged(tokens: DataFrame, of: np.ndarray, grid: np.ndarray) -> np.ndarray
     return out
 
 
-def rare_classes(tokens: DataFrame, counts: DataFrame, lexicon: Lexicon, of: np.ndarray, grid: np.ndarray) -> DataFrame:
+def rare_classes(tokens: DataFrame, of: np.ndarray, grid: np.ndarray) -> DataFrame:
     """word, c, ending and class (negative: no neighbour is known) of the training words beyond the lexicon."""
     size = len(grid)
-    held = tokens.sparkSession.sparkContext.broadcast((np.append(of, -1), grid))
+    held = tokens.sparkSession.sparkContext.broadcast((np.append(of, NONE).astype(np.int64), grid))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls_of = held.value[0]
-        found: Counter[tuple[bytes, int]] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([k for _, k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "key", "n"])
-            found.clear()
-            return out
-
         for batch in batches:
-            flat = batch.column("places").flatten().to_numpy()
+            flat = _flat(batch)
             cls, at = cls_of[flat], np.nonzero(flat < 0)[0]
-            rare = batch.column("rare").flatten().to_pylist()
-            for side, near in ((0, np.roll(cls, 1)[at]), (1, np.roll(cls, -1)[at])):
-                found.update((w, k + side * size) for w, k in zip(rare, near.tolist(), strict=True) if k >= 0)
-            if len(found) >= FLUSH:
-                yield rows()
-        if found:
-            yield rows()
+            if len(at):
+                beside = np.roll(cls, 1)[at] << 16 | np.roll(cls, -1)[at]  # the classes before and behind
+                yield pa.RecordBatch.from_arrays([batch.column("rare").flatten(), pa.array(beside)], names=["word", "beside"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = held.value[1]
         for batch in batches:
-            entries = batch.column("entries").to_pylist()
-            best = np.full(len(entries), -1, np.int64)
-            known = [i for i, x in enumerate(entries) if x]
-            if known:
-                lens = [len(entries[i]) for i in known]
-                key, n = np.array([(x["key"], x["n"]) for i in known for x in entries[i]], np.int64).T
-                best[known] = moved(np.repeat(np.arange(len(known)), lens), key, n, np.full(len(known), -1, np.int64), g)
+            lens = batch.column("beside").value_lengths().to_numpy()
+            word, beside = np.repeat(np.arange(len(lens)), lens), batch.column("beside").flatten().to_numpy()
+            near = np.concatenate([beside >> 16, beside & NONE])
+            code = np.concatenate([word, word]) * (2 * size) + near + np.repeat([0, size], len(word))
+            codes, n = np.unique(code[near < NONE], return_counts=True)
+            known, at = np.unique(codes // (2 * size), return_inverse=True)
+            best = np.full(len(lens), -1, np.int64)
+            if len(known):
+                best[known] = moved(at, codes % (2 * size), n, np.full(len(known), -1, np.int64), g)
             endings = [ending(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(endings, pa.int32()), pa.array(best)], names=["word", "c", "ending", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(lens, pa.int64()), pa.array(endings, pa.int32()), pa.array(best)], names=["word", "c", "ending", "class"])
 
-    rows = tokens.select("places", "rare").mapInArrow(gather, "word binary, key int, n long").repartition("word")
-    entries = rows.groupBy("word", "key").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("entries"))  # two a class at most
-    rare = counts.filter((F.col("c") < lexicon.least) & (F.octet_length("word") > 0))
-    return stored(rare.join(entries, "word", "left").select("word", "c", "entries").mapInArrow(decide, "word binary, c long, ending int, class long"))
+    rows = tokens.select("places", "rare").mapInArrow(gather, "word binary, beside long")
+    words_ = rows.groupBy("word").agg(F.collect_list("beside").alias("beside"))  # fewer than the lexicon's rarest word has
+    return stored(words_.mapInArrow(decide, "word binary, c long, ending int, class long"))
 
 
 @dataclass
@@ -396,22 +392,28 @@ def lines_of(tokens: DataFrame, rare: DataFrame, lexicon: Lexicon, of: np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, of_, ends = held.value
+        counts, of_ = np.append(counts, 0), np.append(of_, 0)
         logs = np.log10(counts + 1.0)
-        for batch in batches:
-            out = []
-            for doc_id, training, places, rare_ in zip(*(batch.column(c) for c in ("doc_id", "training", "places", "found")), strict=True):
-                p = np.asarray(places.values.to_numpy(zero_copy_only=False), np.int64)
-                cls, whole = of_[p].astype(np.uint16), p[p >= 0]
-                known, total = int((counts[whole] > 0).sum()), float(logs[whole].sum())
-                if rare_.is_valid:
-                    rows = sorted((x["at"], x["word"], x["c"], x["class"]) for x in rare_.as_py()) if len(rare_) else []
-                    cls[p < 0] = [ends[ending(w)] if c is None else k for _, w, c, k in rows]
-                    seen = np.array([c for _, _, c, _ in rows if c is not None], np.float64)
-                    known, total = known + len(seen), total + float(np.log10(seen + 1.0).sum())
-                out.append((doc_id.as_py(), training.as_py(), len(p), known, total, cls.tobytes()))
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "training", "n_tokens", "known", "logs", "classes"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                batch = whole.slice(first, 1024)
+                flat, lens = _flat(batch), np.array([len(x) // 4 for x in batch.column("places").to_pylist()])
+                starts = np.cumsum(lens) - lens
+                cls, known, log = of_[flat].astype(np.uint16), (counts[flat] > 0).astype(np.int64), logs[flat]
+                entries = batch.column("found").flatten()
+                if len(entries):
+                    n = batch.column("found").value_lengths().fill_null(0).to_numpy()
+                    order = np.lexsort((entries.field("at").to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)))
+                    c, k = (entries.field(x).fill_null(-1).to_numpy()[order] for x in ("c", "class"))
+                    new = np.nonzero(c < 0)[0]
+                    k = k.copy()
+                    k[new] = [ends[ending(w)] for w in entries.field("word").take(pa.array(order[new])).to_pylist()]
+                    rare = flat < 0
+                    cls[rare], known[rare], log[rare] = k, c > 0, np.log10(np.maximum(c, 0) + 1.0)
+                data = cls.tobytes()
+                classes = [data[2 * a : 2 * b] for a, b in zip(starts.tolist(), (starts + lens).tolist(), strict=True)]
+                columns = [batch.column("doc_id"), batch.column("training"), pa.array(lens, pa.int64()), pa.array(np.add.reduceat(known, starts)), pa.array(np.add.reduceat(log, starts)), pa.array(classes, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "training", "n_tokens", "known", "logs", "classes"])
 
     return stored(tokens.join(found, "row", "left").select("doc_id", "training", "places", "found").mapInArrow(run, LINES))
 
@@ -420,7 +422,7 @@ def _class_pairs(lines: DataFrame, of_end: int, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
         for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint16).astype(np.int64)
+            flat = _flat(batch, "classes", np.uint16).astype(np.int64)
             total += np.bincount(np.concatenate([[of_end], flat[:-1]]) * size + flat, minlength=size * size)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
@@ -452,7 +454,7 @@ def train(docs: DataFrame, training: Column | None = None) -> tuple[Model, DataF
         of, grid, best = new, new_grid, likelihood(new_grid)
     alone = of < 0  # only ever beside words that have no class
     of[alone] = np.arange(alone.sum()) % size
-    rare = rare_classes(own, counts, lexicon, of, grid)
+    rare = rare_classes(own, of, grid)
     settle(docs.sparkSession)
     votes = rare.filter("class >= 0").groupBy("ending", "class").agg(F.count("*").alias("n")).collect()  # ENDINGS x classes rows at most
     endings = np.zeros(ENDINGS, np.int64)
