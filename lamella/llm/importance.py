@@ -2,13 +2,14 @@
 
 A text's features are its tokens (runs of word characters, runs of other marks) and pairs of neighbours, each
 hashed into BUCKETS; pairs of a token with itself share one bucket. Counts of labelled documents of good quality
-(MOST_LABELS of them at most, those with the smallest hash of doc_id) make the target model, counts of all documents
+(MOST_LABELS of them at most, those with the smallest hash of doc_id among all that there are) make the target model, counts of all documents
 the raw one (add-one smoothing). A document's log weight
 is the sum over its features of log p_target - log p_raw. Adding a Gumbel variate (from a hash of doc_id, so
 reruns agree) and keeping the k largest keys samples k documents without replacement in proportion to weight.
 k is the share of good ones among labelled documents, of all documents, unless given.
 
-The k-th key is found by counting keys in bins and going into the bin that holds it, never by sorting all.
+The k-th key is found by counting keys in bins and going into the bin that holds it, never by sorting all. Rows alike in key and
+doc_id are counted first.
 
 Edge cases: null and empty texts have weight 0; rows alike in doc_id and text have one key, and are kept or left
 together; without labels everything is kept; an empty table gives no rows; `resample` keeps extra columns.
@@ -75,7 +76,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p_target - log p_raw of each bucket. A document counts for the target once for each label of good quality."""
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("good")).withColumnRenamed("doc_id", "_id")
-    good = good.orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELS)  # the bound: a top-k by hash
+    good = good.join(docs.select("doc_id"), F.col("doc_id") == F.col("_id"), "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELS)  # the bound: a top-k by hash
     marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("_id"), "left").select(F.coalesce("good", F.lit(0)).alias("good"), "text")
     counts = marked.mapInArrow(_counted, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -103,20 +104,21 @@ def weighted(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 
 def kth(keys: DataFrame, k: int) -> tuple[float, int | None] | None:
     """The k-th row in order of key (largest first) and doc_id; None if there are no more than k."""
-    total = keys.agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).first()
+    keys = stored(keys.groupBy("key", "doc_id").agg(F.count("*").alias("c")))
+    total = keys.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("groups"), F.min("key").alias("lo"), F.max("key").alias("hi")).first()
     if k <= 0 or total.n <= k:
         return None
-    rows, need, n, lo, hi = keys, k, total.n, total.lo, total.hi
+    rows, need, n, lo, hi = keys, k, total.groups, total.lo, total.hi
     while n > FEW and hi > lo:
         at = F.least(F.floor((F.lit(hi) - F.col("key")) / F.lit(hi - lo) * BINS), F.lit(BINS - 1))  # from the largest down
         rows = rows.withColumn("bin", at)
-        for r in rows.groupBy("bin").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("bin").collect():  # BINS rows
+        for r in rows.groupBy("bin").agg(F.sum("c").alias("n"), F.count("*").alias("groups"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("bin").collect():  # BINS rows
             if need <= r.n:
-                rows, n, lo, hi = rows.filter(F.col("bin") == r["bin"]).drop("bin"), r.n, r.lo, r.hi
+                rows, n, lo, hi = rows.filter(F.col("bin") == r["bin"]).drop("bin"), r.groups, r.lo, r.hi
                 break
             need -= r.n
-    order = Window.orderBy(F.col("key").desc(), F.col("doc_id").asc_nulls_last())
-    last = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") == need).first()
+    order = Window.orderBy(F.col("key").desc(), F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # FEW rows, or those of one key
+    last = rows.withColumn("upto", F.sum("c").over(order)).filter(F.col("upto") >= need).orderBy("upto").first()
     return last.key, last.doc_id
 
 

@@ -30,10 +30,11 @@ from lamella.tables import read
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 ENDINGS = [*".!?:;)]\"'…”’»"]
-NAVIGATION = r"(?i)^(home|menu|next|previous|back|login|search|contact|about|share|sitemap)\b"
+NAVIGATION = r"(?i)^(home|menu|next|previous|back|login|search|contact|about|share|sitemap|startseite|anmelden|impressum|inicio|siguiente|accueil|connexion|suivant)\b"
 BOILERPLATE = (
     "lorem ipsum", "javascript", "all rights reserved", "privacy policy", "terms of use", "terms of service",
     "cookie policy", "accept cookies", "click here", "subscribe to", "sign up", "powered by",
+    "alle rechte vorbehalten", "cookies akzeptieren", "todos los derechos reservados", "aceptar cookies", "tous droits", "accepter les cookies",
 )
 
 
@@ -79,8 +80,9 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("q_n_words", F.size("q_words").cast("long")).withColumn("q_grams", _windows(F.col("q_words")))
     rows = rows.withColumn("q_full", F.filter("q_lines", lambda x: F.size(x["words"]) > 0))
     rows = rows.withColumn("q_n_dup_lines", (F.size("q_full") - F.size(F.array_distinct(F.transform("q_full", lambda x: x["line"])))).cast("long"))
-    lost = F.filter("q_full", lambda x: _failed(x["line"], F.size(x["words"])))
-    rows = rows.withColumn("q_lost", F.aggregate(lost, F.lit(0).cast("long"), lambda a, x: a + F.length(F.array_join(x["words"], ""))))
+    failed = lambda x: (F.size(x["words"]) > 0) & _failed(x["line"], F.size(x["words"]))
+    rows = rows.withColumn("q_failed", F.transform("q_lines", lambda x: F.when(failed(x), F.length(F.array_join(x["words"], ""))).cast("long")))  # what goes with each line that fails
+    rows = rows.withColumn("q_lost", F.aggregate("q_failed", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0).cast("long"))))
     twice = F.size(F.array_distinct("q_grams")) < F.size("q_grams")  # most texts have no window twice
     rows = rows.withColumn("q_sorted", F.when(twice, F.array_sort(F.transform("q_grams", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
     same = lambda a, b: a["h"] == b["h"]
@@ -93,10 +95,12 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents kept, their text without the lines that failed."""
-    rows = judged(docs).filter("q_kept")
-    stay = F.filter("q_lines", lambda x: (F.size(x["words"]) == 0) | ~_failed(x["line"], F.size(x["words"])))
-    return rows.withColumn("text", F.array_join(F.transform(stay, lambda x: x["line"]), "\n")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents kept, their text without the lines that failed; other columns as they are, whatever their names."""
+    rows = judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"), "text")).filter("q_kept")
+    stay = F.filter("q_lines", lambda x, i: F.get("q_failed", i).isNull())
+    columns = {c: F.col(f"q_row.`{c}`").alias(c) for c in docs.columns}
+    columns["text"] = F.array_join(F.transform(stay, lambda x: x["line"]), "\n").alias("text")
+    return rows.select(*columns.values())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +123,8 @@ l2 AS (SELECT r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
 l3 AS (SELECT *, NOT regexp_matches(trimmed, '[.!?:;)\]"''…”’»]$')
         OR (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) * 5 > n
         OR (n >= 3 AND 2 * len(regexp_extract_all(trimmed || ' ', '! ')) > n)
-        OR (n <= 6 AND regexp_matches(ltrim(trimmed, ' '), '(?i)^(home|menu|next|previous|back|login|search|contact|about|share|sitemap)\b'))
-        OR regexp_matches(lower(line), 'lorem ipsum|javascript|all rights reserved|privacy policy|terms of use|terms of service|cookie policy|accept cookies|click here|subscribe to|sign up|powered by') AS failed
+        OR (n <= 6 AND regexp_matches(ltrim(trimmed, ' '), '(?i)^(home|menu|next|previous|back|login|search|contact|about|share|sitemap|startseite|anmelden|impressum|inicio|siguiente|accueil|connexion|suivant)\b'))
+        OR regexp_matches(lower(line), 'lorem ipsum|javascript|all rights reserved|privacy policy|terms of use|terms of service|cookie policy|accept cookies|click here|subscribe to|sign up|powered by|alle rechte vorbehalten|cookies akzeptieren|todos los derechos reservados|aceptar cookies|tous droits|accepter les cookies') AS failed
        FROM l2 WHERE n > 0),
 ln AS (SELECT r, count(*) - count(DISTINCT line) AS dups, sum(CASE WHEN failed THEN chars ELSE 0 END) AS lost FROM l3 GROUP BY r),
 b AS (SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words,

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from lamella.llm import class_lm, importance, mixing, quality_rules, sentencepiece_codec, sharding, simhash, suffix_array, topk, toxicity
+from lamella.llm import class_lm, importance, mixing, pipeline, quality_rules, sentencepiece_codec, sharding, simhash, suffix_array, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -16,7 +15,7 @@ QUERIES = {
     "op8_importance": importance.query,
     "op9_quality_rules": quality_rules.query,
     "op10_suffix_array": suffix_array.query,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLES = {
@@ -25,5 +24,5 @@ ORACLES = {
     "op9_quality_rules": quality_rules.ORACLE,
 }
 
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = pipeline.ORACLE_SQL

@@ -8,14 +8,17 @@ itself goes through byte pieces, so decode(encode(text)) is the text, always.
 
 No piece holds a marker behind another character, nor a line feed. So the best path of a text is that of its chunks
 (blanks and what follows up to the next blank or line feed), and what a task has found for a chunk it keeps.
-New chunks are encoded together: the trie is walked from one place of all of them at a time.
+New chunks are encoded together: the trie is walked from one place of all of them at a time. Chunks of over ALONE bytes are
+walked one by one, and chunks of over LONG characters are cut first between characters that no piece has side by side.
 
-Edge cases: a null text has null ids and counts, an empty one no ids; very long chunks take memory in
-proportion; repeated rows are encoded one by one; an empty table gives no rows; `encode` keeps extra columns.
+Edge cases: a null text has null ids and counts, an empty one no ids; very long chunks of characters that pieces join take memory in
+proportion; repeated rows are encoded one by one; an empty table gives no rows; `encode` keeps extra columns: where one has the name
+of a new column, the new one gets underscores in front until its name is free.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,13 +30,17 @@ from pyspark.sql import types as T
 
 from lamella.tables import read
 
+#: Where the model file is, unless the caller or the session's setting SETTING says otherwise.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+SETTING = "spark.lamella.vocabulary"
 MARKER = "▁"
 SHIFT = 10.0
 FALLBACK = 10.0
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
 #: Chunks a task keeps, and bytes of new chunks encoded together.
 CACHE, TOGETHER = 1 << 17, 1 << 18
+#: Bytes of a chunk that is encoded alone, and characters of one that is cut.
+ALONE, LONG = 256, 4096
 
 
 @dataclass
@@ -93,7 +100,17 @@ class Vocabulary:
     spelled: list[bytes]
     bytes_at: np.ndarray
     fallback: float
+    joined: set[str]  # characters that some piece has side by side
     known: dict[str, bytes] = field(default_factory=dict)  # a worker keeps it from task to task
+    lists: list[list] = field(default_factory=list)  # the trie and the scores, for walks one by one
+
+    def plain(self) -> tuple:
+        """The vocabulary as arrays, lists and numbers, to be sent to tasks."""
+        return self.trie.base, self.trie.check, self.trie.value, self.scores, self.spelled, self.bytes_at, self.fallback, self.joined, self.known, self.lists
+
+    @classmethod
+    def of(cls, plain: tuple) -> Vocabulary:
+        return cls(Trie(*plain[:3]), *plain[3:])
 
 
 def load(path: str = VOCABULARY) -> Vocabulary:
@@ -118,7 +135,40 @@ def load(path: str = VOCABULARY) -> Vocabulary:
     inner = [p for p in pieces if b" " in p.lstrip(b" ") or (p.startswith(b"  ") and p.strip(b" ")) or b"\n" in p]
     if inner:
         raise ValueError(f"pieces that cross chunks: {inner[:3]}")
-    return Vocabulary(build_trie(pieces), scores, spelled, bytes_at, float(scores.min() - FALLBACK))
+    joined = {x[i : i + 2] for x in (p.decode() for p in pieces) for i in range(len(x) - 1)}
+    return Vocabulary(build_trie(pieces), scores, spelled, bytes_at, float(scores.min() - FALLBACK), joined)
+
+
+def walked(vocabulary: Vocabulary, chunk: bytes) -> bytes:
+    """What `viterbi` gives for the chunk, by a walk of its own."""
+    if not vocabulary.lists:
+        vocabulary.lists.extend(x.tolist() for x in (vocabulary.trie.base, vocabulary.trie.check, vocabulary.trie.value, vocabulary.scores))
+    base, check, value, scores = vocabulary.lists
+    n, fallback = len(chunk), vocabulary.fallback
+    best, came, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    best[0] = 0.0
+    for at in range(n):
+        here = best[at]
+        if here == -math.inf:
+            continue
+        lead = chunk[at]
+        end = at + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+        if here + fallback > best[end]:
+            best[end], came[end], piece[end] = here + fallback, at, -1
+        state = 0
+        for end in range(at, n):
+            to = base[state] + chunk[end] + 1
+            if check[to] != state:
+                break
+            state = to
+            found = value[to]
+            if found >= 0 and here + scores[found] > best[end + 1]:
+                best[end + 1], came[end + 1], piece[end + 1] = here + scores[found], at, found
+    ids, at = [], n
+    while at:
+        ids += [piece[at]] if piece[at] >= 0 else [int(vocabulary.bytes_at[c]) for c in reversed(chunk[came[at] : at])]
+        at = came[at]
+    return np.array(ids[::-1], np.int32).tobytes()
 
 
 def viterbi(vocabulary: Vocabulary, chunks: list[bytes]) -> list[bytes]:
@@ -184,7 +234,7 @@ class Codec:
         self.vocabulary, self.known = vocabulary, vocabulary.known
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        split = [None if x is None else CHUNK.findall(" " + x) if x else [] for x in texts]
+        split = [None if x is None else self.chunks(x) if x else [] for x in texts]
         new = {c for x in split if x for c in x if c not in self.known}
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
@@ -193,7 +243,21 @@ class Codec:
         known = self.known
         return [None if x is None else np.frombuffer(b"".join([known[c] for c in x]), np.int32) for x in split]
 
+    def chunks(self, text: str) -> list[str]:
+        """What the text is encoded in: the best path of the text is that of these, one behind the other."""
+        found = CHUNK.findall(" " + text)
+        if len(text) <= LONG or max(map(len, found)) <= LONG:
+            return found
+        out, joined = [], self.vocabulary.joined
+        for chunk in found:
+            cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in joined] if len(chunk) > LONG else []
+            out += [chunk[i:j] for i, j in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
+        return out
+
     def _learn(self, new: list[str]) -> None:
+        alone = [c for c in new if len(c.encode()) > ALONE]
+        self.known.update((c, walked(self.vocabulary, c.encode())) for c in alone)
+        new = [c for c in new if c not in self.known] if alone else new
         part: list[str] = []
         for i, chunk in enumerate(new):
             part.append(chunk)
@@ -207,17 +271,19 @@ class Codec:
         return data.removeprefix(b" ").decode(errors="replace")
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with sp_ids (array<int>), sp_bytes (how many of them are byte pieces) and sp_round_trip."""
-    vocabulary = load(path)
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary
+    vocabulary = load(path or docs.sparkSession.conf.get(SETTING, VOCABULARY))
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary.plain())  # as large as the vocabulary
     extra = [("sp_ids", T.ArrayType(T.IntegerType())), ("sp_bytes", T.LongType()), ("sp_round_trip", T.BooleanType())]
+    taken = {c.lower() for c in docs.columns}
+    extra = [(next(x for x in ("_" * i + n for i in range(len(taken) + 1)) if x not in taken), t) for n, t in extra]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in extra]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(held.value)
-        is_byte = np.zeros(len(held.value.spelled), bool)
-        is_byte[held.value.bytes_at] = True
+        codec = Codec(Vocabulary.of(held.value))
+        is_byte = np.zeros(len(codec.vocabulary.spelled), bool)
+        is_byte[codec.vocabulary.bytes_at] = True
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

@@ -1,7 +1,8 @@
 """Toxicity as a grade of severity, by cumulative-link (proportional odds) ordinal regression.
 
-Grades come from the labels: 0 where toxic is 0, 1 where it is 1, and 2 where the document is also
-labelled as of low quality (quality 0). One weight vector serves all thresholds:
+Grades come from the labels, by any expression over them (`grade`). The labels of this corpus have two bits; unless told otherwise,
+the grade is 0 where toxic is 0, 1 where it is 1, and 2 where the document was also judged of low quality (quality 0):
+toxic and without merit ranks above toxic alone. One weight vector serves all thresholds:
 P(grade >= k) = sigmoid(w . x - t_k) with t_1 <= t_2, and the expected severity is the sum of these.
 A document is toxic from a chance of grade > 0 on that a third of the training rows, kept out of a first fit, chose by
 its F0.5, which weighs precision above recall (between 0.05 and 0.5); the second fit then has all rows.
@@ -10,12 +11,13 @@ Features are sparse marks of a text: its words (runs of letters, lower case), th
 ends of 4 to 8 letters, and each of these once more if the text has it twice or more, and four
 times or more. Candidates are marks of three or more documents graded above 0; of them, the likelihood
 ratio of grade > 0 over the training rows decides.
-The model is fitted on labelled rows, at most MOST_ROWS of them (those with the smallest hash of
-doc_id), and scored on every document. Rows, candidates and features are bounded, so the fit
+The model is fitted on labelled documents, at most MOST_ROWS of them (those with the smallest hash of
+doc_id among all that have a label), and scored on every document. Rows, candidates and features are bounded, so the fit
 runs on the driver, whatever the size of the corpus.
 
 Edge cases: null and empty texts have no marks, and get the model's base rate; labels that are null
-don't train, nor do labelled rows without a document; a doc_id labelled twice trains twice; without
+don't train, nor do labelled rows without a document or a doc_id; a doc_id labelled twice has the higher grade; rows alike in doc_id
+and text train once; without
 two grades to learn from, nothing is toxic; an empty table gives no rows; `drop_toxic` keeps the
 columns of the documents, whatever their names.
 """
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,7 +51,7 @@ CACHE = 1 << 18
 
 def parts(word: str) -> list[str]:
     ends = [x for n in PARTS if len(word) > n for x in ("^" + word[:n], "$" + word[-n:])]
-    return ["=" + word[:64], *ends]
+    return ["=" + word, *ends]
 
 
 def marks(text: str | None) -> set[str]:
@@ -170,12 +172,21 @@ def _counts(rows: DataFrame, marks_: list[str]) -> DataFrame:
     return rows.select("grade", "text").mapInArrow(count, "at long, a long, n long").groupBy("at").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
-    """A model of the grades of the labelled documents."""
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
-    known = labels.filter("toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), grade.alias("grade"))
-    known = known.orderBy(F.xxhash64("_id"), "_id", "grade").limit(most_rows)  # the bound: a top-k by hash
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "grade"))
+def labelled(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, grade: Column | None = None) -> DataFrame:
+    """doc_id, text and grade of the labelled documents, most_rows at most: a top-k by hash of those that there are."""
+    if grade is None:
+        grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
+    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(grade.cast("int")).alias("grade"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
+    there = keyed.select("doc_id", "_text").join(known, F.col("doc_id") == F.col("_id")).groupBy("_id", "_text").agg(F.max("grade").alias("grade"))
+    chosen = there.orderBy(F.xxhash64("_id"), "_id", "_text").limit(most_rows).select("_id", F.col("_text").alias("_hash"), "grade")
+    found = keyed.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_hash")))  # most_rows rows at most
+    return found.groupBy("doc_id", "_text").agg(F.first("text").alias("text"), F.first("grade").alias("grade")).drop("_text")
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, grade: Column | None = None) -> Model:
+    """A model of the grades (0 and up; see the module) of the labelled documents."""
+    sample = stored(labelled(docs, labels, most_rows, grade))
     total = {r.grade: r["count"] for r in sample.groupBy("grade").count().collect()}
     bad, good = sum(n for g, n in total.items() if g), total.get(0, 0)
     if not bad or not good:
@@ -210,16 +221,15 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `tox`: p_toxic, severity (the expected grade) and toxic."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # MOST_FEATURES weights
+    held = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.thresholds, model.cut))  # MOST_FEATURES weights
 
     @F.pandas_udf(T.StructType([T.StructField("p_toxic", T.DoubleType()), T.StructField("severity", T.DoubleType()), T.StructField("toxic", T.BooleanType())]))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        look = Lookup(held.value.features)
+        fitted = Model(*held.value)
+        look = Lookup(fitted.features)
         for text in batches:
-            yield table([held.value.chances(look(x)) for x in text])
-
-    def table(chances: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"p_toxic": [float(x[0]) if len(x) else 0.0 for x in chances], "severity": [float(x.sum()) for x in chances], "toxic": [len(x) > 0 and bool(x[0] >= held.value.cut) for x in chances]})
+            chances = [fitted.chances(look(x)) for x in text]
+            yield pd.DataFrame({"p_toxic": [float(x[0]) if len(x) else 0.0 for x in chances], "severity": [float(x.sum()) for x in chances], "toxic": [len(x) > 0 and bool(x[0] >= fitted.cut) for x in chances]})
 
     return docs.withColumn("tox", score("text"))
 

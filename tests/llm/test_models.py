@@ -1,15 +1,18 @@
 """Toxicity, SentencePiece, language model, importance resampling, and the pipeline."""
 
 import math
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from lamella.llm import class_lm, importance, sentencepiece_codec, toxicity
+from lamella.llm import class_lm, importance, pipeline, sentencepiece_codec, toxicity
 
 BIG = "/root/testdata/sf0.1"
 
@@ -35,6 +38,35 @@ def test_ordinal_fit_finds_the_order():
     assert w[0] > 1.2 and w[1] < -0.4 and abs(w[2]) < 0.5 and t[0] < t[1]
 
 
+def test_toxicity_scores_are_the_model(spark, sf):
+    """Every document's chances, from all marks of its text."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(model.features) and any(x.startswith("=") for x in model.features)
+    for r in toxicity.query(spark, sf).collect():
+        z = sum(model.weights[model.features[m]] for m in toxicity.marks(texts[r.doc_id]) if m in model.features)
+        above = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        assert abs(r.p_toxic - above[0]) < 1e-9 and abs(r.expected_severity - sum(above)) < 1e-9
+        assert r.toxic == (r.p_toxic >= model.cut)
+
+
+def test_labelled_documents_fill_the_bound(spark):
+    """Labels without a document, or twice for one, don't use the sample up."""
+    docs = spark.range(100).selectExpr("id AS doc_id", "concat('text ', id) AS text").unionByName(spark.createDataFrame([(5, "text 5"), (None, "x")], "doc_id long, text string"))
+    labels = spark.range(5000).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 2 AS INT) AS toxic")
+    labels = labels.unionByName(labels.selectExpr("doc_id", "0 AS quality", "toxic")).unionByName(spark.createDataFrame([(None, 1, 1)], "doc_id long, quality int, toxic int"))
+    got = toxicity.labelled(docs, labels, 60).collect()
+    assert len(got) == 60 and len({r.doc_id for r in got}) == 60
+    assert all(r.grade == 2 * (r.doc_id % 2) for r in got)  # the higher of two
+    assert toxicity.labelled(docs, labels).count() == 100
+
+
+def test_a_long_word_is_a_mark():
+    word = "x" * 70
+    assert "=" + word + "a" in toxicity.marks(word + "a") and "=" + word + "a" not in toxicity.marks(word + "b")
+
+
 def test_toxicity_odd(spark, odd, none, labels, folder):
     kept = toxicity.drop_toxic(odd, labels)
     assert kept.columns == odd.columns and kept.count() <= odd.count()
@@ -49,8 +81,14 @@ def codec():
     return sentencepiece_codec.Codec(sentencepiece_codec.load())
 
 
+PIECES = {}
+
+
 def best_path(v, data):
-    pieces = {s: i for i, s in enumerate(v.spelled) if s and i not in set(v.bytes_at.tolist())}
+    if not PIECES:
+        own = set(v.bytes_at.tolist())
+        PIECES.update({s: i for i, s in enumerate(v.spelled) if s and i not in own})
+    pieces = PIECES
     best, came = [0.0] + [-math.inf] * len(data), [None] * (len(data) + 1)
     for i in range(len(data)):
         if best[i] == -math.inf:
@@ -71,16 +109,31 @@ def best_path(v, data):
 
 def test_encoding_is_the_best_path(spark, sf, codec):
     v = codec.vocabulary
-    texts = ["a", " ", "\n", "Hello  world", "  two", "été ▁ 漢字 😀\x00\t", "x" * 300]
-    texts += [r.text[:300] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(20).collect()]
+    texts = ["a", " ", "\n", "Hello  world", "  two", "été ▁ 漢字 😀\x00\t", "x" * 300, "abc漢" * 1500, "x" * 5000]
+    texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(20).collect()]
+    spelled = v.bytes_at.tolist()
     for text, ids in zip(texts, codec.encode(texts)):
-        wanted, score = best_path(v, (" " + text).encode())
         assert codec.decode(ids) == text
-        # whole texts and chunks add up in another order: the same score, and as a rule the same path
-        assert len(ids) == len(wanted) or abs(len(ids) - len(wanted)) <= 2
-        spelled = set(v.bytes_at.tolist())
-        if not any(i in spelled for i in ids.tolist()):
-            assert abs(sum(v.scores[i] for i in ids) - score) < 1e-6
+        assert ids.tolist() == [i for c in codec.chunks(text) for i in best_path(v, c.encode())[0]]  # the best path of each chunk
+        _, score = best_path(v, (" " + text).encode())  # and, added up, the best score of the whole text
+        ours, at = 0.0, 0
+        while at < len(ids):
+            lead = v.spelled[ids[at]][0]
+            own = ids[at] in spelled
+            ours += v.fallback if own else v.scores[ids[at]]
+            at += 1 + (own and (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0))
+        assert abs(ours - score) < 1e-6 * max(1, abs(score))
+
+
+def test_a_walk_alone_is_the_walk_together(codec):
+    chunks = [" hello", "漢字x", " " * 40, "word" * 90, "é😀" * 30, "a"]
+    assert [sentencepiece_codec.walked(codec.vocabulary, c.encode()) for c in chunks] == sentencepiece_codec.viterbi(codec.vocabulary, [c.encode() for c in chunks])
+
+
+def test_encoding_keeps_columns_of_its_names(spark):
+    docs = spark.createDataFrame([("one two", "mine", 7)], "text string, SP_IDS string, _sp_ids int")
+    got = sentencepiece_codec.encode(docs).first()
+    assert (got.SP_IDS, got._sp_ids) == ("mine", 7) and len(got["__sp_ids"]) >= 2 and got.sp_round_trip
 
 
 def test_round_trip(spark, sf, odd, none):
@@ -222,6 +275,40 @@ def test_importance_sorts_quality(spark):
     assert got[got.quality == 0].kept.mean() < 0.05
 
 
+def test_importance_is_brute_force(spark, sf):
+    """Counts, weights, keys and the sample, document by document."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    marked = labels.collect()
+
+    def buckets(text):
+        h = [zlib.crc32(x.encode()) for x in importance.TOKEN.findall((text or "").lower())]
+        pairs = [0 if a == b else ((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64 >> 40) % (importance.BUCKETS - 1) + 1 for a, b in zip(h, h[1:])]
+        return [x % (importance.BUCKETS - 1) + 1 for x in h] + pairs
+
+    raw, target = Counter(), Counter()
+    for t in texts.values():
+        raw.update(buckets(t))
+    for r in marked:
+        if r.quality == 1 and r.doc_id in texts:
+            target.update(buckets(texts[r.doc_id]))
+    n, m = raw.total() + importance.BUCKETS, target.total() + importance.BUCKETS
+    weight = {d: sum(math.log((target[b] + 1) / m) - math.log((raw[b] + 1) / n) for b in buckets(t)) for d, t in texts.items()}
+    part = {r.doc_id: r.p for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'gumbel'), 1L << 52) AS p").collect()}
+    key = {d: w - math.log(-math.log((part[d] + 0.5) / 2**52)) for d, w in weight.items()}
+    k = round(sum(r.quality == 1 for r in marked) / len(marked) * len(texts))
+    kept = set(sorted(texts, key=lambda d: (-key[d], d))[:k])
+    for r in importance.query(spark, sf).collect():
+        assert abs(r.log_weight - weight[r.doc_id]) < 1e-6 and abs(r.key - key[r.doc_id]) < 1e-6
+        assert r.kept == (r.doc_id in kept)
+
+
+def test_kth_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(importance, "FEW", 10)
+    keys = spark.range(5000).selectExpr("CAST(null AS LONG) AS doc_id", "1.5 AS key").unionByName(spark.range(100).selectExpr("id AS doc_id", "CAST(id AS DOUBLE) AS key")).selectExpr("doc_id", "CAST(key AS DOUBLE) AS key")
+    assert importance.kth(keys, 98) == (2.0, 2) and importance.kth(keys, 99) == (1.5, None) and importance.kth(keys, 5098) == (1.5, None) and importance.kth(keys, 5099) == (1.0, 1)
+
+
 def test_kth(spark, monkeypatch):
     monkeypatch.setattr(importance, "FEW", 10)
     values = [(i, float(v)) for i, v in enumerate(np.random.default_rng(4).normal(size=500).round(2))]
@@ -243,15 +330,45 @@ def test_importance_odd(spark, odd, none, labels):
 
 def test_pipeline(spark, sf, odd, labels, folder):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.stored(stage(spark, docs, sf))
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = pipeline.stored(stage(spark, docs, sf))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    last = corpus_pipeline.run(spark, sf).toPandas()
+    last = pipeline.run(spark, sf).toPandas()
     assert last.columns.tolist() == ["doc_id", "ids", "n_tokens"]
     assert sorted(last.doc_id) == sorted(r.doc_id for r in docs.select("doc_id").collect())
 
 
 def test_pipeline_odd(spark, odd, none, labels, folder):
     where = folder(documents=odd, labels=labels)
-    assert corpus_pipeline.run(spark, where).count() > 0
-    assert corpus_pipeline.run(spark, folder(documents=none, labels=labels.limit(0))).count() == 0
+    assert pipeline.run(spark, where).count() > 0
+    assert pipeline.run(spark, folder(documents=none, labels=labels.limit(0))).count() == 0
+
+
+CLEAN = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,2,2048]").config("spark.executor.memory", "1500m").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {shared!r}).config("spark.executorEnv.PYTHONPATH", "").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+from lamella.llm import registry
+for name, f in registry.QUERIES.items():
+    print("ROWS", name, f(spark, {sf!r}).count(), flush=True)
+import os
+os._exit(0)
+"""
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path, sf):
+    """All queries on executors that have neither the package's folder nor a PYTHONPATH."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_SUBMIT_ARGS")}
+    (tmp_path / "shared").mkdir()
+    code = CLEAN.format(repo=repo, sf=sf, shared=f"file://{tmp_path}/shared")
+    home = tmp_path / "home"
+    home.mkdir()
+    for p in os.listdir(os.path.dirname(pyspark.__file__)):
+        if p != "work":  # where executors write
+            (home / p).symlink_to(f"{os.path.dirname(pyspark.__file__)}/{p}")
+    env |= {"SPARK_HOME": str(home), "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.stdout.count("ROWS") == 11, done.stdout + done.stderr[-3000:]

@@ -173,6 +173,7 @@ def test_the_cut_in_the_global_order(spark):
 def test_clean(spark, odd, none):
     good = " ".join(f"word{i}" for i in range(60)) + "."
     docs = spark.createDataFrame([(1, good + "\nHome | About | Login\n\nAll rights reserved.", "x")], "doc_id long, text string, q_lines string")
-    assert quality_rules.clean(docs.drop("q_lines")).first().text == good + "\n"
-    assert quality_rules.clean(odd.drop("q_lines")).columns == odd.drop("q_lines").columns
+    docs = docs.withColumns({"q_row": F.lit(1), "q_failed": F.lit("f")})
+    assert quality_rules.clean(docs).collect() == [(1, good + "\n", "x", 1, "f")]
+    assert quality_rules.clean(odd).columns == odd.columns
     assert quality_rules.clean(none).count() == 0
