@@ -27,11 +27,11 @@ def query(name: str, sql: str | None = None):
 
 @query(
     "j01_bom_left",
-    """WITH b AS (SELECT l_orderkey, bool_and(l_returnflag <> 'R') AS populate, min(l_shipdate) AS first, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS parts FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1)
+    """WITH b AS (SELECT l_orderkey, bool_and(l_returnflag <> 'R') AS populate, min(l_shipdate) AS first, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS parts FROM lineitem GROUP BY 1)
 SELECT o_orderkey, coalesce(populate, true) AS populate, coalesce(parts, '') AS parts, l_orderkey IS NULL AS unplaced FROM orders LEFT JOIN b ON o_orderkey = l_orderkey""",
 )
 def bom_left(spark: SparkSession, d: str) -> DataFrame:
-    lines = read(spark, d, "lineitem").filter("l_linenumber <= 3")
+    lines = read(spark, d, "lineitem")
     b = lines.groupBy("l_orderkey").agg(F.bool_and(F.col("l_returnflag") != "R").alias("populate"), F.array_join(F.array_sort(F.collect_set("l_linestatus")), ",").alias("parts"))
     o = read(spark, d, "orders").select("o_orderkey").join(b, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return o.select("o_orderkey", F.coalesce("populate", F.lit(True)).alias("populate"), F.coalesce("parts", F.lit("")).alias("parts"), F.col("l_orderkey").isNull().alias("unplaced"))
@@ -137,13 +137,13 @@ def touching(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j10_overlap_join",
-    """WITH i AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS seq, epoch(l_shipdate) / 86400 AS lo, epoch(l_shipdate) / 86400 + l_quantity AS hi FROM lineitem WHERE l_suppkey <= 10 AND l_returnflag = 'R'),
+    """WITH i AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS seq, epoch(l_shipdate) / 86400 AS lo, epoch(l_shipdate) / 86400 + l_quantity AS hi FROM lineitem),
 p AS (SELECT a.l_suppkey, least(a.hi, b.hi) - greatest(a.lo, b.lo) AS o FROM i a JOIN i b ON a.l_suppkey = b.l_suppkey AND a.seq < b.seq AND least(a.hi, b.hi) > greatest(a.lo, b.lo))
 SELECT l_suppkey, count(*) AS pairs, CAST(sum(o) AS DOUBLE) AS overlap FROM p GROUP BY 1""",
 )
 def overlap_join(spark: SparkSession, d: str) -> DataFrame:
     day = (F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86400).alias("lo")
-    rows = read(spark, d, "lineitem").filter("l_suppkey <= 10 AND l_returnflag = 'R'").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), day, "l_quantity")
+    rows = read(spark, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), day, "l_quantity")
     rows = rows.withColumn("hi", F.col("lo") + F.col("l_quantity")).drop("l_quantity")
     return J.overlap_join(rows, rows, ["l_suppkey"], "lo", "hi", "seq", 50.0).groupBy("l_suppkey").agg(F.count("*").alias("pairs"), F.sum("overlap").alias("overlap"))
 
@@ -275,24 +275,27 @@ def file_roles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "g01_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS a, n_regionkey + 100 AS b FROM nation WHERE n_nationkey % 3 <> 0 UNION SELECT n_regionkey + 100, n_nationkey FROM nation WHERE n_nationkey % 3 <> 0),
+    """WITH RECURSIVE c AS (SELECT c_custkey AS a, 1000000000 + c_nationkey * 100000 + CAST(floor(c_acctbal / 100) AS BIGINT) AS b, 2000000000 + c_nationkey * 100000 + CAST(floor((c_acctbal + 50) / 100) AS BIGINT) AS c FROM customer),
+e AS MATERIALIZED (SELECT a, b FROM c UNION SELECT a, c FROM c UNION SELECT b, a FROM c UNION SELECT c, a FROM c),
 w AS (SELECT a AS node, a AS seen FROM e UNION SELECT w.node, e.b FROM w JOIN e ON w.seen = e.a)
 SELECT node, min(seen) AS component FROM w GROUP BY 1""",
 )
 def components(spark: SparkSession, d: str) -> DataFrame:
-    edges = read(spark, d, "nation").filter("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("a"), (F.col("n_regionkey") + 100).alias("b"))
-    return G.components(edges)
+    c = read(spark, d, "customer")
+    cell = lambda first, off: first + F.col("c_nationkey") * 100000 + F.floor((F.col("c_acctbal") + off) / 100)
+    near = F.explode(F.array(cell(1_000_000_000, 0), cell(2_000_000_000, 50))).alias("b")  # customers that share a cell of either grid
+    return G.components(c.select(F.col("c_custkey").alias("a"), near))
 
 
 @query(
     "g05_regions",
-    """WITH RECURSIVE p AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS x, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS y FROM lineitem WHERE l_discount >= 0.095 AND l_tax >= 0.075),
-w AS (SELECT x * 1000 + y AS node, x, y FROM p UNION SELECT w.node, p.x, p.y FROM w JOIN p ON abs(w.x - p.x) <= 1 AND abs(w.y - p.y) <= 1)
-SELECT component, count(*) AS pixels FROM (SELECT node, min(x * 1000 + y) AS component FROM w GROUP BY 1) GROUP BY 1""",
+    """WITH RECURSIVE p AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS x, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS y FROM lineitem),
+e AS MATERIALIZED (SELECT p.x * 1000 + p.y AS a, q.x * 1000 + q.y AS b FROM p, (VALUES (-1), (0), (1)) AS i(i), (VALUES (-1), (0), (1)) AS j(j), p q WHERE q.x = p.x + i AND q.y = p.y + j),
+w(node, label) USING KEY (node) AS (SELECT x * 1000 + y, x * 1000 + y FROM p UNION SELECT n.node, min(w.label) FROM w JOIN e ON e.a = w.node JOIN recurring.w AS n ON n.node = e.b WHERE w.label < n.label GROUP BY n.node)
+SELECT label AS component, count(*) AS pixels FROM w GROUP BY 1""",
 )
 def flood_regions(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "lineitem").filter("l_discount >= 0.095 AND l_tax >= 0.075")
-    p = p.select(F.col("l_quantity").cast("long").alias("x"), F.floor(F.col("l_extendedprice") / 1000).alias("y")).distinct()
+    p = read(spark, d, "lineitem").select(F.col("l_quantity").cast("long").alias("x"), F.floor(F.col("l_extendedprice") / 1000).alias("y")).distinct()
     return G.labelled(p, "x", "y", 1000).groupBy("component").agg(F.count("*").alias("pixels"))
 
 

@@ -228,13 +228,15 @@ def sha256(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rings(spark: SparkSession, d: str) -> DataFrame:
-    ring = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: G.point(F.get("embedding", i * 2), F.get("embedding", i * 2 + 1)))
+    points = F.floor(F.size("embedding") / 2).cast("int")
+    places = F.when(points > 0, F.sequence(F.lit(0), points - 1)).otherwise(F.array().cast("array<int>"))
+    ring = F.transform(places, lambda i: G.point(F.get("embedding", i * 2), F.get("embedding", i * 2 + 1)))
     return read(spark, d, "embeddings").select("vec_id", ring.alias("ring"))
 
 
-POINTS = """WITH r AS (SELECT vec_id, list_transform(range(0, 16), lambda i: {'x': CAST(embedding[2 * i + 1] AS DOUBLE), 'y': CAST(embedding[2 * i + 2] AS DOUBLE)}) AS ring FROM embeddings) """
+POINTS = """WITH r AS (SELECT vec_id, list_transform(range(0, len(embedding) // 2), lambda i: {'x': CAST(embedding[2 * i + 1] AS DOUBLE), 'y': CAST(embedding[2 * i + 2] AS DOUBLE)}) AS ring FROM embeddings) """
 ROUND = "floor(({0}) * 1000000 + 0.5) / 1000000"
-AREA = "list_sum(list_transform(range(1, 17), lambda i: ring[i].x * ring[i % 16 + 1].y - ring[i % 16 + 1].x * ring[i].y)) / 2"
+AREA = "list_sum(list_transform(range(1, len(ring) + 1), lambda i: ring[i].x * ring[i % len(ring) + 1].y - ring[i % len(ring) + 1].x * ring[i].y)) / 2"
 
 
 def _six(c):
@@ -274,7 +276,7 @@ def place(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "geo05_pip",
-    POINTS + """SELECT vec_id, len(list_filter(range(1, 17), lambda i: (ring[i].y > 0.01) <> (ring[i % 16 + 1].y > 0.01) AND 0.01 < (ring[i % 16 + 1].x - ring[i].x) * (0.01 - ring[i].y) / (ring[i % 16 + 1].y - ring[i].y) + ring[i].x)) % 2 = 1 AS inside FROM r""",
+    POINTS + """SELECT vec_id, len(list_filter(range(1, len(ring) + 1), lambda i: (ring[i].y > 0.01) <> (ring[i % len(ring) + 1].y > 0.01) AND 0.01 < (ring[i % len(ring) + 1].x - ring[i].x) * (0.01 - ring[i].y) / (ring[i % len(ring) + 1].y - ring[i].y) + ring[i].x)) % 2 = 1 AS inside FROM r""",
 )
 def point_in_ring(spark: SparkSession, d: str) -> DataFrame:
     return _rings(spark, d).select("vec_id", G.contains(F.col("ring"), F.lit(0.01), F.lit(0.01)).alias("inside"))

@@ -308,11 +308,11 @@ def outline_equal(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "e06_mask_dilation",
-    """WITH p AS (SELECT DISTINCT l_linenumber AS x, CAST(l_quantity AS BIGINT) AS y FROM lineitem WHERE l_discount > 0.09), o AS (SELECT unnest([-1, 0, 1]) AS k)
+    """WITH p AS (SELECT DISTINCT CAST(floor(l_extendedprice / 50) AS BIGINT) AS x, CAST(l_quantity AS BIGINT) AS y FROM lineitem), o AS (SELECT unnest([-1, 0, 1]) AS k)
 SELECT DISTINCT CAST(x + a.k AS BIGINT) AS x, CAST(y + b.k AS BIGINT) AS y FROM p, o a, o b""",
 )
 def mask_dilation(spark: SparkSession, d: str) -> DataFrame:
-    pixels = read(spark, d, "lineitem").filter("l_discount > 0.09").select(F.col("l_linenumber").cast("long").alias("x"), F.col("l_quantity").cast("long").alias("y")).distinct()
+    pixels = read(spark, d, "lineitem").select(F.floor(F.col("l_extendedprice") / 50).alias("x"), F.col("l_quantity").cast("long").alias("y")).distinct()
     near = F.expr("flatten(transform(array(-1L, 0L, 1L), i -> transform(array(-1L, 0L, 1L), j -> struct(x + i as x, y + j as y))))")
     return pixels.select(F.explode(near).alias("c")).select("c.x", "c.y").distinct()
 
