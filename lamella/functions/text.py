@@ -154,3 +154,89 @@ def fuzzy_score(name: Column, query: str) -> Column:
     return (
         F.when(low == wanted, 0).when(part, 1).when(F.startswith(low, F.lit(wanted)), 2).when(F.contains(low, F.lit(wanted)), 3).when(state["at"] == len(wanted), F.lit(4) + state["gaps"])
     )
+
+
+# What columns of bills and placement lists go by, and the layer roles that are shown unless asked otherwise.
+PART_COLUMNS = ("value", "val", "comment", "footprint", "package", "mpn", "manufacturer part number", "part number", "quantity", "qty")
+REFERENCE_COLUMNS = ("designator", "designators", "reference", "references", "refdes", "ref")
+SHOWN = ("copper", "mask", "silkscreen", "outline")
+
+
+def headings(line: Column) -> Column:
+    """The column names of a header line (commas, semicolons or tabs), in comparable form."""
+    return F.transform(F.split(line, r"[,;\t]"), header_name)
+
+
+def _any_of(names: Column, known: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(names, F.array(*map(F.lit, known)))
+
+
+def looks_like_bill(line: Column) -> Column:
+    """Whether a header line is a bill of materials': a designator and at least one column of a part."""
+    names = headings(line)
+    return _any_of(names, REFERENCE_COLUMNS) & _any_of(names, PART_COLUMNS)
+
+
+def looks_like_placements(line: Column) -> Column:
+    """Whether a header line is a placement list's: a reference, an x and a y."""
+    names = headings(line)
+    place = lambda axis: F.exists(names, lambda n: n.rlike(f"(^|pos|mid|center|location) ?{axis}$"))
+    return _any_of(names, REFERENCE_COLUMNS) & place("x") & place("y")
+
+
+def storable(value: Column, limit: float, places: int = 6) -> Column:
+    """A number that can be stored: finite and below the limit, on a grid of so many places; null otherwise."""
+    return F.when(~F.isnan(value) & (F.abs(value) < limit), half_up(value, places))
+
+
+def has_geometry(text: Column) -> Column:
+    """Whether a plot draws anything: a draw or flash operation, or a closed region."""
+    return F.coalesce(text.rlike(r"(?m)(^|\*)\s*(X-?\d+)?(Y-?\d+)?(I-?\d+)?(J-?\d+)?D0?[13]\*") | text.rlike(r"G36\*[\s\S]*G37\*"), F.lit(False))
+
+
+def copper_sides(layers: Column) -> Column:
+    """struct<copper, top, bottom, paste> of a pad's layer names; * stands for any layer."""
+    on = lambda *names: F.exists(layers, lambda x: x.isin(*names))
+    return F.struct(
+        F.exists(layers, lambda x: F.endswith(x, F.lit(".Cu"))).alias("copper"), on("F.Cu", "*.Cu").alias("top"), on("B.Cu", "*.Cu").alias("bottom"),
+        F.when(on("F.Paste", "*.Paste"), "top").when(on("B.Paste"), "bottom").alias("paste"),
+    )
+
+
+def layer_role(name: Column) -> Column:
+    """What a layer is for, by its name; other if the name says nothing."""
+    kinds = [("copper", r"\.cu$|copper"), ("mask", r"mask"), ("silkscreen", r"silk"), ("paste", r"paste"), ("outline", r"edge|outline|profile"), ("courtyard", r"courtyard|crtyd"), ("fab", r"fab|assembly")]
+    low = F.lower(name)
+    chosen = F.lit(None).cast("string")
+    for role, pattern in reversed(kinds):
+        chosen = F.when(low.rlike(pattern), role).otherwise(chosen)
+    return F.coalesce(chosen, F.lit("other"))
+
+
+def shown(name: Column) -> Column:
+    """Whether a layer is visible unless asked otherwise: by its role, inner copper not."""
+    return layer_role(name).isin(*SHOWN) & ~F.lower(name).rlike(r"^in\d+\.cu$")
+
+
+def layer_rank(name: Column, count: Column) -> Column:
+    """The place of a layer from the top: silkscreen, paste, mask, copper by depth, and the same again from below; others last."""
+    low, role = F.lower(name), layer_role(name)
+    inner = F.regexp_extract(low, r"^in(\d+)\.cu$", 1).try_cast("int")
+    outer = F.when(role == "silkscreen", 0).when(role == "paste", 1).when(role == "mask", 2).when(role == "copper", 3)
+    depth = F.when(inner.isNotNull(), 3 + inner).when(F.startswith(low, F.lit("b.")), count + 5 - outer).otherwise(outer)
+    return F.coalesce(depth, F.lit(1000)).cast("int")
+
+
+def view_state(zoom: Column, region: Column, layers: Column) -> Column:
+    """A view as text: z=..&r=x,y,w,h&l=a+b; what is null is left out."""
+    box = F.concat_ws(",", *[region[c].cast("string") for c in ("x", "y", "w", "h")])
+    return F.concat_ws("&", F.concat(F.lit("z="), zoom.cast("string")), F.when(region.isNotNull(), F.concat(F.lit("r="), box)), F.when(F.size(layers) > 0, F.concat(F.lit("l="), F.array_join(layers, "+"))))
+
+
+def view_of(state: Column) -> Column:
+    """struct<zoom, region, layers> of such a text; parts that are missing or malformed are null."""
+    parts = F.str_to_map(state, F.lit("&"), F.lit("="))
+    box = F.transform(F.split(parts["r"], ","), lambda x: x.try_cast("double"))
+    sound = (F.size(box) == 4) & F.forall(box, lambda x: x.isNotNull())
+    region = F.when(sound, F.struct(*[F.get(box, F.lit(i)).alias(c) for i, c in enumerate("xywh")]))
+    return F.struct(parts["z"].try_cast("double").alias("zoom"), region.alias("region"), F.split(parts["l"], r"\+").alias("layers"))

@@ -100,3 +100,44 @@ def bridges(rows: DataFrame, part: str, unit: str, foreign: Column) -> DataFrame
 def foreign_keys(rows: DataFrame, column: str, target: DataFrame, key: str) -> DataFrame:
     """The rows whose value is not in the target; null values don't violate."""
     return rows.filter(F.col(column).isNotNull()).join(target.select(F.col(key).alias("_k")).distinct(), F.col(column) == F.col("_k"), "left_anti")
+
+
+def band_join(left: DataFrame, right: DataFrame, on: tuple[str, str], x: str, y: str, reach: float) -> DataFrame:
+    """Rows of both sides of one key whose x and y are at most `reach` apart, with `distance`: an equi-join on the key and cells of that width, so that a
+    key with very many rows doesn't meet itself whole."""
+    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    a = left.withColumn("_c", F.explode(F.sequence(cell(x) - 1, cell(x) + 1)))
+    b = right.withColumn("_d", cell(y))
+    distance = F.abs(F.col(x) - F.col(y))
+    return a.join(b, (F.col(on[0]) == F.col(on[1])) & (F.col("_c") == F.col("_d"))).drop("_c", "_d").withColumn("distance", distance).filter(F.col("distance") <= reach)
+
+
+def without_placeholders(hits: DataFrame, tools: DataFrame, keys: list[str], file: str, diameter: str) -> DataFrame:
+    """For each file: how many hits are left without those of tools that have no diameter, and whether none is."""
+    zero = tools.filter(F.coalesce(F.col(diameter), F.lit(0.0)) <= 0).select(*keys).distinct()
+    left = hits.join(zero, keys, "left_anti").groupBy(file).agg(F.count("*").alias("hits"))
+    return hits.select(file).distinct().join(left, file, "left").select(file, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.col("hits").isNull().alias("empty"))
+
+
+def supply_nets(nets: DataFrame, name: str, planes: DataFrame, given: list, analysed: list, pattern: str) -> DataFrame:
+    """nets with `supply`: named so, solid on a plane, or given; but never one that is being analysed."""
+    solid = planes.filter("solid").select(F.col(name).alias("_n")).distinct()
+    rows = nets.join(solid, F.col(name) == F.col("_n"), "left")
+    found = F.col(name).rlike(pattern) | F.col("_n").isNotNull() | F.col(name).isin(given)
+    return rows.withColumn("supply", found & ~F.col(name).isin(analysed)).drop("_n")
+
+
+def overridden(rows: DataFrame, overrides: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows with the overrides' values of these columns where there are any (not null)."""
+    own = [c for c in rows.columns if c not in columns]
+    other = overrides.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_o_{c}") for c in columns])
+    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+    return rows.join(other, same, "left").select(*own, *[F.coalesce(f"_o_{c}", c).alias(c) for c in columns])
+
+
+def by_role(files: DataFrame, board: str, role: str, index: str, seq: str) -> DataFrame:
+    """files with slot (the role, if the file is the first of its board to claim it; else other) and place (inner layers in order of their index, from 1)."""
+    claim = Window.partitionBy(board, role, index).orderBy(seq)
+    first = files.withColumn("slot", F.when(F.row_number().over(claim) == 1, F.col(role)).otherwise("other"))
+    inner = (F.col("slot") == "inner").cast("int")
+    return first.withColumn("place", F.when(F.col("slot") == "inner", F.sum(inner).over(Window.partitionBy(board).orderBy(F.col("slot") != "inner", index, seq).rowsBetween(Window.unboundedPreceding, Window.currentRow))).cast("int"))

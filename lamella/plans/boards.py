@@ -10,7 +10,7 @@ from lamella.functions import fieldsolver, lines
 from lamella.functions import geometry as G
 from lamella.operators import graph, matching
 from lamella.operators.aggregates import layered, summary
-from lamella.operators.joins import grid_join
+from lamella.operators.joins import band_join, grid_join
 from lamella.operators.ordered import before
 from lamella.sources import drills, files, plots, sheets, trees
 from lamella.tables import read
@@ -31,8 +31,7 @@ def query(name: str, sql: str | None = None):
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     s, c = read(spark, d, "supplier"), read(spark, d, "customer")
-    rows = s.join(c, s.s_nationkey == c.c_nationkey).filter(F.abs(F.col("s_acctbal") - F.col("c_acctbal")) <= 500)
-    return rows.select("c_nationkey", "s_suppkey", "c_custkey", F.abs(F.col("s_acctbal") - F.col("c_acctbal")).alias("distance"))
+    return band_join(s, c, ("s_nationkey", "c_nationkey"), "s_acctbal", "c_acctbal", 500.0).select("c_nationkey", "s_suppkey", "c_custkey", "distance")
 
 
 @query("w07_greedy")

@@ -250,7 +250,7 @@ def bridges(spark: SparkSession, d: str) -> DataFrame:
 def part_frame(spark: SparkSession, d: str) -> DataFrame:
     s, c = read(spark, d, "supplier"), read(spark, d, "customer")
     off = F.col("c_acctbal") - F.col("s_acctbal")
-    rows = s.join(c, (s.s_nationkey == c.c_nationkey) & (F.abs(off) <= 300))
+    rows = J.band_join(s, c, ("s_nationkey", "c_nationkey"), "s_acctbal", "c_acctbal", 300.0)
     return rows.select("s_suppkey", "c_custkey", (F.floor(off * F.cos(F.radians(F.lit(30.0))) * 1000 + 0.5) / 1000).alias("x"))
 
 
@@ -266,11 +266,15 @@ def lookup_chain(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j31_file_roles",
-    """SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) = 1 THEN o_orderpriority ELSE 'other' END AS slot FROM orders""",
+    """WITH f AS (SELECT o_orderkey, o_custkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 'top' WHEN '2' THEN 'bottom' WHEN '5' THEN 'outline' ELSE 'inner' END AS role, CASE WHEN left(o_orderpriority, 1) IN ('3', '4') THEN CAST(left(o_orderpriority, 1) AS INTEGER) ELSE 0 END AS idx FROM orders),
+s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY o_custkey, role, idx ORDER BY o_orderkey) = 1 THEN role ELSE 'other' END AS slot FROM f)
+SELECT o_orderkey, slot, CAST(CASE WHEN slot = 'inner' THEN row_number() OVER (PARTITION BY o_custkey, slot ORDER BY idx, o_orderkey) END AS INTEGER) AS place FROM s""",
 )
 def file_roles(spark: SparkSession, d: str) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")) == 1
-    return read(spark, d, "orders").select("o_orderkey", F.when(first, F.col("o_orderpriority")).otherwise("other").alias("slot"))
+    head = F.substring("o_orderpriority", 1, 1)
+    role = F.when(head == "1", "top").when(head == "2", "bottom").when(head == "5", "outline").otherwise("inner")
+    files = read(spark, d, "orders").select("o_orderkey", "o_custkey", role.alias("role"), F.when(head.isin("3", "4"), head.cast("int")).otherwise(0).alias("idx"))
+    return J.by_role(files, "o_custkey", "role", "idx", "o_orderkey").select("o_orderkey", "slot", "place")
 
 
 @query(
@@ -336,14 +340,13 @@ def rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "u05_overrides",
-    """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_suppkey WHEN 3 THEN 'cpw' WHEN 5 THEN 'stripline' ELSE 'microstrip' END AS structure FROM lineitem""",
+    """WITH o AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 3 THEN 'cpw' END AS structure, CASE WHEN s_suppkey % 5 = 1 THEN s_nationkey END AS ref FROM supplier)
+SELECT l_orderkey, l_linenumber, l_partkey, coalesce(o.structure, 'microstrip') AS structure, coalesce(o.ref, l_suppkey) AS ref FROM lineitem LEFT JOIN o ON s_suppkey = l_suppkey""",
 )
 def overrides(spark: SparkSession, d: str) -> DataFrame:
-    given = {3: "cpw", 5: "stripline"}
-    chosen = F.lit("microstrip")
-    for net, structure in given.items():
-        chosen = F.when(F.col("l_suppkey") == net, structure).otherwise(chosen)
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", chosen.alias("structure"))
+    given = read(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("s_suppkey") % 7 == 3, "cpw").alias("structure"), F.when(F.col("s_suppkey") % 5 == 1, F.col("s_nationkey")).cast("long").alias("ref"))
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("microstrip").alias("structure"), F.col("l_suppkey").cast("long").alias("ref"))
+    return J.overridden(rows, given, ["l_suppkey"], ["structure", "ref"]).drop("l_suppkey")
 
 
 @query(
@@ -394,7 +397,7 @@ def slot_pad(spark: SparkSession, d: str) -> DataFrame:
 def near_slice(spark: SparkSession, d: str) -> DataFrame:
     s, c = read(spark, d, "supplier"), read(spark, d, "customer")
     off = F.col("c_acctbal") - F.col("s_acctbal")
-    rows = s.join(c, s.s_nationkey == c.c_nationkey).filter(F.abs(off) <= 800)
+    rows = J.band_join(s, c, ("s_nationkey", "c_nationkey"), "s_acctbal", "c_acctbal", 800.0)
     return rows.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.min(off).alias("lo"), F.max(off).alias("hi"))
 
 

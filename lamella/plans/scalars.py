@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lamella.functions import geometry as G
 from lamella.functions import lines as L
 from lamella.functions import text as X
+from lamella.operators import joins as J
 from lamella.tables import read
 
 QUERIES: dict = {}
@@ -37,22 +38,41 @@ def sensitive(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", (X.matches(F.col("p_type"), "PROMO*", True) | X.matches(F.col("p_type"), "re:x", True)).alias("hit"))
 
 
-@query("f03_looks_like", "SELECT doc_id, contains(lower(text), ' the ') AND (contains(lower(text), ' of ') OR contains(lower(text), ' and ')) AS prose FROM documents")
+HEADS = """WITH h AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'Designator,Qty,MPN' WHEN 1 THEN 'Ref;Mid X;Mid Y;Rotation' WHEN 2 THEN 'RefDes' || chr(9) || 'Value' || chr(9) || 'PosX' || chr(9) || 'PosY' WHEN 3 THEN 'Name,X,Y' ELSE p_name END AS head FROM part),
+n AS (SELECT p_partkey, list_transform(regexp_split_to_array(head, '[,;\\t]'), lambda x: trim(regexp_replace(lower(trim(x)), '[^a-z0-9]+', ' ', 'g'))) AS names FROM h) """
+
+
+@query(
+    "f03_looks_like",
+    HEADS + """SELECT p_partkey, list_has_any(names, ['designator', 'designators', 'reference', 'references', 'refdes', 'ref']) AND list_has_any(names, ['value', 'val', 'comment', 'footprint', 'package', 'mpn', 'manufacturer part number', 'part number', 'quantity', 'qty']) AS bill,
+list_has_any(names, ['designator', 'designators', 'reference', 'references', 'refdes', 'ref']) AND len(list_filter(names, lambda n: n IN ('x', 'posx', 'pos x', 'mid x', 'midx', 'center x', 'location x'))) > 0 AND len(list_filter(names, lambda n: n IN ('y', 'posy', 'pos y', 'mid y', 'midy', 'center y', 'location y'))) > 0 AS placements FROM n""",
+)
 def looks_like(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    has = lambda x: F.contains(low, F.lit(x))
-    return read(spark, d, "documents").select("doc_id", (has(" the ") & (has(" of ") | has(" and "))).alias("prose"))
+    kind = F.col("p_size") % 5
+    head = F.when(kind == 0, "Designator,Qty,MPN").when(kind == 1, "Ref;Mid X;Mid Y;Rotation").when(kind == 2, "RefDes\tValue\tPosX\tPosY").when(kind == 3, "Name,X,Y").otherwise(F.col("p_name"))
+    return read(spark, d, "part").select("p_partkey", X.looks_like_bill(head).alias("bill"), X.looks_like_placements(head).alias("placements"))
 
 
-@query("f04_storable", "SELECT count(*) FILTER (abs(n_chars) < 3000) AS kept, count(*) FILTER (abs(n_chars) >= 3000) AS skipped FROM documents")
+@query(
+    "f04_storable",
+    """WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount = 0 THEN CAST('nan' AS DOUBLE) ELSE l_extendedprice * l_quantity / 7 END AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN NOT isnan(v) AND abs(v) < 100000 THEN floor(v * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE END AS stored, isnan(v) OR abs(v) >= 100000 AS skipped FROM v""",
+)
 def storable(spark: SparkSession, d: str) -> DataFrame:
-    fits = F.abs(F.col("n_chars")) < 3000
-    return read(spark, d, "documents").agg(F.count_if(fits).alias("kept"), F.count_if(~fits).alias("skipped"))
+    v = F.when(F.col("l_discount") == 0, F.lit(float("nan"))).otherwise(F.col("l_extendedprice") * F.col("l_quantity") / 7)
+    stored = X.storable(v, 100_000.0)
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", stored.alias("stored"), stored.isNull().alias("skipped"))
 
 
-@query("f05_placeholder", "SELECT l_orderkey, count(*) AS hits FROM lineitem WHERE l_discount > 0 GROUP BY 1")
+@query(
+    "f05_placeholder",
+    """WITH z AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem GROUP BY ALL HAVING min(l_discount) <= 0.03)
+SELECT l_orderkey, count(*) FILTER (z.l_suppkey IS NULL) AS hits, count(*) FILTER (z.l_suppkey IS NULL) = 0 AS empty FROM lineitem l LEFT JOIN z USING (l_orderkey, l_suppkey) GROUP BY 1""",
+)
 def placeholder(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "lineitem").filter("l_discount > 0").groupBy("l_orderkey").agg(F.count("*").alias("hits"))
+    hits = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_discount")
+    tools = hits.groupBy("l_orderkey", "l_suppkey").agg(F.greatest(F.min("l_discount") - 0.03, F.lit(0.0)).alias("diameter"))  # a tool is a supplier of an order
+    return J.without_placeholders(hits, tools, ["l_orderkey", "l_suppkey"], "l_orderkey", "diameter")
 
 
 @query(
@@ -81,26 +101,66 @@ def same_text(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").groupBy(key.alias("key")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
 
 
-@query("f09_drawable", "SELECT doc_id, regexp_matches(text, '[0-9]') AS drawable FROM documents")
+@query("f09_drawable", "SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber % 4 IN (1, 3) OR l_linenumber = 4 AS drawable FROM lineitem")
 def drawable(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.col("text").rlike("[0-9]").alias("drawable"))
+    operation = F.concat(F.lit("X"), F.col("l_partkey").cast("string"), F.lit("Y-"), F.col("l_suppkey").cast("string"), F.lit("D0"), (F.col("l_linenumber") % 4).cast("string"), F.lit("*\n"))
+    region = F.when(F.col("l_linenumber") == 4, "G36*\nX0Y0D02*\nG37*\n").otherwise("")
+    plot = F.concat(F.lit("G04 a plot D01*\n%FSLAX46Y46*%\n%ADD10C,0.1*%\nD10*\n"), operation, region, F.lit("M02*\n"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", X.has_geometry(plot).alias("drawable"))
 
 
-@query("f11_supply", "SELECT p_partkey, regexp_matches(lower(p_name), 'gnd|vcc|a[lm]') AND p_size > 10 AS supply FROM part")
+@query(
+    "f11_supply",
+    """WITH n AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'GND' WHEN 1 THEN '+3V3' WHEN 2 THEN 'VCC_IO' ELSE 'NET' END || p_partkey AS net FROM part), s AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_tax = 0)
+SELECT net, (regexp_matches(net, '(?i)^(gnd|vcc|\\+\\d)') OR p_partkey IN (SELECT l_partkey FROM s) OR net IN ('NET3', 'NET7')) AND net NOT IN ('GND4', 'NET7') AS supply FROM n""",
+)
 def supply(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select("p_partkey", (F.col("p_name").rlike("(?i)gnd|vcc|a[lm]") & (F.col("p_size") > 10)).alias("supply"))
+    kind = F.col("p_size") % 4
+    nets = read(spark, d, "part").select("p_partkey", F.concat(F.when(kind == 0, "GND").when(kind == 1, "+3V3").when(kind == 2, "VCC_IO").otherwise("NET"), F.col("p_partkey").cast("string")).alias("net"))
+    solid = read(spark, d, "lineitem").filter("l_tax = 0").select("l_partkey").distinct()  # the parts that have a plane
+    planes = nets.join(solid, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("net", F.lit(True).alias("solid"))
+    return J.supply_nets(nets, "net", planes, ["NET3", "NET7"], ["GND4", "NET7"], r"(?i)^(gnd|vcc|\+\d)").select("net", "supply")
+
 
+LAYERS = """WITH l AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN ['*.Cu', '*.Mask'] WHEN 1 THEN ['F.Cu', 'F.Paste'] WHEN 2 THEN ['B.Cu', 'B.Paste', 'B.Mask'] ELSE ['F.SilkS'] END AS layers FROM part) """
 
-@query("f12_pad_layers", "SELECT p_partkey, len(list_filter(string_split(p_type, ' '), lambda x: regexp_matches(x, 'STEEL|TIN'))) > 0 AS metal, string_split(p_type, ' ')[1] AS side FROM part")
+
+@query(
+    "f12_pad_layers",
+    LAYERS + """SELECT p_partkey, len(list_filter(layers, lambda x: x LIKE '%.Cu')) > 0 AS copper, list_has_any(layers, ['F.Cu', '*.Cu']) AS top, list_has_any(layers, ['B.Cu', '*.Cu']) AS bottom,
+CASE WHEN list_has_any(layers, ['F.Paste', '*.Paste']) THEN 'top' WHEN list_contains(layers, 'B.Paste') THEN 'bottom' END AS paste FROM l""",
+)
 def pad_layers(spark: SparkSession, d: str) -> DataFrame:
-    layers = F.split("p_type", " ")
-    return read(spark, d, "part").select("p_partkey", F.exists(layers, lambda x: x.rlike("STEEL|TIN")).alias("metal"), F.get(layers, F.lit(0)).alias("side"))
+    names = lambda *x: F.array(*map(F.lit, x))
+    kind = F.col("p_size") % 4
+    layers = F.when(kind == 0, names("*.Cu", "*.Mask")).when(kind == 1, names("F.Cu", "F.Paste")).when(kind == 2, names("B.Cu", "B.Paste", "B.Mask")).otherwise(names("F.SilkS"))
+    return read(spark, d, "part").select("p_partkey", X.copper_sides(layers).alias("s")).select("p_partkey", "s.*")
+
+
+NAMES = ("F.Cu", "B.Cu", "In1.Cu", "In2.Cu", "F.Mask", "B.Mask", "F.SilkS", "B.SilkS", "F.Paste", "B.Paste", "Edge.Cuts", "F.CrtYd", "F.Fab", "Notes")
+LAYER = f"WITH n AS (SELECT p_partkey, {list(NAMES)}[p_partkey % {len(NAMES)} + 1] AS layer FROM part) "
 
 
-@query("f13_visibility", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, '^PROMO') THEN 'shown' WHEN regexp_matches(p_type, 'BRASS$') THEN 'hidden' ELSE 'auto' END AS role FROM part")
+def _layers(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*map(F.lit, NAMES))
+    return read(spark, d, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(NAMES)).cast("int")).alias("layer"))
+
+
+@query(
+    "f13_visibility",
+    LAYER + """SELECT p_partkey, CASE WHEN layer LIKE '%.Cu' THEN 'copper' WHEN layer LIKE '%.Mask' THEN 'mask' WHEN layer LIKE '%.SilkS' THEN 'silkscreen' WHEN layer LIKE '%.Paste' THEN 'paste' WHEN layer LIKE 'Edge%' THEN 'outline' WHEN layer LIKE '%CrtYd' THEN 'courtyard' WHEN layer LIKE '%Fab' THEN 'fab' ELSE 'other' END AS role,
+layer IN ('F.Cu', 'B.Cu', 'F.Mask', 'B.Mask', 'F.SilkS', 'B.SilkS', 'Edge.Cuts') AS shown FROM n""",
+)
 def visibility(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("p_type")
-    return read(spark, d, "part").select("p_partkey", F.when(t.rlike("^PROMO"), "shown").when(t.rlike("BRASS$"), "hidden").otherwise("auto").alias("role"))
+    return _layers(spark, d).select("p_partkey", X.layer_role(F.col("layer")).alias("role"), X.shown(F.col("layer")).alias("shown"))
+
+
+@query(
+    "o02_layer_rank",
+    LAYER + """SELECT layer, CASE layer WHEN 'F.SilkS' THEN 0 WHEN 'F.Paste' THEN 1 WHEN 'F.Mask' THEN 2 WHEN 'F.Cu' THEN 3 WHEN 'In1.Cu' THEN 4 WHEN 'In2.Cu' THEN 5 WHEN 'B.Cu' THEN 6 WHEN 'B.Mask' THEN 7 WHEN 'B.Paste' THEN 8 WHEN 'B.SilkS' THEN 9 ELSE 1000 END AS rank, count(*) AS n FROM n GROUP BY ALL""",
+)
+def layer_rank(spark: SparkSession, d: str) -> DataFrame:
+    return _layers(spark, d).groupBy("layer", X.layer_rank(F.col("layer"), F.lit(4)).alias("rank")).agg(F.count("*").alias("n")).orderBy("rank", "layer")
 
 
 @query("f14_planar", "SELECT l_suppkey, max(l_tax) - min(l_tax) > 0.01 AND max(l_discount) - min(l_discount) > 0.01 AS planar FROM lineitem GROUP BY 1")
@@ -169,15 +229,22 @@ def colour(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", X.hex_colour(F.format_string("#%06x", F.col("p_partkey") % 4096)).alias("colour"))
 
 
-@query("x13_view_state", "SELECT p_partkey, 'z=' || p_size || '&s=' || p_brand AS state, CAST(p_size AS VARCHAR) AS z FROM part")
+@query(
+    "x13_view_state",
+    """SELECT p_partkey, 'z=' || p_size || CASE WHEN p_size % 2 = 0 THEN '&r=' || p_partkey || ',2,3,4' ELSE '' END || '&l=top+' || p_brand AS state, CAST(p_size AS DOUBLE) AS zoom, CASE WHEN p_size % 2 = 0 THEN CAST(p_partkey AS DOUBLE) END AS x, p_brand AS layer FROM part""",
+)
 def view_state(spark: SparkSession, d: str) -> DataFrame:
-    state = F.concat(F.lit("z="), F.col("p_size").cast("string"), F.lit("&s="), "p_brand")
-    return read(spark, d, "part").select("p_partkey", state.alias("state"), F.str_to_map(state, F.lit("&"), F.lit("="))["z"].alias("z"))
+    region = F.when(F.col("p_size") % 2 == 0, F.struct(F.col("p_partkey").alias("x"), F.lit(2).alias("y"), F.lit(3).alias("w"), F.lit(4).alias("h")))
+    rows = read(spark, d, "part").select("p_partkey", X.view_state(F.col("p_size"), region, F.array(F.lit("top"), F.col("p_brand"))).alias("state"))
+    rows = rows.withColumn("v", X.view_of(F.col("state")))
+    return rows.select("p_partkey", "state", F.col("v.zoom").alias("zoom"), F.col("v.region.x").alias("x"), F.get("v.layers", F.lit(1)).alias("layer"))
 
 
-@query("x15_stamp", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
+@query("x15_stamp", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '2024-02-30T25:61' WHEN 1 THEN 'spring' ELSE '' END || event_id AS stamp FROM events")
 def stamp(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    kind = F.col("event_id") % 3
+    job = F.to_json(F.struct(F.concat(F.when(kind == 0, "2024-02-30T25:61").when(kind == 1, "spring").otherwise(""), F.col("event_id").cast("string")).alias("CreationDate")))
+    return read(spark, d, "events").select("event_id", F.get_json_object(job, "$.CreationDate").alias("stamp"))  # a stamp is text, whatever it says
 
 
 @query("x16_half_up", "SELECT l_orderkey, l_linenumber, l_partkey, floor(l_extendedprice * l_tax * 1000 + 0.5) / 1000 AS v FROM lineitem")
@@ -360,24 +427,67 @@ def ipc_coupled(spark: SparkSession, d: str) -> DataFrame:
     return _tracks(spark, d).select("l_quantity", "l_discount", _three(L.ipc_coupled_microstrip(w, h, t, er, s)).alias("micro"), _three(L.ipc_coupled_stripline(w, h * 4, t, er, s)).alias("strip"))
 
 
-@query("z03_stripline")
+def _agm(source: str, means: dict[str, str]) -> str:
+    """A recursive table g: for each row of the source, agm(1, x) of each expression x, by its name."""
+    a = ", ".join(f"1.0::DOUBLE AS {n}, CAST({x} AS DOUBLE) AS {n}_b" for n, x in means.items())
+    step = ", ".join(f"({n} + {n}_b) / 2, sqrt({n} * {n}_b)" for n in means)
+    return f", g AS (SELECT *, 0 AS rounds, {a} FROM {source} UNION ALL SELECT g.* EXCLUDE (rounds, {', '.join(f'{n}, {n}_b' for n in means)}), rounds + 1, {step} FROM g WHERE rounds < 24) "
+
+
+RECURSIVE = TRACKS.replace("WITH ", "WITH RECURSIVE ", 1)
+ETA = "376.730313668::DOUBLE"
+
+
+@query(
+    "z03_stripline",
+    RECURSIVE + """, a AS (SELECT *, 4 * h AS b, 0.035::DOUBLE / (4 * h) AS x FROM t),
+c AS (SELECT *, x / (pi() * (1 - x)) * (1 - 0.5::DOUBLE * ln(pow(x / (2 - x), 2) + pow(0.0796::DOUBLE * x / (w / b + 1.1::DOUBLE * x), 2 / (1 + 2.0::DOUBLE / 3 * x / (1 - x))))) AS wide FROM a),
+u AS (SELECT l_quantity, l_discount, (w / (b - 0.035::DOUBLE) + wide) * pi() / 2 AS u FROM c)""" + _agm("u", {"k": "2 / (exp(u) + exp(-u))", "c": "(exp(u) - exp(-u)) / (exp(u) + exp(-u))"})
+    + f"SELECT l_quantity, l_discount, floor({ETA} / 4 / sqrt(4.4::DOUBLE) * k / c * 1000 + 0.5) / 1000 AS z0 FROM g WHERE rounds = 24",
+)
 def stripline(spark: SparkSession, d: str) -> DataFrame:
     return _tracks(spark, d).select("l_quantity", "l_discount", _three(L.stripline(F.col("w"), F.col("h") * 4, F.lit(0.035), F.lit(4.4))).alias("z0"))
 
 
-@query("z04_cpw")
+CPW = RECURSIVE + """, a AS (SELECT l_quantity, l_discount, w / (w + 0.4::DOUBLE) AS k0, {0} AS k1 FROM t)""" + _agm("a", {"m0": "k0", "n0": "sqrt(1 - k0 * k0)", "m1": "k1", "n1": "sqrt(1 - k1 * k1)"})
+
+
+@query(
+    "z04_cpw",
+    CPW.format("(exp(pi() * w / (16 * h)) - exp(-pi() * w / (16 * h))) / (exp(pi() * (w + 0.4::DOUBLE) / (16 * h)) - exp(-pi() * (w + 0.4::DOUBLE) / (16 * h)))")
+    + f", r AS (SELECT *, m0 / n0 AS o0, 1 + 1.7::DOUBLE * (m1 / n1) / (m0 / n0) AS e FROM g WHERE rounds = 24) SELECT l_quantity, l_discount, floor({ETA} / 4 / sqrt(e) / o0 * 1000 + 0.5) / 1000 AS z0, floor(e * 1000 + 0.5) / 1000 AS e_eff FROM r",
+)
 def cpw(spark: SparkSession, d: str) -> DataFrame:
     m = L.cpw(F.col("w"), F.lit(0.2), F.col("h") * 4, F.lit(4.4))
     return _tracks(spark, d).select("l_quantity", "l_discount", m.alias("m")).select("l_quantity", "l_discount", _three(F.col("m.z0")).alias("z0"), _three(F.col("m.e_eff")).alias("e_eff"))
 
 
-@query("z05_grounded_cpw")
+@query(
+    "z05_grounded_cpw",
+    CPW.format("((exp(2 * pi() * w / (4 * h)) - 1) / (exp(2 * pi() * w / (4 * h)) + 1)) / ((exp(2 * pi() * (w + 0.4::DOUBLE) / (4 * h)) - 1) / (exp(2 * pi() * (w + 0.4::DOUBLE) / (4 * h)) + 1))")
+    + f", r AS (SELECT *, m0 / n0 AS o0, m1 / n1 AS o1 FROM g WHERE rounds = 24), e AS (SELECT *, (1 + 4.4::DOUBLE * (o1 / o0)) / (1 + o1 / o0) AS e FROM r) SELECT l_quantity, l_discount, floor({ETA} / 2 / sqrt(e) / (o0 + o1) * 1000 + 0.5) / 1000 AS z0, floor(e * 1000 + 0.5) / 1000 AS e_eff FROM e",
+)
 def grounded_cpw(spark: SparkSession, d: str) -> DataFrame:
     m = L.grounded_cpw(F.col("w"), F.lit(0.2), F.col("h"), F.lit(4.4))
     return _tracks(spark, d).select("l_quantity", "l_discount", m.alias("m")).select("l_quantity", "l_discount", _three(F.col("m.z0")).alias("z0"), _three(F.col("m.e_eff")).alias("e_eff"))
 
 
-@query("z13_synthesize")
+def _microstrip_sql(w: str) -> str:
+    """z0 of a strip of this width over l_discount + 0.1, by the formulas of z01."""
+    u, t = f"(({w}) / (l_discount + 0.1::DOUBLE))", "(0.035::DOUBLE / (l_discount + 0.1::DOUBLE))"
+    d = f"({t} / pi() * ln(1 + 4 * exp(1.0::DOUBLE) / ({t} * pow((exp(2 * sqrt(6.517::DOUBLE * {u})) + 1) / (exp(2 * sqrt(6.517::DOUBLE * {u})) - 1), 2))))"
+    r = f"({u} + {d} * (1 + 2 / (exp(sqrt(3.4::DOUBLE)) + exp(-sqrt(3.4::DOUBLE)))) / 2)"
+    z = f"({ETA} / (2 * pi()) * ln((6 + (2 * pi() - 6) * exp(-pow(30.666::DOUBLE / {r}, 0.7528::DOUBLE))) / {r} + sqrt(1 + pow(2 / {r}, 2))))"
+    e = f"(2.7::DOUBLE + 1.7::DOUBLE * pow(1 + 10 / {r}, -(1 + ln((pow({r}, 4) + pow({r} / 52, 2)) / (pow({r}, 4) + 0.432::DOUBLE)) / 49 + ln(1 + pow({r} / 18.1::DOUBLE, 3)) / 18.7::DOUBLE) * 0.564::DOUBLE * pow(3.5::DOUBLE / 7.4::DOUBLE, 0.053::DOUBLE)))"
+    return f"({z} / sqrt({e}))"
+
+
+@query(
+    "z13_synthesize",
+    f"""WITH RECURSIVE h AS (SELECT DISTINCT l_discount FROM lineitem), s AS (SELECT l_discount, 0 AS n, ln(0.01::DOUBLE) AS lo, ln(10.0::DOUBLE) AS hi FROM h
+UNION ALL SELECT l_discount, n + 1, CASE WHEN {_microstrip_sql("exp((lo + hi) / 2)")} > 50 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_microstrip_sql("exp((lo + hi) / 2)")} > 50 THEN hi ELSE (lo + hi) / 2 END FROM s WHERE n < 40)
+SELECT l_discount, CASE WHEN {_microstrip_sql("0.01::DOUBLE")} >= 50 AND {_microstrip_sql("10.0::DOUBLE")} <= 50 THEN floor(exp((lo + hi) / 2) * 1000 + 0.5) / 1000 END AS w FROM s WHERE n = 40""",
+)
 def synthesize(spark: SparkSession, d: str) -> DataFrame:
     heights = read(spark, d, "lineitem").select("l_discount").distinct()
     h = F.col("l_discount") + 0.1

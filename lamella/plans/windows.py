@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions.text import fuzzy_score, half_up, natural_key
 from lamella.operators import ordered as O
+from lamella.operators.joins import band_join
 from lamella.operators.aggregates import exact
 from lamella.tables import read
 
@@ -166,16 +167,6 @@ def natural(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").select("c_custkey", F.row_number().over(order).alias("place"))
 
 
-@query(
-    "o02_layer_rank",
-    """SELECT o_orderpriority, CASE left(o_orderpriority, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 ELSE 9 END AS rank, count(*) AS n FROM orders GROUP BY ALL ORDER BY rank, o_orderpriority""",
-)
-def layer_rank(spark: SparkSession, d: str) -> DataFrame:
-    head = F.substring("o_orderpriority", 1, 1)
-    rank = F.when(head == "1", 0).when(head == "2", 1).when(head == "3", 2).otherwise(9)
-    return read(spark, d, "orders").groupBy("o_orderpriority", rank.alias("rank")).agg(F.count("*").alias("n")).orderBy("rank", "o_orderpriority")
-
-
 @query(
     "o03_pick_board",
     """WITH e AS (SELECT l_suppkey, l_orderkey, l_quantity AS q, abs(l_quantity - 25) AS err FROM lineitem)
@@ -248,9 +239,8 @@ SELECT s_suppkey, c_custkey, CAST(row_number() OVER (PARTITION BY s_suppkey ORDE
 def hit_rank(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     c = read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    dist = F.abs(F.col("s_acctbal") - F.col("c_acctbal"))
-    hits = s.join(c, (s.s_nationkey == c.c_nationkey) & (dist <= 2000)).withColumn("dist", dist)
-    order = Window.partitionBy("s_suppkey").orderBy("dist", "c_acctbal", "c_custkey")
+    hits = band_join(s, c, ("s_nationkey", "c_nationkey"), "s_acctbal", "c_acctbal", 2000.0)
+    order = Window.partitionBy("s_suppkey").orderBy("distance", "c_acctbal", "c_custkey")
     return hits.select("s_suppkey", "c_custkey", F.row_number().over(order).alias("place")).filter("place <= 3")
 
 

@@ -94,11 +94,11 @@ def read_ipc_pins(files: DataFrame) -> DataFrame:
 
 def read_odb_components(files: DataFrame) -> DataFrame:
     """Components of `components` files (path ends so, or in .Z)."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
+    import pyarrow as pa
 
-    @F.udf(T.BinaryType())
-    def plain(data: bytes) -> bytes:
-        return uncompressed(bytes(data)) if data[:2] == b"\x1f\x9d" else bytes(data)
+    def run(batches):
+        for batch in batches:
+            data = [uncompressed(x.as_py()) if x.as_py()[:2] == b"\x1f\x9d" else x.as_py() for x in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(data, pa.binary())], names=["path", "content"])
 
-    return parsed(files.select("path", plain("content").alias("content")), odb_components, table(*PARTS))
+    return parsed(files.select("path", "content").mapInArrow(run, "path string, content binary"), odb_components, table(*PARTS))
