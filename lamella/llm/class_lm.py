@@ -387,7 +387,10 @@ LINES = "doc_id long, training boolean, n_tokens long, known long, logs double,
 def lines_of(tokens: DataFrame, rare: DataFrame, lexicon: Lexicon, of: np.ndarray, endings: np.ndarray) -> DataFrame:
     """doc_id, training, n_tokens, known, logs (the sum of log10(c + 1)) and classes of the tokens of each row."""
     asked = tokens.select("row", F.posexplode("rare").alias("at", "word"))
-    found = asked.join(rare.select("word", "c", "class"), "word", "left").groupBy("row").agg(F.collect_list(F.struct("at", "word", "c", "class")).alias("found"))
+    entry = F.struct("at", F.when(F.col("class").isNull(), F.col("word")).alias("word"), "c", F.col("class").cast("short").alias("class"))  # words that aren't known
+    found = asked.join(rare.select("word", "c", "class"), "word", "left").groupBy("row").agg(F.collect_list(entry).alias("found"))
+    found = stored(found)
+    settle(tokens.sparkSession)
     held = tokens.sparkSession.sparkContext.broadcast((lexicon.counts, of, endings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,6 +440,7 @@ def train(docs: DataFrame, training: Column | None = None) -> tuple[Model, DataF
     total = counts.agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).first()
     size = n_classes(total.types)
     lexicon = frequent(counts)
+    drop(counts)
     tokens = tokenised(docs, lexicon)
     settle(docs.sparkSession)
     own = tokens.filter("training")
