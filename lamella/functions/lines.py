@@ -161,3 +161,29 @@ def dispersed(e_eff: Column, er: Column, u: Column, ghz_mm: Column) -> Column:
     p4 = n(1) + n(2.751) * (n(1) - F.exp(-F.pow(er / n(15.916), n(8))))
     p = p1 * p2 * F.pow((n(0.1844) + p3 * p4) * ghz_mm, n(1.5763))
     return er - (er - e_eff) / (n(1) + p)
+
+
+#: Models by name: what they need, the function, and the ranges (of a ratio, least and most) that its formula was published for.
+MODELS = {
+    "microstrip": (("w", "h", "t", "er"), lambda p: microstrip(p["w"], p["h"], p["t"], p["er"])["z0"], (("w", "h", 0.01, 100.0), ("t", "h", 0.0, 0.2))),
+    "stripline": (("w", "b", "t", "er"), lambda p: stripline(p["w"], p["b"], p["t"], p["er"]), (("t", "b", 0.0, 0.25),)),
+    "cpw": (("w", "s", "h", "er"), lambda p: cpw(p["w"], p["s"], p["h"], p["er"])["z0"], (("w", "h", 0.0, 10.0),)),
+    "grounded_cpw": (("w", "s", "h", "er"), lambda p: grounded_cpw(p["w"], p["s"], p["h"], p["er"])["z0"], (("w", "h", 0.0, 10.0),)),
+    "coupled_stripline": (("w", "b", "er", "s"), lambda p: coupled_stripline(p["w"], p["b"], p["er"], p["s"])["differential"], (("w", "b", 0.35, 10.0),)),
+    "ipc_microstrip": (("w", "h", "t", "er"), lambda p: ipc_microstrip(p["w"], p["h"], p["t"], p["er"]), (("w", "h", 0.1, 2.0), ("er", None, 1.0, 15.0))),
+    "ipc_stripline": (("w", "b", "t", "er"), lambda p: ipc_stripline(p["w"], p["b"], p["t"], p["er"]), (("t", "b", 0.0, 0.25),)),
+    "ipc_coupled_microstrip": (("w", "h", "t", "er", "s"), lambda p: ipc_coupled_microstrip(p["w"], p["h"], p["t"], p["er"], p["s"]), (("w", "h", 0.1, 2.0),)),
+    "ipc_coupled_stripline": (("w", "b", "t", "er", "s"), lambda p: ipc_coupled_stripline(p["w"], p["b"], p["t"], p["er"], p["s"]), (("t", "b", 0.0, 0.25),)),
+}
+
+
+def calculated(model: Column, **given: Column) -> Column:
+    """struct<z0, valid> by the model that each row names; null for an unknown one, or one that isn't given all it needs. valid: within the published range."""
+    out = F.lit(None)
+    for name, (needs, f, ranges) in MODELS.items():
+        if set(needs) <= given.keys():
+            valid = F.lit(True)
+            for a, b, least, most in ranges:
+                valid = valid & (given[a] / given[b] if b else given[a]).between(least, most)
+            out = F.when(model == name, F.struct(f(given).alias("z0"), valid.alias("valid"))).otherwise(out)
+    return out

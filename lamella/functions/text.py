@@ -240,3 +240,17 @@ def view_of(state: Column) -> Column:
     sound = (F.size(box) == 4) & F.forall(box, lambda x: x.isNotNull())
     region = F.when(sound, F.struct(*[F.get(box, F.lit(i)).alias(c) for i, c in enumerate("xywh")]))
     return F.struct(parts["z"].try_cast("double").alias("zoom"), region.alias("region"), F.split(parts["l"], r"\+").alias("layers"))
+
+
+def script_number(value: Column) -> Column:
+    """A number as scripts print it: the shortest digits, whole numbers without a point, exponents only from 1e21 and below 1e-6."""
+    size = F.abs(value)
+    digits = F.regexp_replace(F.regexp_replace(value.cast("string"), r"\.0(E|$)", "$1"), r"E(-?\d+)$", "e$1")
+    plain_ = F.regexp_replace(value.cast("decimal(38,16)").cast("string"), r"\.?0+$", "")
+    whole = F.when((value == F.floor(value)) & (size < 1e18), value.cast("decimal(38,0)").cast("string"))
+    return F.coalesce(whole, F.when(digits.contains("e") & (size >= 1e-6) & (size < 1), plain_), F.regexp_replace(digits, r"e(\d)", "e+$1"))
+
+
+def ink(r: Column, g: Column, b: Column, a: Column, alpha: int = 40, light: int = 235) -> Column:
+    """Whether a pixel is drawn: not see-through, and darker than paper."""
+    return (a >= alpha) & (0.2126 * r + 0.7152 * g + 0.0722 * b <= light)

@@ -141,3 +141,16 @@ def by_role(files: DataFrame, board: str, role: str, index: str, seq: str) -> Da
     first = files.withColumn("slot", F.when(F.row_number().over(claim) == 1, F.col(role)).otherwise("other"))
     inner = (F.col("slot") == "inner").cast("int")
     return first.withColumn("place", F.when(F.col("slot") == "inner", F.sum(inner).over(Window.partitionBy(board).orderBy(F.col("slot") != "inner", index, seq).rowsBetween(Window.unboundedPreceding, Window.currentRow))).cast("int"))
+
+
+def impedance_violations(classes: DataFrame, key: str, layers: DataFrame, name: str, most: float) -> DataFrame:
+    """rule and key of the classes (class, target, tolerance, layer) that break a rule: names are unique, targets positive, tolerances between 0 and
+    `most` percent, and layers exist. Nulls break none."""
+    twice = classes.groupBy("class").agg(F.count("*").alias("_c")).filter("_c > 1").select("class")
+    broken = lambda rule, rows: rows.select(F.lit(rule).alias("rule"), key)
+    return (
+        broken("unique_class", classes.join(twice, "class", "left_semi"))
+        .unionByName(broken("target_positive", classes.filter("target <= 0")))
+        .unionByName(broken("tolerance_range", classes.filter((F.col("tolerance") < 0) | (F.col("tolerance") > most))))
+        .unionByName(broken("fk_layer", foreign_keys(classes, "layer", layers, name)))
+    )

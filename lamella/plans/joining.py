@@ -411,6 +411,18 @@ def span_rules(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.explode(broken).alias("rule"), "l_orderkey", "l_linenumber", "l_partkey")
 
 
+@query(
+    "v04_impedance_rules",
+    """WITH c AS (SELECT p_partkey, p_name AS class, p_size - 25 AS target, p_retailprice / 20 AS tolerance, 'L' || p_size % 6 AS layer FROM part)
+SELECT 'unique_class' AS rule, p_partkey FROM c WHERE class IN (SELECT class FROM c GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'target_positive', p_partkey FROM c WHERE target <= 0
+UNION ALL SELECT 'tolerance_range', p_partkey FROM c WHERE tolerance < 0 OR tolerance > 75 UNION ALL SELECT 'fk_layer', p_partkey FROM c WHERE layer NOT IN ('L1', 'L2', 'L3', 'L4')""",
+)
+def impedance_rules(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "part").select("p_partkey", F.col("p_name").alias("class"), (F.col("p_size") - 25).alias("target"), (F.col("p_retailprice") / 20).alias("tolerance"), F.concat(F.lit("L"), (F.col("p_size") % 6).cast("string")).alias("layer"))
+    layers = spark.range(1, 5).select(F.concat(F.lit("L"), F.col("id").cast("string")).alias("name"))
+    return J.impedance_violations(c, "p_partkey", layers, "name", 75.0)
+
+
 @query("s33_json_sink", """SELECT to_json({'p_partkey': p_partkey, 'p_brand': p_brand, 'p_size': CASE WHEN p_size > 25 THEN p_size END}) AS value FROM part""")
 def json_sink(spark: SparkSession, d: str) -> DataFrame:
     from lamella.sources.sinks import documents

@@ -427,6 +427,42 @@ def ipc_coupled(spark: SparkSession, d: str) -> DataFrame:
     return _tracks(spark, d).select("l_quantity", "l_discount", _three(L.ipc_coupled_microstrip(w, h, t, er, s)).alias("micro"), _three(L.ipc_coupled_stripline(w, h * 4, t, er, s)).alias("strip"))
 
 
+@query(
+    "z12_registry",
+    TRACKS + """SELECT l_quantity, l_discount, CASE CAST(l_quantity AS INTEGER) % 3 WHEN 0 THEN floor(87 / sqrt(5.81::DOUBLE) * ln(5.98::DOUBLE * h / (0.8::DOUBLE * w + 0.035::DOUBLE)) * 1000 + 0.5) / 1000 WHEN 1 THEN floor(60 / sqrt(4.4::DOUBLE) * ln(1.9::DOUBLE * 4 * h / (0.8::DOUBLE * w + 0.035::DOUBLE)) * 1000 + 0.5) / 1000 END AS z0,
+CASE CAST(l_quantity AS INTEGER) % 3 WHEN 0 THEN w / h BETWEEN 0.1 AND 2 WHEN 1 THEN 0.035::DOUBLE / (4 * h) <= 0.25 END AS valid FROM t""",
+)
+def line_registry(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("l_quantity").cast("int") % 3
+    model = F.when(kind == 0, "ipc_microstrip").when(kind == 1, "ipc_stripline").otherwise("unheard of")
+    z = L.calculated(model, w=F.col("w"), h=F.col("h"), b=F.col("h") * 4, t=F.lit(0.035), er=F.lit(4.4), s=F.lit(0.2))
+    return _tracks(spark, d).select("l_quantity", "l_discount", z.alias("z")).select("l_quantity", "l_discount", _three(F.col("z.z0")).alias("z0"), F.col("z.valid").alias("valid"))
+
+
+@query("x14_script_number", "SELECT l_orderkey, l_linenumber, l_partkey, regexp_replace(CAST(l_extendedprice AS VARCHAR), '\\.0$', '') AS price, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity FROM lineitem")
+def script_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", X.script_number(F.col("l_extendedprice")).alias("price"), X.script_number(F.col("l_quantity")).alias("quantity"))
+
+
+@query(
+    "geo17_ink",
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 256 AS r, l_suppkey * 7 % 256 AS g, l_orderkey % 256 AS b, l_quantity * 5 AS a FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, a >= 40 AND 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b <= 235 AS ink FROM p""",
+)
+def ink_mask(spark: SparkSession, d: str) -> DataFrame:
+    ink = X.ink(F.col("l_partkey") % 256, F.col("l_suppkey") * 7 % 256, F.col("l_orderkey") % 256, F.col("l_quantity") * 5)
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ink.alias("ink"))
+
+
+@query(
+    "z07_coupled_stripline",
+    "",
+)
+def coupled_stripline(spark: SparkSession, d: str) -> DataFrame:
+    c = L.coupled_stripline(F.col("w"), F.col("h") * 4, F.lit(4.4), F.lit(0.2))
+    return _tracks(spark, d).select("l_quantity", "l_discount", c.alias("c")).select("l_quantity", "l_discount", _three(F.col("c.odd")).alias("odd"), _three(F.col("c.even")).alias("even"), _three(F.col("c.differential")).alias("differential"))
+
+
 def _agm(source: str, means: dict[str, str]) -> str:
     """A recursive table g: for each row of the source, agm(1, x) of each expression x, by its name."""
     a = ", ".join(f"1.0::DOUBLE AS {n}, CAST({x} AS DOUBLE) AS {n}_b" for n, x in means.items())
@@ -449,6 +485,15 @@ def stripline(spark: SparkSession, d: str) -> DataFrame:
     return _tracks(spark, d).select("l_quantity", "l_discount", _three(L.stripline(F.col("w"), F.col("h") * 4, F.lit(0.035), F.lit(4.4))).alias("z0"))
 
 
+def _tanh(x: str) -> str:
+    return f"((exp(2 * ({x})) - 1) / (exp(2 * ({x})) + 1))"
+
+
+ORACLES["z07_coupled_stripline"] = (
+    RECURSIVE + f", a AS (SELECT l_quantity, l_discount, {_tanh('pi() * w / (8 * h)')} AS one, {_tanh('pi() * (w + 0.2::DOUBLE) / (8 * h)')} AS two FROM t), b AS (SELECT l_quantity, l_discount, one / two AS o, one * two AS e FROM a)"
+    + _agm("b", {"ok": "sqrt(1 - o * o)", "oc": "o", "ek": "sqrt(1 - e * e)", "ec": "e"})
+    + f", z AS (SELECT l_quantity, l_discount, {ETA} / 4 / sqrt(4.4::DOUBLE) * (ok / oc) AS odd, {ETA} / 4 / sqrt(4.4::DOUBLE) * (ek / ec) AS even FROM g WHERE rounds = 24) SELECT l_quantity, l_discount, floor(odd * 1000 + 0.5) / 1000 AS odd, floor(even * 1000 + 0.5) / 1000 AS even, floor(2 * odd * 1000 + 0.5) / 1000 AS differential FROM z"
+)
 CPW = RECURSIVE + """, a AS (SELECT l_quantity, l_discount, w / (w + 0.4::DOUBLE) AS k0, {0} AS k1 FROM t)""" + _agm("a", {"m0": "k0", "n0": "sqrt(1 - k0 * k0)", "m1": "k1", "n1": "sqrt(1 - k1 * k1)"})
 
 

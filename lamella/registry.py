@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lamella.plans import aggregates, boards, joining, scalars, windows
+from lamella.plans import aggregates, boards, joining, readers, scalars, windows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (windows, aggregates, joining, scalars, boards):
+for _module in (windows, aggregates, joining, scalars, boards, readers):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

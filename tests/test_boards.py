@@ -13,6 +13,7 @@ from lamella.functions import fieldsolver, geometry
 from lamella.functions.text import glob_regex
 from lamella.operators import graph, joins, matching, ordered
 from lamella.plans import boards
+from lamella.sources import sheets
 from lamella.sources.plots import stitched
 from tests.test_sources import DRILL, PLOT
 
@@ -131,3 +132,54 @@ def test_coupled_solves_every_size(spark, sf):
     sizes = {r.p_size for r in spark.read.parquet(f"{sf}/part.parquet").select("p_size").distinct().collect()}
     assert any(x % 5 for x in sizes)
     assert sorted(r.p_size for r in QUERIES["z06_coupled"](spark, sf).collect()) == sorted(sizes)
+
+
+def test_nested_rings():
+    square = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    got = geometry.nested_rings([square(2, 2, 2), square(0, 0, 10), square(2.5, 2.5, 0.5), square(20, 0, 5), square(6, 6, 1)])
+    assert [(o[0], sorted(h[0] for h in holes)) for o, holes in got] == [((0, 0), [(2, 2), (6, 6)]), ((20, 0), []), ((2.5, 2.5), [])]
+
+
+def test_columns_as_the_caller_says():
+    text = "x,y,z\nPos,Teil,Marke,Stück\nR1 R2,10k,ACME,2\n"
+    assert sheets.bill(text) == []
+    got = sheets.bill(text, {"reference": "pos", "value": "Teil", "manufacturer": "Marke"})
+    assert [(r[1], r[2], r[5]) for r in got] == [(["R1", "R2"], "10k", "ACME")]
+    assert [(r[1], r[2]) for r in sheets.bill("Ref,Value\nno,head\nRef,Value\nR9,1k\n", header_row=2)] == [(["R9"], "1k")]
+    assert sheets.bill(text, header_row=99) == [] and sheets.bill(text, {"reference": "nowhere"}) == []
+    rows = sheets.placements("a,b\nWer,rechts,hoch\nU1,1,2\n", {"ref": "Wer", "x": "rechts", "y": "hoch"})
+    assert rows == [("U1", "", "", 1.0, 2.0, 0.0, "top", None)]
+
+
+def test_script_numbers(spark):
+    from lamella.functions.text import script_number
+
+    values = {1.0: "1", -0.5: "-0.5", 0.1: "0.1", 1e21: "1e+21", 1e-7: "1e-7", 0.00001: "0.00001", 123456789012.0: "123456789012", 1.5e300: "1.5e+300"}
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", script_number(F.col("v")).alias("s")).collect()
+    assert {r.v: r.s for r in got} == values
+
+
+def test_greedy_and_guarded_pairs_are_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, int(a), int(b), float(d)) for g in range(4) for a, b, d in {(int(a), int(b)): (a, b, d) for a, b, d in zip(rng.integers(0, 9, 40), rng.integers(0, 9, 40), rng.integers(1, 60, 40))}.values()]
+    df = spark.createDataFrame(rows, "g int, a int, b int, d double")
+    greedy, guarded = [], []
+    for g in range(4):
+        left = sorted((d, a, b) for k, a, b, d in rows if k == g)
+        while left:
+            d, a, b = left[0]
+            greedy.append((g, a, b, d))
+            left = [x for x in left if x[1] != a and x[2] != b]
+        left = [(d, a, b) for k, a, b, d in rows if k == g]
+        while True:
+            sure = []
+            for d, a, b in left:
+                of_a, of_b = sorted(x for x in left if x[1] == a), sorted(x for x in left if x[2] == b)
+                if of_a[0][1:] == (a, b) and of_b[0][1:] == (a, b) and all(d < 0.5 * x[0] for x in (*of_a[1:2], *of_b[1:2])):
+                    sure.append((d, a, b))
+            if not sure:
+                break
+            guarded += [(g, a, b, d) for d, a, b in sure]
+            left = [x for x in left if x[1] not in {s[1] for s in sure} and x[2] not in {s[2] for s in sure}]
+    assert sorted(map(tuple, matching.greedy_pairs(df, ["g"], "a", "b", "d").collect())) == sorted(greedy)
+    assert sorted(map(tuple, matching.guarded_nearest(df, ["g"], "a", "b", "d").collect())) == sorted(guarded)
