@@ -12,6 +12,7 @@ from lamella.operators import graph, matching
 from lamella.operators.aggregates import layered, summary
 from lamella.operators.joins import band_join, grid_join
 from lamella.operators.ordered import before
+from lamella.plans.scalars import MICROSTRIP, TRACKS
 from lamella.sources import drills, files, plots, sheets, trees
 from lamella.tables import read
 
@@ -133,7 +134,13 @@ def dispersion(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", (F.floor(F.col("e.re") * 1000 + 0.5) / 1000).alias("er"), (F.floor(F.col("e.im") * 100000 + 0.5) / 100000).alias("loss"))
 
 
-@query("z20_loss")
+@query(
+    "z20_loss",
+    MICROSTRIP.replace(TRACKS, "WITH t AS (SELECT 0.36::DOUBLE AS w, 0.2104::DOUBLE AS h) ")
+    + """, m AS (SELECT zr / sqrt(e) AS z0, e * pow(z1 / zr, 2) AS e_eff FROM f), p AS (SELECT DISTINCT p_size, p_size * 1e9::DOUBLE AS hz FROM part),
+r AS (SELECT *, 1 / (sqrt(1 / (pi() * hz * (4e-7::DOUBLE * pi()) * 5.8e7::DOUBLE)) * 5.8e7::DOUBLE) AS rs, 20 / ln(10) AS per FROM p, m)
+SELECT p_size, round(rs / (2 * z0 * 0.36e-3::DOUBLE) * per, 6) AS conductor, round(pi() * hz / 299792458.0::DOUBLE * (4.4::DOUBLE * (e_eff - 1) / (sqrt(e_eff) * 3.4::DOUBLE)) * 0.02::DOUBLE * per, 6) AS dielectric FROM r""",
+)
 def loss(spark: SparkSession, d: str) -> DataFrame:
     m = lines.microstrip(F.lit(0.36), F.lit(0.2104), F.lit(0.035), F.lit(4.4))
     f = F.col("p_size") * 1e9
