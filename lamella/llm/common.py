@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,21 @@ def unsigned(value: Column) -> Column:
     return F.pmod(value, F.lit(1 << 32))
 
 
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which its worker holds no memory that is free: workers live on from stage to stage."""
+
+    def done(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return done
+
+
 #: Copies of a row that are made at once; more of them are dealt to several tasks.
 TOGETHER = 4096
 

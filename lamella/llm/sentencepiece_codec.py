@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lamella.llm.common import giving_back
 from lamella.tables import read
 
 #: Where the model file is, unless the caller or the session's setting SETTING says otherwise.
@@ -294,7 +295,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 columns = [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(n_bytes, pa.int64()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *[n for n, _ in extra]])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.operators.graph import components
+from lamella.llm.common import giving_back
 from lamella.tables import if_small, read, stored
 
 SEED = 42
@@ -227,7 +228,7 @@ def linked(codes: DataFrame) -> DataFrame:
     groups = small
     for x in more:
         groups = groups.unionByName(x)
-    return groups.repartition("k", "part").sortWithinPartitions("k", "part").mapInArrow(_linked, "a long, b long").distinct()
+    return groups.repartition("k", "part").sortWithinPartitions("k", "part").mapInArrow(giving_back(_linked), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -388,14 +389,14 @@ def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = stored(texts.groupBy("hash").agg(F.first("text").alias("text")))
     both = pairs.join(texts.select(F.col("hash").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("hash").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return stored(both.mapInArrow(_checked, "a long, b long"))
+    return stored(both.mapInArrow(giving_back(_checked), "a long, b long"))
 
 
 def alike_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (a, b) between the text hashes of nodes (node, fp, s0, s1) whose texts in docs are alike: enough to join what the search finds."""
     keyed = nodes.select("node", "fp", "s0", "s1", _keys(wide_masks(nodes.count()), 0).alias("key")).select("node", "fp", "s0", "s1", "key.*")
     dealt = keyed.repartition("k", "part").sortWithinPartitions("k", "part")
-    pairs = stored(dealt.mapInArrow(_candidates, "a long, b long, same long").distinct())
+    pairs = stored(dealt.mapInArrow(giving_back(_candidates), "a long, b long, same long").distinct())
     # first the best pair of each text with a lower one, then whatever those haven't joined
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", F.negative("a"))).alias("a"))
     links = checked(best, docs)
@@ -408,7 +409,7 @@ def alike_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def alike_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and stays (one document of each component of texts that are alike) of every row."""
-    rows = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_signed_texts, _signed_schema(docs)))
+    rows = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(giving_back(_signed_texts), _signed_schema(docs)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     nodes = stored(rows.groupBy(F.col("text_hash").alias("node"), "fp", "s0", "s1").agg(first.alias("first")))
     comp = components(alike_links(nodes.drop("first"), docs))

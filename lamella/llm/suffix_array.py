@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamella.llm.common import giving_back
 from lamella.tables import drop, read, settle, stored
 
 SPAN = 200
@@ -178,7 +179,7 @@ def _splitters(state: DataFrame, level: int, ranges: int) -> list[tuple[int, ...
 
     if ranges < 2:
         return []
-    keys = state.mapInArrow(some, "key array<long>").orderBy(F.xxhash64("key")).limit(SAMPLES).toArrow().column("key").to_pylist()
+    keys = state.mapInArrow(giving_back(some), "key array<long>").orderBy(F.xxhash64("key")).limit(SAMPLES).toArrow().column("key").to_pylist()
     keys = sorted(tuple(x & 0xFFFFFFFFFFFFFFFF for x in k) for k in keys)
     return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
 
@@ -267,8 +268,8 @@ def _returned(level: int, before: dict[int, int], width: int):
 
 def sort_round(state: DataFrame, level: int, ranges: int) -> DataFrame:
     """A round of the sort over all blocks: what _returned gives for each."""
-    keys = state.mapInArrow(_dealt(level, _splitters(state, level, ranges)), "part int, block long, n int, width int, keys binary, more binary")
-    named = stored(keys.repartition(ranges, "part").sortWithinPartitions("part", "block").mapInArrow(_numbered, "block long, part int, n int, names binary, again binary, most long"))
+    keys = state.mapInArrow(giving_back(_dealt(level, _splitters(state, level, ranges))), "part int, block long, n int, width int, keys binary, more binary")
+    named = stored(keys.repartition(ranges, "part").sortWithinPartitions("part", "block").mapInArrow(giving_back(_numbered), "block long, part int, n int, names binary, again binary, most long"))
     sizes = named.groupBy("part").agg(F.first("most").alias("most")).orderBy("part").collect()  # a row for each range
     before, total = {}, 0
     for x in sizes:
@@ -279,7 +280,7 @@ def sort_round(state: DataFrame, level: int, ranges: int) -> DataFrame:
     blocks = state.select("block", F.lit(-1).alias("part"), none.cast("int").alias("n"), none.cast("binary").alias("own"), none.cast("binary").alias("again"), "text", "at", "nw", "names", "width")
     answers = named.select("block", "part", "n", F.col("names").alias("own"), "again", *[none.cast(t).alias(c) for c, t in (("text", "binary"), ("at", "binary"), ("nw", "binary"), ("names", "binary"), ("width", "int"))])
     both = blocks.unionByName(answers).repartition("block").sortWithinPartitions("block", "part")
-    out = stored(both.mapInArrow(_returned(level, before, 4 if total < 1 << 32 else 8), "block long, s int, e int" if level == len(STEPS) else STATE))
+    out = stored(both.mapInArrow(giving_back(_returned(level, before, 4 if total < 1 << 32 else 8)), "block long, s int, e int" if level == len(STEPS) else STATE))
     drop(named)
     settle(out.sparkSession)
     return out
@@ -445,14 +446,14 @@ def _sorted_spans(blocks: DataFrame) -> DataFrame:
             if out:
                 yield _batch(out, schema)
 
-    return blocks.join(found, "block").mapInArrow(run, "did long, th long, s long, e long")
+    return blocks.join(found, "block").mapInArrow(giving_back(run), "did long, th long, s long, e long")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """did, th, spans: for each text (of doc_id did, null as the least long, and hash th) with repeated bytes, ranges [s, e) that cover them."""
     spark, texts = docs.sparkSession, _keyed(docs)
-    again = stored(texts.mapInArrow(_anchors, "akey long").groupBy("akey").agg(F.count("*").alias("c")).filter("c > 1").select("akey"))  # kept, so that a join with it can split a frequent anchor
-    places = stored(texts.mapInArrow(_places, "akey long, c0 long, c1 long, did long, th long, lo long, nw int").join(again, "akey", "left_semi"))
+    again = stored(texts.mapInArrow(giving_back(_anchors), "akey long").groupBy("akey").agg(F.count("*").alias("c")).filter("c > 1").select("akey"))  # kept, so that a join with it can split a frequent anchor
+    places = stored(texts.mapInArrow(giving_back(_places), "akey long, c0 long, c1 long, did long, th long, lo long, nw int").join(again, "akey", "left_semi"))
     settle(spark)
     contexts = stored(places.groupBy("akey", "c0", "c1").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "lo", "nw")).alias("at")))
     groups = contexts.groupBy("akey").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1 AND least = 1").select("akey")
@@ -463,7 +464,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     if not wanted.isEmpty():
         if not texts.groupBy("did", "th").count().filter("count > 1").isEmpty():
             texts = texts.dropDuplicates(["did", "th"])  # of equal rows, one is cut out of
-        blocks = stored(texts.join(wanted, ["did", "th"]).mapInArrow(_blocks, "text binary, at binary, nw binary, did binary, th binary, lo binary, once binary").withColumn("block", F.monotonically_increasing_id()))
+        blocks = stored(texts.join(wanted, ["did", "th"]).mapInArrow(giving_back(_blocks), "text binary, at binary, nw binary, did binary, th binary, lo binary, once binary").withColumn("block", F.monotonically_increasing_id()))
         settle(spark)
         spans = spans.unionByName(_sorted_spans(blocks))
     return spans.groupBy("did", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # a set: equal rows have equal spans

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamella.llm.common import giving_back
 from lamella.tables import read, stored
 
 MOST_ROWS = 12_000
@@ -151,7 +152,7 @@ def _found(rows: DataFrame, known: dict[str, int]) -> DataFrame:
             found = [look(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("grade"), pa.array(found, pa.list_(pa.int32()))], names=["row", "grade", "at"])
 
-    return rows.select(F.monotonically_increasing_id().alias("row"), "grade", "text").mapInArrow(places, "row long, grade int, at array<int>")
+    return rows.select(F.monotonically_increasing_id().alias("row"), "grade", "text").mapInArrow(giving_back(places), "row long, grade int, at array<int>")
 
 
 def _counts(rows: DataFrame, marks_: list[str]) -> DataFrame:
@@ -169,7 +170,7 @@ def _counts(rows: DataFrame, marks_: list[str]) -> DataFrame:
         at = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(a[at]), pa.array(n[at])], names=["at", "a", "n"])
 
-    return rows.select("grade", "text").mapInArrow(count, "at long, a long, n long").groupBy("at").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    return rows.select("grade", "text").mapInArrow(giving_back(count), "at long, a long, n long").groupBy("at").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, grade: Column | None = None) -> DataFrame:
@@ -191,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, grade:
     bad, good = sum(n for g, n in total.items() if g), total.get(0, 0)
     if not bad or not good:
         return Model({}, np.zeros(0), np.zeros(0))
-    seen = sample.filter("grade > 0").select("text").mapInArrow(_marked, "mark string").groupBy("mark").agg(F.count("*").alias("a"))
+    seen = sample.filter("grade > 0").select("text").mapInArrow(giving_back(_marked), "mark string").groupBy("mark").agg(F.count("*").alias("a"))
     seen = seen.filter(F.col("a") >= LEAST_BAD).orderBy(F.col("a").desc(), "mark").limit(MOST_CANDIDATES)
     candidates = seen.select("mark").toArrow().column("mark").to_pylist()
     counted = _counts(sample, candidates)
@@ -225,6 +226,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf(T.StructType([T.StructField("p_toxic", T.DoubleType()), T.StructField("severity", T.DoubleType()), T.StructField("toxic", T.BooleanType())]))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from giving_back(chances_of)(batches)
+
+    def chances_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         fitted = Model(*held.value)
         look = Lookup(fitted.features)
         for text in batches:
