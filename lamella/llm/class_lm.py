@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lamella.llm.common import giving_back
 from lamella.tables import drop, read, settle, stored
 
 FREQUENT = 200_000
@@ -86,7 +87,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary; the end is empty) and c, of all texts of docs."""
-    return docs.select("text").mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(giving_back(_counted), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -130,7 +131,14 @@ def tokenised(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "training", "text")
-    return stored(rows.mapInArrow(run, "row long, doc_id long, training boolean, places binary, rare array<binary>"))
+    return stored(rows.mapInArrow(giving_back(run), "row long, doc_id long, training boolean, places binary, rare array<binary>"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of some hundred texts, so that what is worked out for a part stays small."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            yield whole.slice(at, 512)
 
 
 def _flat(batch: pa.RecordBatch, column: str = "places", kind: type = np.int32) -> np.ndarray:
@@ -151,7 +159,7 @@ def bigrams(tokens: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             cls = held.value[_flat(batch)]
             before = np.roll(cls, 1)  # ends stand behind each other's texts
             both = (cls >= 0) & (before >= 0)
@@ -159,7 +167,7 @@ def bigrams(tokens: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    return _summed(tokens.select("places").mapInArrow(run, "cell long, n long"), size)
+    return _summed(tokens.select("places").mapInArrow(giving_back(run), "cell long, n long"), size)
 
 
 def exchange(pairs: np.ndarray, classes: int, rounds: int = SEED_ROUNDS) -> np.ndarray:
@@ -290,7 +298,7 @@ def exchanged(tokens: DataFrame, of: np.ndarray, grid: np.ndarray) -> np.ndarray
                 out = [(k, pa.compress(np.diff(codes[a:b], prepend=0), "zstd", asbytes=True), n[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in _slices(batches):
             flat = _flat(batch).astype(np.int64)
             cls = cls_of[flat]
             for side, near in ((0, np.roll(cls, 1)), (1, np.roll(cls, -1))):
@@ -325,8 +333,8 @@ def exchanged(tokens: DataFrame, of: np.ndarray, grid: np.ndarray) -> np.ndarray
                 kept.append((np.cumsum(np.frombuffer(pa.decompress(codes, len(count) * 8, "zstd", asbytes=True), np.int64)), count))
         yield from settled()
 
-    rows = tokens.select("places").mapInArrow(gather, "part int, codes binary, n binary")
-    found = rows.repartition(RANGES, "part").sortWithinPartitions("part").mapInArrow(decide, "place long, class long").toArrow()  # FREQUENT rows at most
+    rows = tokens.select("places").mapInArrow(giving_back(gather), "part int, codes binary, n binary")
+    found = rows.repartition(RANGES, "part").sortWithinPartitions("part").mapInArrow(giving_back(decide), "place long, class long").toArrow()  # FREQUENT rows at most
     out = of.copy()
     out[found.column("place").to_numpy()] = found.column("class").to_numpy()
     settle(spark)
@@ -340,7 +348,7 @@ def rare_classes(tokens: DataFrame, of: np.ndarray, grid: np.ndarray) -> DataFra
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls_of = held.value[0]
-        for batch in batches:
+        for batch in _slices(batches):
             flat = _flat(batch)
             cls, at = cls_of[flat], np.nonzero(flat < 0)[0]
             if len(at):
@@ -362,9 +370,9 @@ def rare_classes(tokens: DataFrame, of: np.ndarray, grid: np.ndarray) -> DataFra
             endings = [ending(w) for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(lens, pa.int64()), pa.array(endings, pa.int32()), pa.array(best)], names=["word", "c", "ending", "class"])
 
-    rows = tokens.select("places", "rare").mapInArrow(gather, "word binary, beside long")
+    rows = tokens.select("places", "rare").mapInArrow(giving_back(gather), "word binary, beside long")
     words_ = rows.groupBy("word").agg(F.collect_list("beside").alias("beside"))  # fewer than the lexicon's rarest word has
-    return stored(words_.mapInArrow(decide, "word binary, c long, ending int, class long"))
+    return stored(words_.mapInArrow(giving_back(decide), "word binary, c long, ending int, class long"))
 
 
 @dataclass
@@ -418,19 +426,19 @@ def lines_of(tokens: DataFrame, rare: DataFrame, lexicon: Lexicon, of: np.ndarra
                 columns = [batch.column("doc_id"), batch.column("training"), pa.array(lens, pa.int64()), pa.array(np.add.reduceat(known, starts)), pa.array(np.add.reduceat(log, starts)), pa.array(classes, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "training", "n_tokens", "known", "logs", "classes"])
 
-    return stored(tokens.join(found, "row", "left").select("doc_id", "training", "places", "found").mapInArrow(run, LINES))
+    return stored(tokens.join(found, "row", "left").select("doc_id", "training", "places", "found").mapInArrow(giving_back(run), LINES))
 
 
 def _class_pairs(lines: DataFrame, of_end: int, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             flat = _flat(batch, "classes", np.uint16).astype(np.int64)
             total += np.bincount(np.concatenate([[of_end], flat[:-1]]) * size + flat, minlength=size * size)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    return _summed(lines.select("classes").mapInArrow(run, "cell long, n long"), size)
+    return _summed(lines.select("classes").mapInArrow(giving_back(run), "cell long, n long"), size)
 
 
 def train(docs: DataFrame, training: Column | None = None) -> tuple[Model, DataFrame, DataFrame]:
@@ -490,7 +498,7 @@ def scored(lines: DataFrame, model: Model) -> DataFrame:
                 path.append(float(steps[np.concatenate([[end], cls[:-1]]), cls].sum() - norms[cls].sum()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "n_tokens", "known", "logs")], pa.array(path, pa.float64())], names=["doc_id", "n_tokens", "known", "logs", "path"])
 
-    rows = lines.mapInArrow(score, "doc_id long, n_tokens long, known long, logs double, path double")
+    rows = lines.mapInArrow(giving_back(score), "doc_id long, n_tokens long, known long, logs double, path double")
     every = float(np.log10(model.tokens + model.types + 1))
     return rows.select("doc_id", "n_tokens", F.col("known").alias("n_known"), (F.col("logs") - F.col("n_tokens") * every).alias("base_score"), (F.col("logs") + F.col("path")).alias("score"))
 
