@@ -100,9 +100,21 @@ def keys_of(text: np.ndarray, window: np.ndarray, names: np.ndarray, level: int)
     return [np.concatenate(columns)], np.concatenate([zero, one, two])
 
 
+def _sorted(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of the keys: by the first column, which settles most, and by the others only where it ties."""
+    order = np.argsort(columns[0])
+    if len(columns) > 1 and len(order):
+        first = columns[0][order]
+        new = np.concatenate([[True], first[1:] != first[:-1]])
+        tied = np.nonzero(~(new & np.append(new[1:], True)))[0]
+        at, group = order[tied], np.cumsum(new)[tied]
+        order[tied] = at[np.lexsort([*[c[at] for c in columns[:0:-1]], group])]
+    return order
+
+
 def in_order(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The different keys in order, the place among them of each key, and how many have it."""
-    order = np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
+    order = _sorted(columns)
     columns = [c[order] for c in columns]
     new = np.ones(len(order), bool)
     if len(order):
