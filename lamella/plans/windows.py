@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lamella.functions.text import fuzzy_score, half_up, natural_key
 from lamella.operators import ordered as O
-from lamella.operators.joins import band_join
 from lamella.operators.aggregates import exact
+from lamella.operators.matching import nearest_band
 from lamella.tables import read
 
 QUERIES: dict = {}
@@ -239,7 +239,7 @@ SELECT s_suppkey, c_custkey, CAST(row_number() OVER (PARTITION BY s_suppkey ORDE
 def hit_rank(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     c = read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    hits = band_join(s, c, ("s_nationkey", "c_nationkey"), "s_acctbal", "c_acctbal", 2000.0)
+    hits = nearest_band(s, c, ("s_nationkey", "c_nationkey"), "s_acctbal", "c_acctbal", ("s_suppkey", "c_custkey"), 2000.0, 3)
     order = Window.partitionBy("s_suppkey").orderBy("distance", "c_acctbal", "c_custkey")
     return hits.select("s_suppkey", "c_custkey", F.row_number().over(order).alias("place")).filter("place <= 3")
 

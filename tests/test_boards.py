@@ -272,3 +272,17 @@ def test_guarded_band_is_guarded_nearest(spark, step):
     got = matching.guarded_band(a, b, ("ga", "g"), "x", "y", ("l", "r"), 9.0)
     assert want and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
     assert "Join" not in _plan(got)
+
+
+@pytest.mark.parametrize("step", [1.0, 0.37, 1e-17])
+def test_nearest_band_has_the_nearest(spark, step):
+    """As all pairs do, with ties, copies, missing values and values that rounding makes tie, and without a join."""
+    rng = np.random.default_rng(7)
+    side = lambda n: [(int(g), i, float(rng.integers(60)) * step) for g in range(4) for i in range(n * g)] + [(None, 1, 2.0), (1, 50, None), (1, 51, math.nan)]
+    a = spark.createDataFrame([*side(4), (3, 90, 1.0)], "ga int, l long, x double")
+    b = spark.createDataFrame(side(12), "g int, r long, y double")
+    first = lambda df: sorted((r.l, r.r, r.y, r.distance) for r in df.withColumn("n", F.expr("row_number() over (partition by ga_l order by distance, y, r)")).filter("n <= 3").collect())
+    want = first(joins.band_join(a.filter("x < 1e9"), b.filter("y < 1e9"), ("ga", "g"), "x", "y", 9.0).withColumn("ga_l", F.struct("l")))
+    got = matching.nearest_band(a, b, ("ga", "g"), "x", "y", ("l", "r"), 9.0, 3)
+    assert want and first(got.withColumn("ga_l", F.struct("l"))) == want
+    assert "Join" not in _plan(got)
