@@ -23,7 +23,8 @@ each group; what shares one is searched by the same index up to WIDE bits. Pairs
 (a byte each of SKETCH minima of the shingles' hashes) agree in fewer than LEAST places are left
 out; the others are candidates, and each is linked only if its texts' shingles reach the similarity.
 The recall of the search is given in the README. Where a group has many candidates, those of a
-spanning forest of the best sketches are taken, so that n copies of a text don't give n^2 rows.
+spanning forest of the best sketches are checked first, so that n copies of a text don't give n^2 rows;
+such a group is then searched again, and every candidate is checked whose texts that hasn't joined.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ BATCH, STEP = 1 << 16, 1 << 10
 WORDS, ALIKE, WIDE = 5, (4, 5), 18
 SKETCH, LEAST = 16, 7
 ROUNDS, BITS = 8, 10
+#: Candidates of each text that are checked before all others, where a group was thinned.
+SOME = 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -314,59 +317,95 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.nda
     return np.concatenate(picked) if picked else np.zeros(0, np.int64)
 
 
-def _near(node: np.ndarray, codes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates (a, b, places in which sketches agree) of a group: all if they are few, a forest of them otherwise."""
-    order = np.lexsort((node, gray_rank(codes)))
-    node, codes, sketch = node[order], codes[order], sketch[order]
+def _searched(codes: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates (a, b by place, places in which sketches agree) among codes in Gray order, in steps."""
     levels = build(codes)
-    a = b = same = np.zeros(0, np.int64)
     for at in range(0, len(codes), STEP):
         x, y = search(levels, codes[at : at + STEP], WIDE)
         x = x + at
         x, y = x[x < y], y[x < y]
         equal = sum((sketch[x, i] == sketch[y, i]).astype(np.int64) for i in range(SKETCH))
         near = equal >= LEAST
-        a, b, same = np.concatenate([a, x[near]]), np.concatenate([b, y[near]]), np.concatenate([same, equal[near]])
+        yield x[near], y[near], equal[near]
+
+
+def _near(key: tuple[int, int], rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Candidates (a, b, places in which sketches agree) of a group: all if they are few; a forest of them, and the group's key with -1, otherwise."""
+    node, codes, sketch = _placed(rows)
+    a = b = same = np.zeros(0, np.int64)
+    thinned = False
+    for x, y, equal in _searched(codes, sketch):
+        a, b, same = np.concatenate([a, x]), np.concatenate([b, y]), np.concatenate([same, equal])
         if len(a) > 2 * len(codes):
             keep = spanning(len(codes), a, b, same)
             a, b, same = a[keep], b[keep], same[keep]
+            thinned = True
     a, b = node[a], node[b]
-    return np.minimum(a, b), np.maximum(a, b), same
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, part, node, fp, s0, s1), sorted by k and part."""
-    kept: list[np.ndarray] = []
-    last, out = None, []
-
-    def group() -> None:
-        rows = kept[0] if len(kept) == 1 else np.concatenate(kept, axis=1)
-        if rows.shape[1] > 1:
-            sketch = np.ascontiguousarray(rows[2:].T).view(np.uint8)
-            found = _near(rows[0], rows[1].view(np.uint64), sketch)
-            if len(found[0]):
-                out.append(found)
-        kept.clear()
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "same"])
-        out.clear()
-
-    for batch in batches:
-        k, part = batch.column("k").to_numpy(), batch.column("part").to_numpy()
-        values = np.stack([batch.column(c).to_numpy() for c in ("node", "fp", "s0", "s1")])
-        cuts = np.concatenate([[0], np.nonzero((k[1:] != k[:-1]) | (part[1:] != part[:-1]))[0] + 1, [len(k)]])
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            key = (int(k[lo]), int(part[lo]))
-            if kept and key != last:
-                group()
-            last = key
-            kept.append(values[:, lo:hi])
+    yield np.minimum(a, b), np.maximum(a, b), same
+    if thinned:
+        yield tuple(np.array([x], np.int64) for x in (*key, -1))
+
+
+def _apart(masks: list[int]):
+    """For groups that were thinned: all candidates (a, b) of different components (the last column), each in the first group it shares."""
+
+    def run(key: tuple[int, int], rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        node, codes, sketch, comp = _placed(rows)
+        for x, y, _ in _searched(codes, sketch):
+            x, y = x[comp[x] != comp[y]], y[comp[x] != comp[y]]
+            differ = codes[x] ^ codes[y]
+            for mask in masks[: key[0]]:
+                new = differ & np.uint64(mask) != 0
+                x, y, differ = x[new], y[new], differ[new]
+            yield np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+
+    return run
+
+
+def _placed(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Node, code, sketch and what else rows (node, fp, s0, s1, ...) have, in Gray order."""
+    rows = rows[:, np.lexsort((rows[0], gray_rank(rows[1].view(np.uint64))))]
+    return rows[0], rows[1].view(np.uint64), np.ascontiguousarray(rows[2:4].T).view(np.uint8), *rows[4:]
+
+
+def _groups(find, columns: list[str], names: list[str]):
+    """Rows (k, part, columns), sorted by k and part, to what find gives for the key and the columns of each group of several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        last, out = None, []
+
+        def group() -> Iterator[pa.RecordBatch]:
+            rows = kept[0] if len(kept) == 1 else np.concatenate(kept, axis=1)
+            if rows.shape[1] > 1:
+                for found in find(last, np.ascontiguousarray(rows)):
+                    if len(found[0]):
+                        out.append(found)
+                    if sum(len(x[0]) for x in out) > BATCH:
+                        yield from flush()
+            kept.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=names)
+            out.clear()
+
+        for batch in batches:
+            k, part = batch.column("k").to_numpy(), batch.column("part").to_numpy()
+            values = np.stack([batch.column(c).to_numpy() for c in columns])
+            cuts = np.concatenate([[0], np.nonzero((k[1:] != k[:-1]) | (part[1:] != part[:-1]))[0] + 1, [len(k)]])
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                key = (int(k[lo]), int(part[lo]))
+                if kept and key != last:
+                    yield from group()
+                last = key
+                kept.append(values[:, lo:hi])
+            yield from flush()
+        if kept:
+            yield from group()
         yield from flush()
-    if kept:
-        group()
-    yield from flush()
+
+    return run
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,19 +433,36 @@ def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def alike_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (a, b) between the text hashes of nodes (node, fp, s0, s1) whose texts in docs are alike: enough to join what the search finds."""
-    keyed = nodes.select("node", "fp", "s0", "s1", _keys(wide_masks(nodes.count()), 0).alias("key")).select("node", "fp", "s0", "s1", "key.*")
+    masks, columns = wide_masks(nodes.count()), ["node", "fp", "s0", "s1"]
+    keyed = nodes.select(*columns, _keys(masks, 0).alias("key")).select(*columns, "key.*")
     dealt = keyed.repartition("k", "part").sortWithinPartitions("k", "part")
-    pairs = stored(dealt.mapInArrow(giving_back(_candidates), "a long, b long, same long").distinct())
+    found = stored(dealt.mapInArrow(giving_back(_groups(_near, columns, ["a", "b", "same"])), "a long, b long, same long").distinct())
+    pairs, thinned = found.filter("same >= 0"), found.filter("same < 0").select(F.col("a").cast("int").alias("k"), F.col("b").alias("part"))
     # first the best pair of each text with a lower one, then whatever those haven't joined
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", F.negative("a"))).alias("a"))
     links = checked(best, docs)
+    rest = _unjoined(pairs.join(best, ["a", "b"], "left_anti"), stored(components(links)))
+    links = links.unionByName(checked(rest, docs))
+    if thinned.isEmpty():
+        return links
     comp = stored(components(links))
-    side = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    again = keyed.join(thinned, ["k", "part"], "left_semi").join(comp, "node", "left").select(*columns, F.coalesce("component", "node").alias("comp"), "k", "part")
+    again = again.repartition("k", "part").sortWithinPartitions("k", "part")
+    apart = stored(again.mapInArrow(giving_back(_groups(_apart(masks), [*columns, "comp"], ["a", "b"])), "a long, b long").join(pairs, ["a", "b"], "left_anti"))
+    # some of each text first, as what they join needs no more; then all others
+    some = apart.withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))).filter(F.col("n") <= SOME).select("a", "b")
+    links = links.unionByName(checked(some, docs))
+    rest = _unjoined(apart.join(some, ["a", "b"], "left_anti"), stored(components(links)))
     return links.unionByName(checked(rest, docs))
 
 
+def _unjoined(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that are of different components (node, component)."""
+    side = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    rows = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return rows.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+
+
 def alike_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and stays (one document of each component of texts that are alike) of every row."""
     rows = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(giving_back(_signed_texts), _signed_schema(docs)))

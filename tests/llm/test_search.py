@@ -227,3 +227,15 @@ def test_topk_of_repeated_rows(spark, folder):
 def test_scores_in_order_of_their_bytes():
     values = sorted({s * (1 << e) + d for e in (0, 1, 7, 8, 62, 63, 64, 200, 900) for s in (-1, 1) for d in (-1, 0, 1)})
     assert sorted(values, key=topk.ordered_bytes) == values
+
+
+def test_links_that_a_forest_of_candidates_leaves_out(spark):
+    """All texts share every group, and the sketches that agree most are of texts that aren't alike: what the forest drops is still checked."""
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    texts = [(2 * i + k, words(i, 100 + k)) for i in range(12) for k in range(2)]  # each even one is alike to the next
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    first, other = (int(np.array(x, np.uint8).view("<i8")[0]) for x in ([1] * 8, [2] * 8))
+    nodes = docs.selectExpr("xxhash64(text) AS node", "0L AS fp", f"CAST({first} AS LONG) AS s0", f"CASE WHEN doc_id % 2 = 0 THEN {first} ELSE {other} END AS s1")
+    got = {(r.a, r.b) for r in simhash.alike_links(nodes, docs).collect()}
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(text) AS h").collect()}
+    assert got == {tuple(sorted((hashes[2 * i], hashes[2 * i + 1]))) for i in range(12)}
