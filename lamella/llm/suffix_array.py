@@ -48,6 +48,9 @@ SPAN = 200
 GRAM = 64
 #: Bytes hashed at once, bytes of a block, and keys of a range.
 PIECE, BLOCK, RANGE = 1 << 18, 1 << 19, 1 << 18
+#: Ranges up to which blocks and ranges have those sizes, and how often as large they are at most beyond: a block deals to every range,
+#: so the rows dealt are as many as blocks times ranges.
+RANGES, LARGER = 1 << 10, 4
 #: Keys that splitters are chosen from: of each block, and of all. They decide about balance only.
 SAMPLE, SAMPLES = 256, 1 << 14
 BASE = 0x9E3779B97F4A7C15
@@ -127,14 +130,17 @@ def in_order(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, n
 
 def cuts_at(columns: list[np.ndarray], splitters: list[tuple[int, ...]]) -> np.ndarray:
     """Where in keys in order each splitter's range begins."""
-    out = []
-    for splitter in splitters:
-        lo, hi = 0, len(columns[0])
-        for column, value in zip(columns, splitter, strict=True):
+    if not splitters:
+        return np.zeros(0, np.int64)
+    values = np.array(splitters, np.uint64)
+    los, his = (np.searchsorted(columns[0], values[:, 0], side) for side in ("left", "right"))
+    for i in np.nonzero(his > los)[0] if len(columns) > 1 else []:  # keys that tie with the splitter's first column
+        lo, hi = int(los[i]), int(his[i])
+        for column, value in zip(columns[1:], values[i, 1:], strict=True):
             part = column[lo:hi]
-            lo, hi = lo + int(np.searchsorted(part, np.uint64(value), "left")), lo + int(np.searchsorted(part, np.uint64(value), "right"))
-        out.append(lo)
-    return np.array(out, np.int64)
+            lo, hi = lo + int(np.searchsorted(part, value, "left")), lo + int(np.searchsorted(part, value, "right"))
+        los[i] = lo
+    return los
 
 
 def packed(columns: list[np.ndarray]) -> bytes:
@@ -298,11 +304,16 @@ def sort_round(state: DataFrame, level: int, ranges: int) -> DataFrame:
     return out
 
 
+def larger(size: int) -> int:
+    """How often as large blocks and ranges are for so many bytes."""
+    return min(LARGER, max(1, size // (RANGE * RANGES)))
+
+
 def repeated_windows(blocks: DataFrame) -> DataFrame:
     """block, s, e: ranges of positions of windows that start elsewhere too, for blocks (block, text, at, nw: see STATE)."""
     state = blocks.select("block", "text", "at", "nw", F.lit(b"").alias("names"), F.lit(8).alias("width"))
     size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-size // RANGE))
+    ranges = max(1, -(-size // (RANGE * larger(size))))
     for level in range(len(STEPS) + 1):
         found = sort_round(state, level, ranges)
         if level:
@@ -402,33 +413,37 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BLOCKS = pa.schema([("text", pa.binary()), ("at", pa.binary()), ("nw", pa.binary()), ("did", pa.binary()), ("th", pa.binary()), ("lo", pa.binary()), ("once", pa.binary())])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (did, th, text, wanted: contexts of the text) to blocks of the bytes of these contexts, neighbours as one run."""
-    parts: list[bytes] = []
-    meta: list[tuple] = []
-    size = 0
+def _blocks(most: int):
+    """Rows (did, th, text, wanted: contexts of the text) to blocks of about `most` bytes of these contexts, neighbours as one run."""
 
-    def flush() -> pa.RecordBatch:
-        at, nw, did, th, lo, once = (np.array(x) for x in zip(*meta, strict=True))
-        data = [b"".join(parts), at.astype(np.int32).tobytes(), nw.astype(np.int32).tobytes(), did.tobytes(), th.tobytes(), lo.tobytes(), once.astype(np.uint8).tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in data], schema=BLOCKS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[bytes] = []
+        meta: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            at, nw, did, th, lo, once = (np.array(x) for x in zip(*meta, strict=True))
+            data = [b"".join(parts), at.astype(np.int32).tobytes(), nw.astype(np.int32).tobytes(), did.tobytes(), th.tobytes(), lo.tobytes(), once.astype(np.uint8).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in data], schema=BLOCKS)
+
+        for batch in batches:
+            for did, th, text, wanted in zip(batch.column("did").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
+                data = text.as_py().encode()
+                done = 0  # up to where the block has this text
+                for lo, nw, once in sorted((x["lo"], x["nw"], x["once"]) for x in wanted.as_py()):
+                    end = lo + nw + SPAN - 1
+                    if size >= most:
+                        yield flush()
+                        parts, meta, size, done = [], [], 0, 0
+                    start = max(lo, done) if done >= lo else lo
+                    parts.append(data[start:end])
+                    size += end - start
+                    done = end
+                    meta.append((size - (end - lo), nw, did, th, lo, once))
+        if meta:
+            yield flush()
 
-    for batch in batches:
-        for did, th, text, wanted in zip(batch.column("did").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
-            data = text.as_py().encode()
-            done = 0  # up to where the block has this text
-            for lo, nw, once in sorted((x["lo"], x["nw"], x["once"]) for x in wanted.as_py()):
-                end = lo + nw + SPAN - 1
-                if size >= BLOCK:
-                    yield flush()
-                    parts, meta, size, done = [], [], 0, 0
-                start = max(lo, done) if done >= lo else lo
-                parts.append(data[start:end])
-                size += end - start
-                done = end
-                meta.append((size - (end - lo), nw, did, th, lo, once))
-    if meta:
-        yield flush()
+    return run
 
 
 # -- the operator -----------------------------------------------------------------------------------------------------
@@ -476,7 +491,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     if not wanted.isEmpty():
         if not texts.groupBy("did", "th").count().filter("count > 1").isEmpty():
             texts = texts.dropDuplicates(["did", "th"])  # of equal rows, one is cut out of
-        blocks = stored(texts.join(wanted, ["did", "th"]).mapInArrow(giving_back(_blocks), "text binary, at binary, nw binary, did binary, th binary, lo binary, once binary").withColumn("block", F.monotonically_increasing_id()))
+        size = wanted.agg(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda n, x: n + x["nw"] + SPAN - 1))).first()[0]  # at most
+        blocks = stored(texts.join(wanted, ["did", "th"]).mapInArrow(giving_back(_blocks(BLOCK * larger(size))), "text binary, at binary, nw binary, did binary, th binary, lo binary, once binary").withColumn("block", F.monotonically_increasing_id()))
         settle(spark)
         spans = spans.unionByName(_sorted_spans(blocks))
     return spans.groupBy("did", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # a set: equal rows have equal spans

@@ -239,3 +239,20 @@ def test_links_that_a_forest_of_candidates_leaves_out(spark):
     got = {(r.a, r.b) for r in simhash.alike_links(nodes, docs).collect()}
     hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(text) AS h").collect()}
     assert got == {tuple(sorted((hashes[2 * i], hashes[2 * i + 1]))) for i in range(12)}
+
+
+def test_blocks_and_ranges_grow_with_the_input():
+    """A block deals to each range: at 6 GB (12 times the 96 MB that are sorted of 0.51 GB) under a million rows a round, not ten."""
+    rows = lambda size: (size // (suffix_array.BLOCK * suffix_array.larger(size))) * (size // (suffix_array.RANGE * suffix_array.larger(size)))
+    assert suffix_array.larger(0) == suffix_array.larger(96 << 20) == 1
+    assert rows(12 * (96 << 20)) < 1_000_000
+
+
+def test_cuts_of_many_splitters():
+    rng = np.random.default_rng(3)
+    for width in (1, 2, 3):
+        keys = sorted({tuple(map(int, k)) for k in rng.integers(0, 6, (80, width), dtype=np.uint64) + np.uint64(1 << 63)})
+        splitters = sorted({tuple(map(int, k)) for k in rng.integers(0, 7, (40, width), dtype=np.uint64) + np.uint64(1 << 63)})
+        columns = [np.array(c, np.uint64) for c in zip(*keys)]
+        assert suffix_array.cuts_at(columns, splitters).tolist() == [sum(k < s for k in keys) for s in splitters]
+    assert suffix_array.cuts_at(columns, []).tolist() == []
