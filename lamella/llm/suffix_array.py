@@ -48,7 +48,7 @@ SPAN = 200
 GRAM = 64
 #: Bytes hashed at once, bytes of a block, and keys of a range.
 PIECE, BLOCK, RANGE = 1 << 18, 1 << 19, 1 << 18
-#: Ranges up to which blocks and ranges have those sizes, and how often as large they are at most beyond: a block deals to every range,
+#: Ranges up to which blocks and ranges have those sizes, and how often as large ranges are at most beyond (blocks twice): a block deals to every range,
 #: so the rows dealt are as many as blocks times ranges.
 RANGES, LARGER = 1 << 10, 4
 #: Keys that splitters are chosen from: of each block, and of all. They decide about balance only.
@@ -305,7 +305,7 @@ def sort_round(state: DataFrame, level: int, ranges: int) -> DataFrame:
 
 
 def larger(size: int) -> int:
-    """How often as large blocks and ranges are for so many bytes."""
+    """How often as large ranges are for so many bytes; blocks are twice as large at most, as they hold two keys a byte in the last round."""
     return min(LARGER, max(1, size // (RANGE * RANGES)))
 
 
@@ -492,7 +492,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         if not texts.groupBy("did", "th").count().filter("count > 1").isEmpty():
             texts = texts.dropDuplicates(["did", "th"])  # of equal rows, one is cut out of
         size = wanted.agg(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda n, x: n + x["nw"] + SPAN - 1))).first()[0]  # at most
-        blocks = stored(texts.join(wanted, ["did", "th"]).mapInArrow(giving_back(_blocks(BLOCK * larger(size))), "text binary, at binary, nw binary, did binary, th binary, lo binary, once binary").withColumn("block", F.monotonically_increasing_id()))
+        blocks = stored(texts.join(wanted, ["did", "th"]).mapInArrow(giving_back(_blocks(BLOCK * min(2, larger(size)))), "text binary, at binary, nw binary, did binary, th binary, lo binary, once binary").withColumn("block", F.monotonically_increasing_id()))
         settle(spark)
         spans = spans.unionByName(_sorted_spans(blocks))
     return spans.groupBy("did", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # a set: equal rows have equal spans
