@@ -25,6 +25,12 @@ out; the others are candidates, and each is linked only if its texts' shingles r
 The recall of the search is given in the README. Where a group has many candidates, those of a
 spanning forest of the best sketches are checked first, so that n copies of a text don't give n^2 rows;
 such a group is then searched again, and every candidate is checked whose texts that hasn't joined.
+
+A candidate becomes a row only if its texts can be alike at all. Each text has parities: bit i tells
+whether an odd number of its shingles has hash i modulo the bits. A shingle that one of two texts
+has alone flips one bit, so parities that differ in more bits than alike texts have such shingles
+prove that these aren't alike; nothing that is alike is lost. The first search has PARITY bits, in
+which long texts can't be told apart; the second has 4 to 8 bits a shingle.
 """
 
 from __future__ import annotations
@@ -56,6 +62,8 @@ SKETCH, LEAST = 16, 7
 ROUNDS, BITS = 8, 10
 #: Candidates of each text that are checked before all others, where a group was thinned.
 SOME = 16
+#: Bits of the parities that all texts have; bytes of parities that are compared at once.
+PARITY, COMPARED = 256, 1 << 24
 
 
 def fingerprint(text: str | None) -> int:
@@ -264,11 +272,26 @@ def alike(a: set[bytes], b: set[bytes]) -> bool:
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(text: str | None) -> tuple[int, int, int]:
-    """Fingerprint and the two halves of the sketch, over shingles of WORDS words."""
-    hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text)], dtype="<u8")
+def _hashes(text: str | None) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text)], dtype="<u8")
+
+
+def parities(different: np.ndarray, size: int) -> np.ndarray:
+    """Of different hashes, for each remainder modulo size (a power of two) whether an odd number has it: a bit each, in bytes."""
+    odd = np.bincount((different & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def may_be_alike(n: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Whether texts of n different shingles together can be alike, if at least `differ` of them are in one text only."""
+    return differ * (ALIKE[1] + ALIKE[0]) <= n * (ALIKE[1] - ALIKE[0])
+
+
+def signature(text: str | None) -> tuple[int, ...]:
+    """Over shingles of WORDS words: fingerprint, the two halves of the sketch, how many are different, and PARITY parities in four parts."""
+    hashes = _hashes(text)
     if not len(hashes):
-        return 0, 0, 0
+        return (0,) * 8
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -276,14 +299,29 @@ def signature(text: str | None) -> tuple[int, int, int]:
     code = int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little", signed=True)
     least = np.array([(hashes * x).min() for x in FACTORS])
     sketch = ((least ^ (least >> np.uint64(32))) & np.uint64(255)).astype(np.uint8).view("<i8")
-    return code, int(sketch[0]), int(sketch[1])
+    different = np.unique(hashes)
+    return code, int(sketch[0]), int(sketch[1]), len(different), *parities(different, PARITY).view("<i8").tolist()
+
+
+#: The columns of a signature.
+SIGNED = ["fp", "s0", "s1", "n", "o0", "o1", "o2", "o3"]
 
 
 def _signed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [signature(x.as_py()) for x in batch.column("text")]
-        columns = [pa.array([x[i] for x in found], pa.int64()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], names=["doc_id", "text_hash", "fp", "s0", "s1"])
+        columns = [pa.array([x[i] for x in found], pa.int64()) for i in range(len(SIGNED))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], names=["doc_id", "text_hash", *SIGNED])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text) to how many different shingles the text has, its PARITY parities, and 4 to 8 for each shingle (odd)."""
+    for batch in batches:
+        found = [np.unique(_hashes(x.as_py())) for x in batch.column("text")]
+        odd = [parities(x, max(PARITY, 1 << (4 * len(x) - 1).bit_length() if len(x) else 0)).tobytes() for x in found]
+        few = np.array([parities(x, PARITY).view("<i8") for x in found], np.int64).reshape(-1, 4)
+        columns = [pa.array([len(x) for x in found], pa.int64()), *[pa.array(few[:, i]) for i in range(4)], pa.array(odd, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], names=["node", *SIGNED[3:], "odd"])
 
 
 def wide_masks(n: int) -> list[int]:
@@ -317,8 +355,35 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.nda
     return np.concatenate(picked) if picked else np.zeros(0, np.int64)
 
 
-def _searched(codes: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Candidates (a, b by place, places in which sketches agree) among codes in Gray order, in steps."""
+class Parities:
+    """Of texts by place: how many different shingles each has (n), and its parities (bytes)."""
+
+    def __init__(self, n: np.ndarray, odd: list[bytes]):
+        self.n, self.size = n, np.array([len(x) for x in odd])
+        self.held = {}
+        for size in np.unique(self.size).tolist():  # longer ones are folded: their halves' exclusive or is what half as many bits are
+            at = np.nonzero(self.size >= size)[0]
+            place = np.zeros(len(odd), np.int64)
+            place[at] = np.arange(len(at))
+            folded = [np.bitwise_xor.reduce(np.frombuffer(odd[i], "<u8").reshape(-1, size // 8), axis=0) for i in at]
+            self.held[size] = place, np.array(folded)
+
+    def possible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of places can be alike."""
+        keep = np.zeros(len(x), bool)
+        least = np.minimum(self.size[x], self.size[y])
+        for size, (place, bits) in self.held.items():
+            all_at = np.nonzero(least == size)[0]
+            for lo in range(0, len(all_at), max(1, COMPARED // size)):
+                at = all_at[lo : lo + max(1, COMPARED // size)]
+                i, j = x[at], y[at]
+                differ = np.bitwise_count(bits[place[i]] ^ bits[place[j]]).sum(axis=1, dtype=np.int64)
+                keep[at] = may_be_alike(self.n[i] + self.n[j], differ)
+        return keep
+
+
+def _searched(codes: np.ndarray, sketch: np.ndarray, n: np.ndarray, odd: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates (a, b by place, places in which sketches agree) among codes in Gray order that PARITY parities (odd) let be alike, in steps."""
     levels = build(codes)
     for at in range(0, len(codes), STEP):
         x, y = search(levels, codes[at : at + STEP], WIDE)
@@ -326,15 +391,17 @@ def _searched(codes: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarra
         x, y = x[x < y], y[x < y]
         equal = sum((sketch[x, i] == sketch[y, i]).astype(np.int64) for i in range(SKETCH))
         near = equal >= LEAST
-        yield x[near], y[near], equal[near]
+        x, y, equal = x[near], y[near], equal[near]
+        can = may_be_alike(n[x] + n[y], sum(np.bitwise_count(part[x] ^ part[y]).astype(np.int64) for part in odd))
+        yield x[can], y[can], equal[can]
 
 
-def _near(key: tuple[int, int], rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _near(key: tuple[int, int], rows: np.ndarray, _: list) -> Iterator[tuple[np.ndarray, ...]]:
     """Candidates (a, b, places in which sketches agree) of a group: all if they are few; a forest of them, and the group's key with -1, otherwise."""
-    node, codes, sketch = _placed(rows)
+    (node, codes, sketch, n, odd), _ = _placed(rows)
     a = b = same = np.zeros(0, np.int64)
     thinned = False
-    for x, y, equal in _searched(codes, sketch):
+    for x, y, equal in _searched(codes, sketch, n, odd):
         a, b, same = np.concatenate([a, x]), np.concatenate([b, y]), np.concatenate([same, equal])
         if len(a) > 2 * len(codes):
             keep = spanning(len(codes), a, b, same)
@@ -347,43 +414,51 @@ def _near(key: tuple[int, int], rows: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def _apart(masks: list[int]):
-    """For groups that were thinned: all candidates (a, b) of different components (the last column), each in the first group it shares."""
+    """For groups that were thinned: all candidates (a, b) of different components (the last column) that can be alike, each in the first group it shares."""
 
-    def run(key: tuple[int, int], rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        node, codes, sketch, comp = _placed(rows)
-        for x, y, _ in _searched(codes, sketch):
+    def run(key: tuple[int, int], rows: np.ndarray, odd: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+        (node, codes, sketch, n, first), order = _placed(rows)
+        comp, all_odd = rows[-1][order], None
+        for x, y, _ in _searched(codes, sketch, n, first):
             x, y = x[comp[x] != comp[y]], y[comp[x] != comp[y]]
             differ = codes[x] ^ codes[y]
             for mask in masks[: key[0]]:
                 new = differ & np.uint64(mask) != 0
                 x, y, differ = x[new], y[new], differ[new]
+            if len(x):
+                all_odd = all_odd or Parities(n, [odd[i] for i in order])
+                can = all_odd.possible(x, y)
+                x, y = x[can], y[can]
             yield np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
     return run
 
 
-def _placed(rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Node, code, sketch and what else rows (node, fp, s0, s1, ...) have, in Gray order."""
-    rows = rows[:, np.lexsort((rows[0], gray_rank(rows[1].view(np.uint64))))]
-    return rows[0], rows[1].view(np.uint64), np.ascontiguousarray(rows[2:4].T).view(np.uint8), *rows[4:]
+def _placed(rows: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Node, code, sketch, number of shingles and PARITY parities of rows (node, SIGNED, ...) in Gray order, and this order."""
+    order = np.lexsort((rows[0], gray_rank(rows[1].view(np.uint64))))
+    rows = rows[:, order]
+    return (rows[0], rows[1].view(np.uint64), np.ascontiguousarray(rows[2:4].T).view(np.uint8), rows[4], rows[5:9].view(np.uint64)), order
 
 
-def _groups(find, columns: list[str], names: list[str]):
-    """Rows (k, part, columns), sorted by k and part, to what find gives for the key and the columns of each group of several."""
+def _groups(find, columns: list[str], names: list[str], binary: str | None = None):
+    """Rows (k, part, columns), sorted by k and part, to what find gives for the key, the columns and the binary column of each group of several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
+        more: list[bytes] = []
         last, out = None, []
 
         def group() -> Iterator[pa.RecordBatch]:
             rows = kept[0] if len(kept) == 1 else np.concatenate(kept, axis=1)
             if rows.shape[1] > 1:
-                for found in find(last, np.ascontiguousarray(rows)):
+                for found in find(last, np.ascontiguousarray(rows), more):
                     if len(found[0]):
                         out.append(found)
                     if sum(len(x[0]) for x in out) > BATCH:
                         yield from flush()
             kept.clear()
+            more.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if out:
@@ -400,6 +475,8 @@ def _groups(find, columns: list[str], names: list[str]):
                     yield from group()
                 last = key
                 kept.append(values[:, lo:hi])
+                if binary:
+                    more.extend(batch.column(binary).slice(lo, hi - lo).to_pylist())
             yield from flush()
         if kept:
             yield from group()
@@ -423,17 +500,28 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) of text hashes, those whose texts are alike."""
     pairs = stored(pairs.select("a", "b"))
-    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = docs.select(F.xxhash64("text").alias("hash"), "text").join(if_small(nodes), F.col("hash") == F.col("node"), "left_semi")
-    texts = stored(texts.groupBy("hash").agg(F.first("text").alias("text")))
-    both = pairs.join(texts.select(F.col("hash").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("hash").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    texts = stored(_texts(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), docs))
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     return stored(both.mapInArrow(giving_back(_checked), "a long, b long"))
 
 
+def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of the stored nodes (different text hashes)."""
+    texts = docs.select(F.xxhash64("text").alias("hash"), "text").join(if_small(nodes), F.col("hash") == F.col("node"), "left_semi")
+    return texts.groupBy(F.col("hash").alias("node")).agg(F.first("text").alias("text"))
+
+
+def _of_texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, n, PARITY parities and odd (see _counted) of the stored nodes."""
+    return _texts(nodes, docs).mapInArrow(giving_back(_counted), "node long, n long, o0 long, o1 long, o2 long, o3 long, odd binary")
+
+
 def alike_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges (a, b) between the text hashes of nodes (node, fp, s0, s1) whose texts in docs are alike: enough to join what the search finds."""
-    masks, columns = wide_masks(nodes.count()), ["node", "fp", "s0", "s1"]
+    """Edges (a, b) between the text hashes of nodes (node, SIGNED) whose texts in docs are alike: enough to join what the search finds."""
+    masks, columns = wide_masks(nodes.count()), ["node", *SIGNED]
+    if "n" not in nodes.columns:  # nor parities
+        nodes = stored(nodes.join(_of_texts(stored(nodes.select("node")), docs).drop("odd"), "node"))
     keyed = nodes.select(*columns, _keys(masks, 0).alias("key")).select(*columns, "key.*")
     dealt = keyed.repartition("k", "part").sortWithinPartitions("k", "part")
     found = stored(dealt.mapInArrow(giving_back(_groups(_near, columns, ["a", "b", "same"])), "a long, b long, same long").distinct())
@@ -446,9 +534,11 @@ def alike_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     if thinned.isEmpty():
         return links
     comp = stored(components(links))
-    again = keyed.join(thinned, ["k", "part"], "left_semi").join(comp, "node", "left").select(*columns, F.coalesce("component", "node").alias("comp"), "k", "part")
-    again = again.repartition("k", "part").sortWithinPartitions("k", "part")
-    apart = stored(again.mapInArrow(giving_back(_groups(_apart(masks), [*columns, "comp"], ["a", "b"])), "a long, b long").join(pairs, ["a", "b"], "left_anti"))
+    again = stored(keyed.join(thinned, ["k", "part"], "left_semi").join(comp, "node", "left").select(*columns, F.coalesce("component", "node").alias("comp"), "k", "part"))
+    odd = stored(_of_texts(stored(again.select("node").distinct()), docs)).select("node", "odd")
+    again = again.join(odd, "node").repartition("k", "part").sortWithinPartitions("k", "part")
+    find = _groups(_apart(masks), [*columns, "comp"], ["a", "b"], "odd")
+    apart = stored(again.mapInArrow(giving_back(find), "a long, b long").join(pairs, ["a", "b"], "left_anti"))
     # some of each text first, as what they join needs no more; then all others
     some = apart.withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))).filter(F.col("n") <= SOME).select("a", "b")
     links = links.unionByName(checked(some, docs))
@@ -467,7 +557,7 @@ def alike_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and stays (one document of each component of texts that are alike) of every row."""
     rows = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(giving_back(_signed_texts), _signed_schema(docs)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    nodes = stored(rows.groupBy(F.col("text_hash").alias("node"), "fp", "s0", "s1").agg(first.alias("first")))
+    nodes = stored(rows.groupBy(F.col("text_hash").alias("node"), *SIGNED).agg(first.alias("first")))
     comp = components(alike_links(nodes.drop("first"), docs))
     nodes = stored(nodes.join(comp, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")))
     least = nodes.groupBy("component").agg(F.min("first").alias("least"))
@@ -477,7 +567,7 @@ def alike_documents(docs: DataFrame) -> DataFrame:
 
 
 def _signed_schema(docs: DataFrame) -> T.StructType:
-    return T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("text_hash", "fp", "s0", "s1")]])
+    return T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("text_hash", *SIGNED)]])
 
 
 def dedup(docs: DataFrame) -> DataFrame:

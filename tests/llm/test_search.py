@@ -256,3 +256,35 @@ def test_cuts_of_many_splitters():
         columns = [np.array(c, np.uint64) for c in zip(*keys)]
         assert suffix_array.cuts_at(columns, splitters).tolist() == [sum(k < s for k in keys) for s in splitters]
     assert suffix_array.cuts_at(columns, []).tolist() == []
+
+
+@pytest.mark.parametrize("length", [30, 700])
+def test_texts_that_cannot_be_alike_give_no_rows(spark, monkeypatch, length):
+    """60 texts of one group whose sketches agree, but whose shingles don't, beside two that are alike: no row for each pair of them."""
+    words = lambda i, n: [f"w{i}x{j}" for j in range(n)]
+    common = words("c", length)
+    texts = [(i, " ".join(common + words(i, length))) for i in range(60)]
+    texts.append((60, texts[0][1] + " more"))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    same = int(np.array([1] * 8, np.uint8).view("<i8")[0])
+    nodes = docs.selectExpr("xxhash64(text) AS node", "0L AS fp", f"CAST({same} AS LONG) AS s0", f"CAST({same} AS LONG) AS s1")
+    pairs, check = [], simhash.checked
+    monkeypatch.setattr(simhash, "checked", lambda p, d: pairs.append(p.count()) or check(p, d))
+    got = {(r.a, r.b) for r in simhash.alike_links(nodes, docs).collect()}
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(text) AS h").collect()}
+    assert got == {tuple(sorted((hashes[0], hashes[60])))}
+    assert sum(pairs) <= 3 * len(texts)
+
+
+def test_parities_lose_nothing_that_is_alike():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        n, new = int(rng.integers(1, 400)), rng.integers(0, 40, 2)
+        pool = rng.integers(0, 1 << 63, n + int(new.sum()), dtype=np.uint64)
+        a, b = np.unique(pool[: n + new[0]]), np.unique(np.concatenate([pool[:n], pool[n + new[0] :]]))
+        odd = [simhash.parities(x, max(simhash.PARITY, 1 << (4 * len(x) - 1).bit_length())).tobytes() for x in (a, b)]
+        can = simhash.Parities(np.array([len(a), len(b)]), odd).possible(np.array([0]), np.array([1]))[0]
+        few = [simhash.parities(x, simhash.PARITY).view("<u8") for x in (a, b)]
+        can_few = simhash.may_be_alike(len(a) + len(b), np.bitwise_count(few[0] ^ few[1]).sum())
+        assert (can and can_few) or not simhash.alike(set(a.tolist()), set(b.tolist()))
+        assert not can or can_few
