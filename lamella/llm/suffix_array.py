@@ -79,22 +79,23 @@ def wanted_at(window: np.ndarray) -> list[np.ndarray]:
     return out[::-1]
 
 
-def keys_of(text: np.ndarray, window: np.ndarray, names: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The keys (columns, most significant first) that a block sorts in this round, and the positions they are of.
+def keys_of(text: np.ndarray, window: np.ndarray, names: np.ndarray, level: int, pick=lambda at: at) -> tuple[list[np.ndarray], np.ndarray]:
+    """The keys (columns, most significant first) that a block sorts in this round, and the positions they are of, or of those that pick takes.
     names: those of the round before, in order of its positions. In the last round each window has two keys."""
     at = wanted_at(window)
+    own = pick(at[level]) if level < len(STEPS) else None
     if level == 0:
         symbols = np.ndarray((len(text),), ">u8", np.concatenate([text, np.zeros(7, np.uint8)]).tobytes(), strides=(1,))
-        return [symbols[at[0] + k * STEPS[0]].astype(np.uint64) for k in range(3)], at[0]
+        return [symbols[own + k * STEPS[0]].astype(np.uint64) for k in range(3)], own
     named = np.zeros(len(text), np.uint64)
     named[at[level - 1]] = names
     if level < len(STEPS):
-        a, b, c = (named[at[level] + k * STEPS[level]] for k in range(3))
-        return ([a << np.uint64(32) | b, c] if names.dtype.itemsize == 4 else [a, b, c]), at[level]
+        a, b, c = (named[own + k * STEPS[level]] for k in range(3))
+        return ([a << np.uint64(32) | b, c] if names.dtype.itemsize == 4 else [a, b, c]), own
     x, u = np.nonzero(window)[0], np.uint64
     byte = text.astype(np.uint64)
     rest = x % 3
-    zero, one, two = x[rest != 0], x[rest != 2], x[rest != 1]
+    zero, one, two = (pick(x[rest != k]) for k in (0, 2, 1))
     columns = [
         named[zero] << u(16) | byte[zero + SPAN - 2] << u(8) | byte[zero + SPAN - 1],
         u(1) << u(62) | byte[one] << u(54) | named[one + 1] << u(8) | byte[one + SPAN - 1],
@@ -104,14 +105,26 @@ def keys_of(text: np.ndarray, window: np.ndarray, names: np.ndarray, level: int)
 
 
 def _sorted(columns: list[np.ndarray]) -> np.ndarray:
-    """The order of the keys: by the first column, which settles most, and by the others only where it ties."""
+    """The order of the keys: by the first column, which settles most, and by each other one only where those before it tie."""
     order = np.argsort(columns[0])
-    if len(columns) > 1 and len(order):
-        first = columns[0][order]
-        new = np.concatenate([[True], first[1:] != first[:-1]])
-        tied = np.nonzero(~(new & np.append(new[1:], True)))[0]
-        at, group = order[tied], np.cumsum(new)[tied]
-        order[tied] = at[np.lexsort([*[c[at] for c in columns[:0:-1]], group])]
+    if len(columns) == 1 or not len(order):
+        return order
+    first = columns[0][order]
+    tied, new = np.arange(len(order)), np.concatenate([[True], first[1:] != first[:-1]])
+    for column in columns[1:]:
+        keep = ~(new & np.append(new[1:], True))
+        tied, group = tied[keep], np.cumsum(new)[keep].astype(np.uint64)
+        if not len(tied):
+            break
+        at = order[tied]
+        by = np.argsort(column[at])  # ranks of the column, behind the number of the tie: one key, as sorting by several is much slower
+        values = column[at][by]
+        rank = np.empty(len(at), np.uint64)
+        rank[by] = np.cumsum(np.concatenate([[False], values[1:] != values[:-1]]))
+        both = group << np.uint64(32) | rank
+        by = np.argsort(both)
+        order[tied], both = at[by], both[by]
+        new = np.concatenate([[True], both[1:] != both[:-1]])
     return order
 
 
@@ -162,16 +175,14 @@ STATE = "block long, text binary, at binary, nw binary, names binary, width int"
 
 
 def _windows(at: np.ndarray, nw: np.ndarray, n: int) -> np.ndarray:
-    edges = np.zeros(n + 1, np.int32)
-    np.add.at(edges, at, 1)
-    np.add.at(edges, at + nw, -1)
+    edges = np.bincount(at, minlength=n + 1) - np.bincount(at + nw, minlength=n + 1)
     return np.cumsum(edges[:-1]) > 0
 
 
-def _block(row: dict, level: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _block(row: dict, level: int, *pick) -> tuple[list[np.ndarray], np.ndarray]:
     text = np.frombuffer(row["text"], np.uint8)
     window = _windows(np.frombuffer(row["at"], np.int32), np.frombuffer(row["nw"], np.int32), len(text))
-    return keys_of(text, window, np.frombuffer(row["names"], f"u{row['width']}"), level)
+    return keys_of(text, window, np.frombuffer(row["names"], f"u{row['width']}"), level, *pick)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -190,9 +201,10 @@ def _splitters(state: DataFrame, level: int, ranges: int) -> list[tuple[int, ...
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            columns, _ = _block(row, level)
-            at = np.random.default_rng(row["block"] & 0xFFFFFFFF).integers(0, len(columns[0]), SAMPLE)
-            keys = np.stack([c[at] for c in columns], axis=1).view(np.int64)
+            rng = np.random.default_rng(row["block"] & 0xFFFFFFFF)
+            n = SAMPLE if level < len(STEPS) else SAMPLE // 3  # of each of the last round's three kinds
+            columns, _ = _block(row, level, lambda at: at[rng.integers(0, len(at), n)] if len(at) else at)  # noqa: B023
+            keys = np.stack(columns, axis=1).view(np.int64)
             yield _batch([(x,) for x in keys.tolist()], schema)
 
     if ranges < 2:
@@ -332,7 +344,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def _rolled(text: np.ndarray) -> np.ndarray:
     """A hash of the GRAM-byte string (a power of two) at each place."""
-    h, size = text.astype(np.uint64), 1
+    size = 8
+    h = np.ndarray((max(0, len(text) - size + 1),), "<u8", text.tobytes(), strides=(1,)).astype(np.uint64)
+    h ^= h >> np.uint64(32)  # what the factors below would leave in the top bits alone
+    h = _mixed(h)
     while size < GRAM:
         h = h[: len(h) - size] * np.uint64(pow(BASE, size, 1 << 64)) + h[size:]
         size *= 2
@@ -358,13 +373,14 @@ def anchored(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     places = np.uint64((1 << 22) - 1)
     least = _least((grams & ~places) | np.arange(len(grams), dtype=np.uint64), SPAN - GRAM + 1) & places
     counts = lens - SPAN + 1
-    piece = np.repeat(np.arange(len(pieces)), counts)
-    window = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = starts[piece] + window
-    anchor = least[at].astype(np.int64)
-    first = np.nonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])]))[0]
-    size = np.diff(np.append(first, len(at)))
-    return piece[first], grams[anchor[first]].view(np.int64), window[first], size
+    new = np.concatenate([[True], least[1:] != least[:-1]])
+    new[starts] = True
+    first = np.nonzero(new)[0]
+    piece = np.searchsorted(starts, first, "right") - 1
+    own = first < (starts + counts)[piece]  # not a window that reaches into the next piece
+    first, piece = first[own], piece[own]
+    size = np.minimum(np.append(first[1:], len(least)), (starts + counts)[piece]) - first
+    return piece, grams[least[first].astype(np.int64)].view(np.int64), first - starts[piece], size
 
 
 PLACES = pa.schema([("akey", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("nw", pa.int32())])
@@ -393,12 +409,6 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np
             yield pieces, ids[rows], hashes[rows], np.array(offsets)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchor of each context."""
-    for pieces, *_ in _pieces(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(anchored(pieces)[1])], names=["akey"])
-
-
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each context: its anchor, a digest of its bytes in two halves, and where it is."""
     for pieces, ids, hashes, offsets in _pieces(batches):
@@ -479,8 +489,10 @@ def _sorted_spans(blocks: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """did, th, spans: for each text (of doc_id did, null as the least long, and hash th) with repeated bytes, ranges [s, e) that cover them."""
     spark, texts = docs.sparkSession, _keyed(docs)
-    again = stored(texts.mapInArrow(giving_back(_anchors), "akey long").groupBy("akey").agg(F.count("*").alias("c")).filter("c > 1").select("akey"))  # kept, so that a join with it can split a frequent anchor
-    places = stored(texts.mapInArrow(giving_back(_places), "akey long, c0 long, c1 long, did long, th long, lo long, nw int").join(again, "akey", "left_semi"))
+    every = stored(texts.mapInArrow(giving_back(_places), "akey long, c0 long, c1 long, did long, th long, lo long, nw int"))  # read twice, as hashing is dearer
+    again = stored(every.groupBy("akey").agg(F.count("*").alias("c")).filter("c > 1").select("akey"))  # kept, so that a join with it can split a frequent anchor
+    places = stored(every.join(again, "akey", "left_semi"))
+    drop(every)
     settle(spark)
     contexts = stored(places.groupBy("akey", "c0", "c1").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "lo", "nw")).alias("at")))
     groups = contexts.groupBy("akey").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1 AND least = 1").select("akey")

@@ -288,3 +288,38 @@ def test_parities_lose_nothing_that_is_alike():
         can_few = simhash.may_be_alike(len(a) + len(b), np.bitwise_count(few[0] ^ few[1]).sum())
         assert (can and can_few) or not simhash.alike(set(a.tolist()), set(b.tolist()))
         assert not can or can_few
+
+
+def test_anchors_are_computed_once(spark, sf, monkeypatch):
+    """Hashing all texts costs most of what comes before the sort: each goes through it once."""
+    calls = spark.sparkContext.accumulator(0)
+    find = suffix_array.anchored
+    monkeypatch.setattr(suffix_array, "anchored", lambda pieces: calls.add(sum(map(len, pieces))) or find(pieces))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    suffix_array.repeated_ranges(docs)
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    assert calls.value == sum(min(suffix_array.PIECE + suffix_array.SPAN - 1, len(x) - at) for x in texts for at in range(0, max(0, len(x) - suffix_array.SPAN + 1), suffix_array.PIECE))
+
+
+def test_ties_of_several_columns():
+    rng = np.random.default_rng(11)
+    for width in (1, 2, 3):
+        for n in (0, 1, 2, 5000):
+            columns = [rng.integers(0, 9, n, dtype=np.uint64) << np.uint64(60 - 3 * i) for i in range(width)]
+            order = suffix_array._sorted(columns)
+            assert sorted(order.tolist()) == list(range(n))
+            keys = list(zip(*[c[order].tolist() for c in columns]))
+            assert keys == sorted(keys)
+
+
+def test_keys_of_some_positions_are_among_all():
+    rng = np.random.default_rng(2)
+    text, window = rng.integers(97, 100, 3000).astype(np.uint8), np.zeros(3000, bool)
+    window[100:2500] = True
+    names = np.zeros(0, np.uint64)
+    for level in range(len(suffix_array.STEPS) + 1):
+        keys, _ = suffix_array.keys_of(text, window, names, level)
+        some, _ = suffix_array.keys_of(text, window, names, level, lambda at: at[5:40])
+        assert some and set(zip(*[c.tolist() for c in some])) <= set(zip(*[c.tolist() for c in keys]))
+        if level < len(suffix_array.STEPS):
+            names = (suffix_array.in_order(keys)[1] + 1).astype(np.uint32)
